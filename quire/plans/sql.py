@@ -167,19 +167,19 @@ _TOKEN = (
 )
 _BLOCKS = "'p','h1','h2','h3','h4','h5','h6','li','blockquote','caption','figcaption'"
 _VOIDS = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
-_CLOSE = "array_to_string(list_transform(list_reverse({0}), x -> '</' || x || '>'), '')"
+_CLOSE = "array_to_string(list_transform(list_reverse({0}), lambda x: '</' || x || '>'), '')"
 
 
-def html_ctes(source: str) -> str:
-    """``source`` (page_id, html) -> ``html_all`` (page_id, k, tag, nested, html): every block element."""
+def html_ctes(source: str, prefix: str = "html") -> str:
+    """``source`` (page_id, html) -> ``<prefix>_all`` (page_id, k, tag, nested, html): every block element."""
     return f"""
-html_toks AS (
+{prefix}_toks AS (
   SELECT page_id, k, tok, name, CASE WHEN name = '' OR regexp_matches(tok, '(?i)^<(script|style)\\b') THEN 't'
     WHEN tok LIKE '</%' THEN 'c' WHEN name IN ({_VOIDS}) THEN 'v' ELSE 'o' END AS kind
   FROM (SELECT page_id, k, tok, lower(regexp_extract(tok, '^</?([a-zA-Z][^\\s/>]*)', 1)) AS name
         FROM (SELECT page_id, unnest(ts) AS tok, generate_subscripts(ts, 1) AS k
               FROM (SELECT page_id, regexp_extract_all(html, '{_TOKEN}') AS ts FROM {source})))),
-html_walk AS (
+{prefix}_walk AS (
   SELECT page_id, 0 AS k, 't' AS kind, '' AS name, CAST([] AS VARCHAR[]) AS before, CAST([] AS VARCHAR[]) AS after, '' AS emit
   FROM {source}
   UNION ALL
@@ -191,22 +191,22 @@ html_walk AS (
     SELECT t.page_id, t.k, t.kind, t.name, t.tok, w.after AS before,
            regexp_extract(t.tok, '(?s)^<[a-zA-Z][^\\s/>]*(.*?)\\s*/?>$', 1) AS attrs,
            CASE WHEN list_contains(w.after, t.name) THEN len(w.after) - list_position(list_reverse(w.after), t.name) + 1 ELSE 0 END AS hit
-    FROM html_walk w JOIN html_toks t ON t.page_id = w.page_id AND t.k = w.k + 1)),
-html_last AS (SELECT page_id, max(k) AS last_k, arg_max(after, k) AS final_stack FROM html_walk GROUP BY page_id),
-html_open AS (
+    FROM {prefix}_walk w JOIN {prefix}_toks t ON t.page_id = w.page_id AND t.k = w.k + 1)),
+{prefix}_last AS (SELECT page_id, max(k) AS last_k, arg_max(after, k) AS final_stack FROM {prefix}_walk GROUP BY page_id),
+{prefix}_open AS (
   SELECT o.page_id, o.k, o.name AS tag, len(o.after) AS depth,
-         len(list_filter(o.before, x -> x IN ({_BLOCKS}))) > 0 AS nested,
-         (SELECT min(e.k) FROM html_walk e WHERE e.page_id = o.page_id AND e.k > o.k AND len(e.after) < len(o.after)) AS stop
-  FROM html_walk o WHERE o.kind = 'o' AND o.name IN ({_BLOCKS})),
-html_ends AS (
+         len(list_filter(o.before, lambda x: x IN ({_BLOCKS}))) > 0 AS nested,
+         (SELECT min(e.k) FROM {prefix}_walk e WHERE e.page_id = o.page_id AND e.k > o.k AND len(e.after) < len(o.after)) AS stop
+  FROM {prefix}_walk o WHERE o.kind = 'o' AND o.name IN ({_BLOCKS})),
+{prefix}_ends AS (
   SELECT b.page_id, b.k, b.tag, b.nested, coalesce(b.stop, l.last_k + 1) AS stop,
          CASE WHEN b.stop IS NULL THEN {_CLOSE.format('l.final_stack[b.depth:]')}
               ELSE {_CLOSE.format('s.before[b.depth:]')} END AS tail
-  FROM html_open b JOIN html_last l ON l.page_id = b.page_id
-  LEFT JOIN html_walk s ON s.page_id = b.page_id AND s.k = b.stop),
-html_all AS (
+  FROM {prefix}_open b JOIN {prefix}_last l ON l.page_id = b.page_id
+  LEFT JOIN {prefix}_walk s ON s.page_id = b.page_id AND s.k = b.stop),
+{prefix}_all AS (
   SELECT e.page_id, e.k, e.tag, e.nested, coalesce(string_agg(w.emit, '' ORDER BY w.k), '') || e.tail AS html
-  FROM html_ends e JOIN html_walk w ON w.page_id = e.page_id AND w.k >= e.k AND w.k < e.stop
+  FROM {prefix}_ends e JOIN {prefix}_walk w ON w.page_id = e.page_id AND w.k >= e.k AND w.k < e.stop
   GROUP BY e.page_id, e.k, e.tag, e.nested, e.tail)"""
 
 
