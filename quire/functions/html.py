@@ -77,9 +77,13 @@ def node_text(html: Column) -> Column:
     return F.array_join(F.filter(parts, lambda s: s != ""), " ")
 
 
+def node_strings(html: Column) -> Column:
+    """Text of a node with nothing inserted between strings."""
+    return decode_entities(F.regexp_replace(html, MARKUP, ""))
+
+
 def joined_text(html: Column) -> Column:
-    """Text of a node with nothing inserted between strings, stripped."""
-    return strip(decode_entities(F.regexp_replace(html, MARKUP, "")))
+    return strip(node_strings(html))
 
 
 def node_tag(html: Column) -> Column:

@@ -47,8 +47,12 @@ def decode_entities(text: Column) -> Column:
         return F.aggregate(refs, t, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
 
     named = {f"&{name};": char for name, char in NAMED_ENTITIES.items()}
-    with_numeric = F.when(F.contains(text, F.lit("&#")), let(text, numeric)).otherwise(text)
-    return F.when(F.contains(text, F.lit("&")), replace_all(with_numeric, named)).otherwise(text)
+
+    def decode(t: Column) -> Column:
+        with_numeric = F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), replace_all(with_numeric, named)).otherwise(t)
+
+    return let(text, decode)
 
 
 def inline_html(text: Column) -> Column:

@@ -8,10 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.markdown import text_nodes
-from quire.functions.text import escape_html
+from quire.functions.text import escape_html, inline_html, paragraph_blocks
 from quire.operators.segment import segment_documents
-from quire.params import PARSER_VERSION
 
 STATE_TARGET = 200
 JOB_STATUSES = ("PENDING", "PROCESSING", "PAUSED", "COMPLETED", "FAILED")
@@ -36,7 +34,7 @@ def line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_nodes(text: Column = None) -> Column:
     """Node HTML array of a ``line_docs`` row."""
     text = F.col("text") if text is None else text
-    return F.transform(text_nodes(text, F.lit(False), F.lit(PARSER_VERSION)), lambda n: n["html"])
+    return F.transform(paragraph_blocks(text), lambda b: F.concat(F.lit("<p>"), inline_html(b), F.lit("</p>")))
 
 
 def line_node_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
