@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("extract_queries", "text_queries", "state_queries", "layout_queries", "stream_queries")
+MODULES = (
+    "source_queries", "extract_queries", "text_queries", "state_queries", "layout_queries", "stream_queries",
+)
 
 
 def _merged(attribute: str) -> dict:

@@ -70,7 +70,7 @@ _EVENTS = """ev AS (SELECT event_id AS seq, CASE event_type WHEN 'signup' THEN '
 )
 def event_source(spark, sf):
     out = J.run_available(J.event_source(spark, event_lines(spark, sf)), "source", "append")
-    at = F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+    at = F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")
     return out.select("seq", "type", "job_id", "chunk_index", "translated_text", at.alias("at"))
 
 

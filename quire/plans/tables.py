@@ -109,7 +109,7 @@ def state_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def minute(n: Column) -> Column:
     """2024-01-01 plus n minutes, without a time zone."""
-    return F.timestamp_seconds(F.lit(1_704_067_200) + n * 60).cast("timestamp_ntz")
+    return F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=n.cast("int"))
 
 
 def state_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
