@@ -238,7 +238,8 @@ _TERMS = "|".join(FRONT_MATTER_TERMS)
 @register(
     "excerpt",
     f"""WITH {Q.LINE_NODES},
-    flagged AS (SELECT *, {Q.tokens('html')} AS tok, NOT (regexp_matches(lower(plain), '{_TERMS}') OR length(plain) < 40 OR lower(html) LIKE '%href=%') AS body FROM nodes),
+    flagged AS (SELECT *, {Q.tokens('html')} AS tok, NOT (regexp_matches(lower(bare), '{_TERMS}') OR length(bare) < 40 OR lower(html) LIKE '%href=%') AS body
+       FROM (SELECT *, {Q.strip(Q.tagless('html'))} AS bare FROM nodes)),
     begun AS (SELECT *, min(CASE WHEN body THEN node_idx END) OVER (PARTITION BY doc_id) AS first_body FROM flagged),
     kept AS (SELECT * FROM begun WHERE node_idx >= coalesce(first_body, 0)),
     summed AS (SELECT *, sum(tok) OVER (PARTITION BY doc_id ORDER BY node_idx ROWS UNBOUNDED PRECEDING) - tok AS before FROM kept)
