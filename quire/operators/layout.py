@@ -14,6 +14,7 @@ from quire.functions.core import let, lstrip, rstrip, slices, squeeze, strip
 from quire.functions.html import inner_html
 from quire.functions.prefix import running_sum
 from quire.functions.text import escape_text
+from quire.session import settle
 
 # Layout thresholds and patterns.
 PAGE_NUMBER = r"(?Ui)^\s*(?:\d{1,4}|[ivxlcdm]{1,8})(?:\s+\d{1,4})?\s*\z"
@@ -140,12 +141,17 @@ def _inner(parts: Column) -> Column:
 
 
 def pdf_candidates(spans: DataFrame) -> DataFrame:
-    """Text blocks with plain text, inline HTML, dominant size, style flags and signature."""
-    usable = F.filter(
-        F.transform(
-            "ss",
+    """Text blocks with plain text, inline HTML, dominant size, style flags and signature.
+
+    Each step is bound once inside the row; blank blocks leave through the empty
+    array of the generator, so no filter can pull the folds in a second time.
+    """
+
+    def usable(ss: Column) -> Column:
+        cleaned = F.transform(
+            ss,
             lambda s: let(
-                F.replace(s["text"], F.lit(" "), F.lit(" ")),
+                F.replace(s["text"], F.lit("\xa0"), F.lit(" ")),
                 lambda text: F.struct(
                     s["line_idx"].alias("line_idx"),
                     text.alias("text"),
@@ -155,33 +161,51 @@ def pdf_candidates(spans: DataFrame) -> DataFrame:
                     _is_italic(s).alias("italic"),
                 ),
             ),
-        ),
-        lambda s: s["text"] != "",
-    )
+        )
+        return F.filter(cleaned, lambda s: s["text"] != "")
+
+    def weights(us: Column) -> Column:
+        """(all, bold, italic) weight in one pass."""
+        zero = F.struct(F.lit(0).alias("total"), F.lit(0).alias("bold"), F.lit(0).alias("italic"))
+        add = lambda acc, s, flag: acc + F.when(flag, s["weight"]).otherwise(0)
+        return F.aggregate(
+            us, zero,
+            lambda a, s: F.struct(
+                (a["total"] + s["weight"]).alias("total"),
+                add(a["bold"], s, s["bold"]).alias("bold"),
+                add(a["italic"], s, s["italic"]).alias("italic"),
+            ),
+        )
 
-    def weight_of(flag: str | None) -> Column:
-        chosen = F.col("us") if flag is None else F.filter("us", lambda s: s[flag])
-        return F.aggregate(chosen, F.lit(0), lambda a, s: a + s["weight"])
+    def described(us: Column, joined: Column, plain: Column) -> Column:
+        return let(
+            F.struct(_size_weights(us).alias("sizes"), weights(us).alias("w")),
+            lambda f: F.struct(
+                plain.alias("plain_text"),
+                _inner(joined["parts"]).alias("inner_html"),
+                squeeze(F.lower(plain)).alias("signature"),
+                f["sizes"].alias("size_weights"),
+                _heaviest(f["sizes"]).alias("font_size"),
+                ((f["w"]["total"] > 0) & (f["w"]["bold"] >= f["w"]["total"] * 0.55)).alias("mostly_bold"),
+                ((f["w"]["total"] > 0) & (f["w"]["italic"] >= f["w"]["total"] * 0.65)).alias("mostly_italic"),
+            ),
+        )
 
-    blocks = (
-        _block_rows(spans)
-        .withColumn("us", usable)
-        .withColumns({"j": _joined(_lines(F.col("us"))), "size_weights": _size_weights(F.col("us"))})
-        .withColumn("plain_text", squeeze(F.col("j.plain")))
-        .where("plain_text <> ''")
+    candidate = let(
+        usable(F.col("ss")),
+        lambda us: let(
+            _joined(_lines(us)),
+            lambda joined: let(
+                squeeze(joined["plain"]),
+                lambda plain: F.when(plain != "", F.array(described(us, joined, plain))),
+            ),
+        ),
     )
     width = F.col("x1") - F.col("x0")
     centered = (F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("page_w") / 2) <= 18) & (width < F.col("page_w") * 0.72)
-    total = weight_of(None)
-    return blocks.select(
-        *BLOCK, "x0", "y0", "x1", "y1", "page_w", "page_h", "plain_text",
-        _inner(F.col("j.parts")).alias("inner_html"),
-        squeeze(F.lower("plain_text")).alias("signature"),
-        "size_weights",
-        _heaviest(F.col("size_weights")).alias("font_size"),
-        centered.alias("centered"),
-        ((total > 0) & (weight_of("bold") >= total * 0.55)).alias("mostly_bold"),
-        ((total > 0) & (weight_of("italic") >= total * 0.65)).alias("mostly_italic"),
+    box = ["x0", "y0", "x1", "y1", "page_w", "page_h"]
+    return _block_rows(spans).select(*BLOCK, *box, centered.alias("centered"), F.explode(candidate).alias("c")).select(
+        *BLOCK, *box, "centered", "c.*"
     )
 
 
@@ -256,7 +280,8 @@ def pdf_roles(candidates: DataFrame) -> DataFrame:
 
 def pdf_nodes(spans: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
     """Spans and images -> ordered nodes: numbers, running heads and passthrough pages left out."""
-    candidates = pdf_candidates(spans)
+    # Four facts are taken from the blocks; they are built once and read back column by column.
+    candidates = settle(pdf_candidates(spans), "candidates")
     skipped = pdf_page_profile(pages, candidates, images).where("passthrough").select("doc_id", "page_num")
     kept = pdf_margin_repeats(pdf_page_numbers(pdf_roles(candidates))).join(skipped, ["doc_id", "page_num"], "left_anti")
     return _with_node_index(kept).select(

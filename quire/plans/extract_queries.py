@@ -27,7 +27,7 @@ def register(name: str, oracle: str | None = None):
 
 
 def pages(spark, sf):
-    return tb.table(spark, sf, "pages")
+    return tb.pages(spark, sf)
 
 
 _TOP = f"WITH RECURSIVE {Q.html_ctes('pages')}"

@@ -12,6 +12,7 @@ from quire.operators import rebuild as R
 from quire.operators import runs as W
 from quire.plans import sql as Q
 from quire.plans import tables as tb
+from quire.session import settle
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -158,9 +159,14 @@ def pdf_candidates(spark, sf):
     )
 
 
+def candidates(spark, sf):
+    """Blocks built once for the queries that read them more than once."""
+    return settle(L.pdf_candidates(spans(spark, sf)), "candidates")
+
+
 @register("pdf_body_size", f"WITH {SPAN_SQL} SELECT doc_id, body_size FROM body_size")
 def pdf_body_size(spark, sf):
-    return L.pdf_body_size(L.pdf_candidates(spans(spark, sf)))
+    return L.pdf_body_size(candidates(spark, sf))
 
 
 @register(
@@ -168,12 +174,12 @@ def pdf_body_size(spark, sf):
     f"WITH {SPAN_SQL} SELECT doc_id, page_num, block_idx, plain_text FROM cands c WHERE NOT EXISTS (SELECT 1 FROM repeats r WHERE r.doc_id = c.doc_id AND r.signature = lower(c.plain_text))",
 )
 def pdf_margin_repeats(spark, sf):
-    return L.pdf_margin_repeats(L.pdf_candidates(spans(spark, sf))).select("doc_id", "page_num", "block_idx", "plain_text")
+    return L.pdf_margin_repeats(candidates(spark, sf)).select("doc_id", "page_num", "block_idx", "plain_text")
 
 
 @register("pdf_page_numbers", f"WITH {SPAN_SQL} SELECT doc_id, page_num, block_idx, plain_text FROM cands WHERE NOT {_NUMBER}")
 def pdf_page_numbers(spark, sf):
-    return L.pdf_page_numbers(L.pdf_candidates(spans(spark, sf))).select("doc_id", "page_num", "block_idx", "plain_text")
+    return L.pdf_page_numbers(candidates(spark, sf)).select("doc_id", "page_num", "block_idx", "plain_text")
 
 
 @register(
@@ -181,13 +187,13 @@ def pdf_page_numbers(spark, sf):
     f"WITH {SPAN_SQL} SELECT doc_id, page_num, TRUE AS has_text, TRUE AS has_images, CASE WHEN passthrough THEN 0.6 ELSE 0.1 END AS image_ratio, passthrough FROM profile",
 )
 def pdf_page_profile(spark, sf):
-    profile = L.pdf_page_profile(page_table(spark, sf), L.pdf_candidates(spans(spark, sf)), images(spark, sf))
+    profile = L.pdf_page_profile(page_table(spark, sf), candidates(spark, sf), images(spark, sf))
     return profile.withColumn("image_ratio", F.round("image_ratio", 6))
 
 
 @register("pdf_roles", f"WITH {SPAN_SQL} SELECT doc_id, page_num, block_idx, body_size, tag, role FROM roled")
 def pdf_roles(spark, sf):
-    return L.pdf_roles(L.pdf_candidates(spans(spark, sf))).select("doc_id", "page_num", "block_idx", "body_size", "tag", "role")
+    return L.pdf_roles(candidates(spark, sf)).select("doc_id", "page_num", "block_idx", "body_size", "tag", "role")
 
 
 @register(
@@ -238,7 +244,7 @@ def pdf_outline(spark, sf):
     FROM want JOIN got USING (doc_id)""",
 )
 def export_loss_check(spark, sf):
-    cands = L.pdf_candidates(spans(spark, sf))
+    cands = candidates(spark, sf)
     text = F.when(F.col("doc_id") % 7 == 0, F.substring("plain_text", 1, 20)).otherwise(F.col("plain_text"))
     joined = F.array_join(F.transform("ps", lambda p: p["t"]), " ")
     pages = cands.groupBy("doc_id", "page_num").agg(
@@ -261,7 +267,7 @@ def export_loss_check(spark, sf):
         ELSE '<p>' || inner_html || '</p>' END AS html FROM roled""",
 )
 def role_markup(spark, sf):
-    roled = L.pdf_roles(L.pdf_candidates(spans(spark, sf)))
+    roled = L.pdf_roles(candidates(spark, sf))
     html = F.concat(F.lit('<p id="x">'), "inner_html", F.lit("</p>"))
     return roled.select("doc_id", "page_num", "block_idx", L.role_markup(html, F.col("role")).alias("html"))
 

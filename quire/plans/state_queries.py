@@ -515,7 +515,7 @@ def render_fences(spark, sf):
 def restore_inline_attributes(spark, sf):
     from quire.functions import html as H
 
-    blocks = X.html_blocks(tb.table(spark, sf, "pages"))
+    blocks = X.html_blocks(tb.pages(spark, sf))
     inner = H.inner_html(H.strip_attributes(F.col("html")))
 
     def wrapped(tag, *content):
@@ -568,7 +568,7 @@ def export_manifest(spark, sf):
 )
 def safe_filename(spark, sf):
     name = F.concat("url", F.lit("/Ünï çode*"), F.col("page_id").cast("string"), F.lit(".TXT"))
-    return tb.table(spark, sf, "pages").select("page_id", R.safe_filename(name).alias("safe"))
+    return tb.pages(spark, sf).select("page_id", R.safe_filename(name).alias("safe"))
 
 
 # ---- reports -----------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import escape_html, inline_html, paragraph_blocks
 from quire.operators.segment import segment_documents
+from quire.session import spread
 
 STATE_TARGET = 200
 JOB_STATUSES = ("PENDING", "PROCESSING", "PAUSED", "COMPLETED", "FAILED")
@@ -21,7 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "pages"))
 
 
 def line_docs(spark: SparkSession, sf_dir: str) -> DataFrame:

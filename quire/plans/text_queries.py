@@ -201,7 +201,7 @@ _CLEANED = f"cleaned AS (SELECT page_id, {Q.ACTIVE} AS html FROM pages)"
 )
 def structure_prompt(spark, sf):
     v = P.structure_prompt(F.lit("Translate."), F.col("html"))
-    return tb.table(spark, sf, "pages").select("page_id", v.alias("v")).select("page_id", "v.first", "v.repair")
+    return tb.pages(spark, sf).select("page_id", v.alias("v")).select("page_id", "v.first", "v.repair")
 
 
 # ---- answers: conversation turns wrapped the way models wrap them ------------------------------
@@ -340,7 +340,7 @@ def answers(spark, sf):
         F.when(k == 0, F.replace(h, F.lit("the"), F.lit("le"))).when(k == 1, swap("h1", "h2"))
         .when(k == 2, swap("b", "i")).otherwise(F.concat(h, F.lit("<p>extra</p>")))
     )
-    return tb.table(spark, sf, "pages").withColumn("answer", answer)
+    return tb.pages(spark, sf).withColumn("answer", answer)
 
 
 _INLINE_ALT = "|".join(sorted(INLINE_TAGS, key=len, reverse=True))
@@ -397,4 +397,4 @@ def verify_structure(spark, sf):
 def sanitize_blocks(spark, sf):
     blocks = H.checked_blocks(F.col("html"))
     joined = F.array_join(F.transform(blocks, lambda b: H.sanitize_block(b["html"])), "\n")
-    return tb.table(spark, sf, "pages").select("page_id", joined.alias("html"))
+    return tb.pages(spark, sf).select("page_id", joined.alias("html"))

@@ -57,3 +57,13 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use the whole cluster for row-local work on an input with too few splits.
+
+    A large table has more splits than cores and is returned as it is; only a small
+    or badly split one (a single row group, say) is dealt out round-robin.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
