@@ -144,7 +144,7 @@ def _first_and_repair(items: DataFrame, model_fn: ModelFn, parallelism: int) ->
     wrong = first.where(~F.col("ok") & F.col("call_error").isNull())
     if wrong.isEmpty():
         return first
-    second = _one_try(wrong.select(items.columns), model_fn, parallelism, REPAIR_TRIES, "repair", "repairs")
+    second = settle(_one_try(wrong.select(items.columns), model_fn, parallelism, REPAIR_TRIES, "repair", "repairs"), "judged")
     return first.where(F.col("ok") | F.col("call_error").isNotNull()).unionByName(second)
 
 
@@ -168,7 +168,7 @@ def translate_segments(
     )
     finished, pending = [], items
     while True:
-        judged = settle(_first_and_repair(pending, model_fn, parallelism), "round")
+        judged = _first_and_repair(pending, model_fn, parallelism)
         blocks = checked_blocks(F.col("source_html"))
         splittable = ~F.col("ok") & F.col("call_error").isNull() & F.col("recover") & (F.size(blocks) > 1)
         finished.append(judged.where(~splittable))

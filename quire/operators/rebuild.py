@@ -122,14 +122,12 @@ def render_text(nodes: DataFrame, key: str = "doc_id", html: str = "html", file_
     opener = F.when(whole | (line & (F.col("fence_pos") == 0)), F.concat("fence_open", F.lit("\n"))).otherwise("")
     closes = whole | (line & (F.col("fence_pos") == F.col("fence_count") - 1))
     closer = F.when(closes, F.concat(F.lit("\n"), "fence_close")).otherwise("")
-    return (
-        nodes.withColumn("_text", text)
-        .where(F.col("_text").isNotNull())
-        .select(
-            key, "node_idx",
-            F.when(line & (F.col("fence_pos") > 0), "\n").otherwise("\n\n").alias("sep"),
-            F.concat(opener, "_text", closer).alias("piece"),
-        )
+    # Nodes without text leave through the empty array, so the rendering is evaluated once.
+    rendered = F.array_compact(F.array(F.concat(opener, text, closer)))
+    return nodes.select(
+        key, "node_idx",
+        F.when(line & (F.col("fence_pos") > 0), "\n").otherwise("\n\n").alias("sep"),
+        F.explode(rendered).alias("piece"),
     )
 
 

@@ -35,6 +35,10 @@ def segs_of(spark, sf):
     return tb.state_segments(spark, sf)
 
 
+def both(spark, sf):
+    return tb.snapshot(spark, sf)
+
+
 def text_time(name):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss").alias(name)
 
@@ -124,7 +128,7 @@ def chunk_commands(segs, *extra):
     FROM (SELECT *, {CHUNK_HIT} AND status IN ('PENDING', 'FAILED') AS hit FROM segments)""",
 )
 def claim_segments(spark, sf):
-    segs = segs_of(spark, sf)
+    _, segs = both(spark, sf)
     out = G.claim_segments(segs, chunk_commands(segs))
     return out.select("job_id", "chunk_index", "status", "error_message", "translated_text", text_time("updated_at"), "claimed")
 
@@ -140,9 +144,9 @@ def claim_segments(spark, sf):
     FROM jobs j JOIN per_job USING (job_id)""",
 )
 def complete_segments(spark, sf):
-    segs = segs_of(spark, sf)
+    jobs, segs = both(spark, sf)
     results = chunk_commands(segs, F.concat(F.lit("R:"), "original_text").alias("result_text"))
-    jobs, done = G.complete_segments(jobs_of(spark, sf), segs, results)
+    jobs, done = G.complete_segments(jobs, segs, results)
     sums = done.groupBy("job_id").agg(
         F.count_if(F.col("status") == "DONE").alias("done_rows"), F.sum(F.length("translated_text")).alias("chars")
     )
@@ -158,7 +162,7 @@ def complete_segments(spark, sf):
     FROM (SELECT *, {CHUNK_HIT} AS hit FROM segments)""",
 )
 def fail_segments(spark, sf):
-    segs = segs_of(spark, sf)
+    _, segs = both(spark, sf)
     failures = chunk_commands(segs, F.concat(F.lit("boom "), "original_text").alias("error"))
     return seg_view(G.fail_segments(segs, failures))
 
@@ -181,7 +185,7 @@ def reset_segments(spark, sf):
     SELECT job_id, CASE WHEN status = 'PROCESSING' THEN 'PAUSED' ELSE status END AS status, waiting FROM jobs JOIN s USING (job_id)""",
 )
 def recover(spark, sf):
-    jobs, segs = G.recover(jobs_of(spark, sf), segs_of(spark, sf))
+    jobs, segs = G.recover(*both(spark, sf))
     waiting = segs.groupBy("job_id").agg(F.count_if(F.col("status") == "PENDING").alias("waiting"))
     return jobs.join(waiting, "job_id").select("job_id", "status", "waiting")
 
@@ -200,7 +204,7 @@ def unfinished(spark, sf):
     FROM jobs LEFT JOIN u USING (job_id)""",
 )
 def resolve_job_status(spark, sf):
-    out = G.resolve_job_status(jobs_of(spark, sf), segs_of(spark, sf), tb.minute(F.lit(999_999)))
+    out = G.resolve_job_status(*both(spark, sf), tb.minute(F.lit(999_999)))
     return out.select("job_id", "status", text_time("completed_at"))
 
 
@@ -308,8 +312,8 @@ def client_last_use(spark, sf):
       WHERE doc_id % 6 <> 2""",
 )
 def delete_jobs(spark, sf):
-    jobs = jobs_of(spark, sf)
-    left_jobs, left_segs = G.delete_jobs(jobs, segs_of(spark, sf), picked(jobs, 6, 2))
+    jobs, segs = both(spark, sf)
+    left_jobs, left_segs = G.delete_jobs(jobs, segs, picked(jobs, 6, 2))
     counts = left_segs.groupBy("job_id").agg(F.count("*").alias("segment_rows"))
     return left_jobs.join(counts, "job_id").select("job_id", "status", "segment_rows")
 
@@ -332,7 +336,7 @@ def evolve_schema(spark, sf):
     Q.STATE + " SELECT job_id, chunk_index, CAST(2 AS BIGINT) AS copies FROM segments WHERE chunk_index % 3 = 1",
 )
 def duplicate_keys(spark, sf):
-    segs = segs_of(spark, sf)
+    _, segs = both(spark, sf)
     return G.duplicate_keys(segs.unionByName(segs.where("chunk_index % 3 = 1")))
 
 
@@ -391,14 +395,14 @@ def waiting_view(jobs, segs):
 
 @register("pause_jobs", _after("PAUSED", False))
 def pause_jobs(spark, sf):
-    jobs = jobs_of(spark, sf)
-    return waiting_view(*G.pause_jobs(jobs, segs_of(spark, sf), picked(jobs, 4, 1), tb.minute(F.lit(9))))
+    jobs, segs = both(spark, sf)
+    return waiting_view(*G.pause_jobs(jobs, segs, picked(jobs, 4, 1), tb.minute(F.lit(9))))
 
 
 @register("retry_jobs", _after("PENDING", True))
 def retry_jobs(spark, sf):
-    jobs = jobs_of(spark, sf)
-    return waiting_view(*G.retry_jobs(jobs, segs_of(spark, sf), picked(jobs, 4, 1), tb.minute(F.lit(9))))
+    jobs, segs = both(spark, sf)
+    return waiting_view(*G.retry_jobs(jobs, segs, picked(jobs, 4, 1), tb.minute(F.lit(9))))
 
 
 # ---- rebuild -----------------------------------------------------------------------------------
@@ -472,7 +476,7 @@ def coverage(spark, sf):
     FROM nodes n LEFT JOIN merged m ON m.job_id = CAST(n.doc_id AS VARCHAR) AND m.node_idx = n.node_idx""",
 )
 def partial_preview(spark, sf):
-    return R.partial_preview(jobs_of(spark, sf), segs_of(spark, sf), node_rows(spark, sf))
+    return R.partial_preview(*both(spark, sf), node_rows(spark, sf))
 
 
 # Rendering the untranslated nodes gives the (normalised) source document back.
@@ -540,7 +544,7 @@ def restore_inline_attributes(spark, sf):
     FROM jobs LEFT JOIN u USING (job_id)""",
 )
 def clone_for_proofread(spark, sf):
-    return R.clone_for_proofread(jobs_of(spark, sf), segs_of(spark, sf)).select(
+    return R.clone_for_proofread(*both(spark, sf)).select(
         "job_id", "parent_id", "file_name", "source_lang", "target_lang", "model", "temperature", "job_type",
         "output_name", "reject_reason",
     )
@@ -557,7 +561,7 @@ def clone_for_proofread(spark, sf):
         WHEN 'txt' THEN 'text/plain; charset=utf-8' ELSE 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' END AS media_type FROM p""",
 )
 def export_manifest(spark, sf):
-    return R.export_manifest(jobs_of(spark, sf), segs_of(spark, sf))
+    return R.export_manifest(*both(spark, sf))
 
 
 @register(
@@ -601,7 +605,7 @@ def progress_ui(spark, sf):
       UNION ALL SELECT 'failed_segments', count(*) FILTER (status = 'FAILED') FROM segments""",
 )
 def status_counts(spark, sf):
-    return I.status_counts(jobs_of(spark, sf), segs_of(spark, sf))
+    return I.status_counts(*both(spark, sf))
 
 
 @register(

@@ -151,9 +151,9 @@ def rate_limit_stream(spark, sf):
     SELECT job_id, CASE WHEN status = 'PROCESSING' AND job_id IN (SELECT job_id FROM down) THEN 'PAUSED' ELSE status END AS status, waiting FROM jobs JOIN s USING (job_id)""",
 )
 def auto_pause(spark, sf):
-    segs = tb.state_segments(spark, sf)
+    jobs, segs = tb.snapshot(spark, sf)
     results = segs.select("job_id", ((F.col("job_id").cast("long") * 5 + F.col("chunk_index")) % 9 == 0).alias("provider_down"))
-    jobs, after = J.auto_pause(tb.state_jobs(spark, sf), segs, results)
+    jobs, after = J.auto_pause(jobs, segs, results)
     waiting = after.groupBy("job_id").agg(F.count_if(F.col("status") == "PENDING").alias("waiting"))
     return jobs.join(waiting, "job_id").select("job_id", "status", "waiting")
 

@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.text import escape_html, inline_html, paragraph_blocks
+from quire.operators.extract import text_nodes
 from quire.operators.segment import segment_documents
-from quire.session import spread
+from quire.operators.state import segment_counts
+from quire.session import settle, spread
 
 STATE_TARGET = 200
 JOB_STATUSES = ("PENDING", "PROCESSING", "PAUSED", "COMPLETED", "FAILED")
@@ -78,9 +80,7 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quire.operators.extract import text_nodes as extract
-
-    return extract(md_docs(spark, sf_dir), ["doc_id"])
+    return text_nodes(md_docs(spark, sf_dir), ["doc_id"])
 
 
 def segments(spark: SparkSession, sf_dir: str, target: int = STATE_TARGET) -> DataFrame:
@@ -117,11 +117,15 @@ def minute(n: Column) -> Column:
     return F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00'") + F.make_dt_interval(mins=n.cast("int"))
 
 
-def state_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Job snapshot with counts taken from ``state_segments``."""
-    from quire.operators.state import segment_counts
+def snapshot(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(jobs, segments) over one stored segment snapshot, for queries that read it several times."""
+    segs = settle(state_segments(spark, sf_dir), "segments")
+    return state_jobs(spark, sf_dir, segs), segs
+
 
-    counts = segment_counts(state_segments(spark, sf_dir))
+def state_jobs(spark: SparkSession, sf_dir: str, segs: DataFrame | None = None) -> DataFrame:
+    """Job snapshot with counts taken from the segment snapshot."""
+    counts = segment_counts(state_segments(spark, sf_dir) if segs is None else segs)
     d = F.col("doc_id")
     file_type = cycle(d, FILE_TYPE_CYCLE)
     name = F.concat(F.lit("doc_"), d.cast("string"), F.lit("."), file_type)
