@@ -108,27 +108,26 @@ def inline_tags(html: Column, names: tuple[str, ...] = INLINE_TAGS) -> Column:
 def _tokens(html: Column) -> Column:
     """Token structs: kind (o open, c close, v void, t anything else), name, output form."""
 
-    def typed(tok: Column) -> Column:
-        name = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
-        is_raw = F.rlike(tok, F.lit(r"(?i)^<(?:script|style)\b"))
-        is_close = tok.startswith("</")
-        is_tag = (name != "") & ~is_raw
-        is_void = name.isin(*VOID_TAGS)
+    def token(kind: Column, name: Column, out: Column) -> Column:
+        return F.struct(kind.alias("kind"), name.alias("name"), out.alias("out"))
+
+    def tag(tok: Column, name: Column) -> Column:
         attrs = F.regexp_extract(tok, r"(?s)^<[a-zA-Z][^\s/>]*(.*?)\s*/?>\z", 1)
-        kind = (
-            F.when(~is_tag, F.lit("t"))
-            .when(is_close, F.lit("c"))
-            .when(is_void, F.lit("v"))
-            .when(tok.endswith("/>"), F.lit("e"))
-            .otherwise(F.lit("o"))
-        )
-        out = (
-            F.when(~is_tag, tok)
-            .when(is_close, F.concat(F.lit("</"), name, F.lit(">")))
-            .when(is_void, F.concat(F.lit("<"), name, attrs, F.lit("/>")))
-            .otherwise(F.concat(F.lit("<"), name, attrs, F.lit(">")))
+        start = F.concat(F.lit("<"), name, attrs)
+        return (
+            F.when(tok.startswith("</"), token(F.lit("c"), name, F.concat(F.lit("</"), name, F.lit(">"))))
+            .when(name.isin("script", "style"), token(F.lit("t"), name, tok))
+            .when(name.isin(*VOID_TAGS), token(F.lit("v"), name, F.concat(start, F.lit("/>"))))
+            .when(tok.endswith("/>"), token(F.lit("e"), name, F.concat(start, F.lit(">"))))
+            .otherwise(token(F.lit("o"), name, F.concat(start, F.lit(">"))))
         )
-        return F.struct(kind.alias("kind"), name.alias("name"), out.alias("out"))
+
+    def typed(tok: Column) -> Column:
+        plain = token(F.lit("t"), F.lit(""), tok)
+        name = F.lower(F.regexp_extract(tok, r"^</?([a-zA-Z][^\s/>]*)", 1))
+        return F.when(
+            tok.startswith("<"), let(name, lambda n: F.when(n != "", tag(tok, n)).otherwise(plain))
+        ).otherwise(plain)
 
     typed_tokens = F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), typed)
 

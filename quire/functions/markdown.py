@@ -102,21 +102,24 @@ def is_converter_text(blocks: Column) -> Column:
 
 def _node(kind, tag, inner, **meta) -> Column:
     none_str, none_int = F.lit(None).cast("string"), F.lit(None).cast("int")
-    html = F.concat(F.lit("<"), tag, F.lit(">"), inner, F.lit("</"), tag, F.lit(">"))
-    return F.struct(
-        kind.alias("kind"),
-        tag.alias("tag"),
-        html.alias("html"),
-        meta.get("marker", none_str).alias("marker"),
-        meta.get("code_wrapper", none_str).alias("code_wrapper"),
-        meta.get("fence_open", none_str).alias("fence_open"),
-        meta.get("fence_close", none_str).alias("fence_close"),
-        meta.get("fence_info", none_str).alias("fence_info"),
-        meta.get("fence_group", none_int).cast("int").alias("fence_group"),
-        meta.get("fence_pos", none_int).cast("int").alias("fence_pos"),
-        meta.get("fence_count", none_int).cast("int").alias("fence_count"),
-        meta.get("suppress_fence", F.lit(False)).alias("suppress_fence"),
-    ).cast(f"struct<{NODE_FIELDS}>")
+
+    def fields(t: Column) -> Column:
+        return F.struct(
+            kind.alias("kind"),
+            t.alias("tag"),
+            F.concat(F.lit("<"), t, F.lit(">"), inner, F.lit("</"), t, F.lit(">")).alias("html"),
+            meta.get("marker", none_str).alias("marker"),
+            meta.get("code_wrapper", none_str).alias("code_wrapper"),
+            meta.get("fence_open", none_str).alias("fence_open"),
+            meta.get("fence_close", none_str).alias("fence_close"),
+            meta.get("fence_info", none_str).alias("fence_info"),
+            meta.get("fence_group", none_int).cast("int").alias("fence_group"),
+            meta.get("fence_pos", none_int).cast("int").alias("fence_pos"),
+            meta.get("fence_count", none_int).cast("int").alias("fence_count"),
+            meta.get("suppress_fence", F.lit(False)).alias("suppress_fence"),
+        )
+
+    return let(tag, fields).cast(f"struct<{NODE_FIELDS}>")
 
 
 def _fence_nodes(lines: Column, fence: Column, group: Column, converter: Column, split_headings: Column) -> Column:
@@ -154,37 +157,41 @@ def _fence_nodes(lines: Column, fence: Column, group: Column, converter: Column,
 
 
 def _block_node(block: Column, lines: Column) -> Column:
-    level = F.length(F.regexp_extract(block, HEADING, 1))
-    item = F.regexp_extract(block, LIST_ITEM, 1)
-    quoted = F.forall(lines, lambda ln: (strip(ln) == "") | F.rlike(ln, F.lit(QUOTE_PREFIX)))
-    kind = (
-        F.when(level > 0, F.lit("heading"))
-        .when(item != "", F.lit("list_item"))
-        .when(quoted, F.lit("blockquote"))
-        .otherwise(F.lit("paragraph"))
-    )
-    tag = (
-        F.when(level > 0, F.concat(F.lit("h"), level.cast("string")))
-        .when(item != "", F.lit("li"))
-        .when(quoted, F.lit("blockquote"))
-        .otherwise(F.lit("p"))
-    )
-    inner = (
-        F.when(level > 0, strip(F.regexp_extract(block, HEADING, 2)))
-        .when(item != "", strip(F.regexp_extract(block, LIST_ITEM, 2)))
-        .when(quoted, F.array_join(F.transform(lines, lambda ln: F.regexp_replace(ln, QUOTE_PREFIX, "")), "\n"))
-        .otherwise(block)
-    )
+    def node(kind: str, tag: Column, inner: Column, marker: Column | None = None) -> Column:
+        def build(text: Column) -> Column:
+            def with_code(code: Column) -> Column:
+                return _node(
+                    F.lit(kind), tag, inline_html(F.when(code != "", code).otherwise(text)),
+                    code_wrapper=F.when(code != "", F.lit("`")),
+                    **({} if marker is None else {"marker": marker}),
+                )
 
-    def build(text: Column) -> Column:
-        code = F.regexp_extract(text, CODE_SPAN, 1)
-        return _node(
-            kind, tag, inline_html(F.when(code != "", code).otherwise(text)),
-            marker=F.when(kind == "list_item", item),
-            code_wrapper=F.when(code != "", F.lit("`")),
-        )
+            return let(F.regexp_extract(text, CODE_SPAN, 1), with_code)
 
-    return let(inner, build)
+        return let(inner, build)
+
+    level = F.length(F.regexp_extract(block, HEADING, 1))
+    unquoted = F.array_join(F.transform(lines, lambda ln: F.regexp_replace(ln, QUOTE_PREFIX, "")), "\n")
+    is_quote = F.forall(lines, lambda ln: (strip(ln) == "") | F.rlike(ln, F.lit(QUOTE_PREFIX)))
+    # Most blocks start with a letter: one look at the first character settles them.
+    special = F.rlike(block, F.lit(r"(?U)^[#>*+\-\d]"))
+    marked = let(
+        level,
+        lambda n: F.when(
+            n > 0,
+            node("heading", F.concat(F.lit("h"), n.cast("string")), strip(F.regexp_extract(block, HEADING, 2))),
+        ).otherwise(
+            let(
+                F.regexp_extract(block, LIST_ITEM, 1),
+                lambda item: F.when(
+                    item != "", node("list_item", F.lit("li"), strip(F.regexp_extract(block, LIST_ITEM, 2)), item)
+                )
+                .when(is_quote, node("blockquote", F.lit("blockquote"), unquoted))
+                .otherwise(node("paragraph", F.lit("p"), block)),
+            )
+        ),
+    )
+    return F.when(special, marked).otherwise(node("paragraph", F.lit("p"), block))
 
 
 def markdown_nodes(blocks: Column, version: Column) -> Column:
