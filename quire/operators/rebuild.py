@@ -16,7 +16,7 @@ from quire.params import ATTRIBUTE_TAGS, MEDIA_TYPES, PROOFREAD_TEMPERATURE
 PART_NODES = 4096
 
 
-def remap_blocks(segments: DataFrame, text: str = "translated_text") -> DataFrame:
+def remap_blocks(segments: DataFrame, text: str = "translated_text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Segment blocks zipped to node indices; a count mismatch yields error rows for the same nodes. Narrow."""
 
     def zipped(blocks: Column) -> Column:
@@ -38,43 +38,49 @@ def remap_blocks(segments: DataFrame, text: str = "translated_text") -> DataFram
         )
 
     return segments.select(
-        "job_id", "chunk_index", F.explode(let(checked_blocks(F.col(text)), zipped)).alias("b")
-    ).select("job_id", "chunk_index", "b.*")
+        "job_id", "chunk_index", *keep, F.explode(let(checked_blocks(F.col(text)), zipped)).alias("b")
+    ).select("job_id", "chunk_index", *keep, "b.*")
 
 
-def merge_fragments(blocks: DataFrame) -> DataFrame:
+def merge_fragments(blocks: DataFrame, *facts: Column) -> DataFrame:
     """Fragments of one node -> one block in the first fragment's tag; tags must agree.
 
     Groups hold the fragments of a single node, so they are as small as a node.
+    ``facts`` are further aggregates over the fragments of a node.
     """
     grouped = blocks.groupBy("job_id", "node_idx").agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "pos", "tag", "html", "error"))).alias("fs")
+        F.array_sort(F.collect_list(F.struct("chunk_index", "pos", "tag", "html", "error"))).alias("fs"), *facts
     )
-    first = F.col("fs")[0]
-    tags = F.array_distinct(F.transform("fs", lambda f: f["tag"]))
-    opening = F.regexp_extract(first["html"], r"""(?s)^\s*(<[a-zA-Z](?:[^"'>]++|"[^"]*"|'[^']*')*+>)""", 1)
-    joined = F.concat(
-        opening,
-        F.array_join(F.transform("fs", lambda f: strip(inner_html(f["html"]))), " "),
-        F.lit("</"), first["tag"], F.lit(">"),
-    )
-    broken = F.get(F.filter("fs", lambda f: f["error"].isNotNull()), F.lit(0))["error"]
-    error = F.coalesce(broken, F.when(F.size(tags) > 1, F.lit("fragments with different tags")))
-    return grouped.select(
-        "job_id",
-        "node_idx",
-        F.when(error.isNull(), F.when(F.size("fs") == 1, first["html"]).otherwise(joined)).alias("html"),
-        error.alias("error"),
+    extra = [c for c in grouped.columns if c not in ("job_id", "node_idx", "fs")]
+
+    def merged(fs: Column) -> Column:
+        tags = F.array_distinct(F.transform(fs, lambda f: f["tag"]))
+        opening = F.regexp_extract(fs[0]["html"], r"""(?s)^\s*(<[a-zA-Z](?:[^"'>]++|"[^"]*"|'[^']*')*+>)""", 1)
+        joined = F.concat(
+            opening,
+            F.array_join(F.transform(fs, lambda f: strip(inner_html(f["html"]))), " "),
+            F.lit("</"), fs[0]["tag"], F.lit(">"),
+        )
+        broken = F.get(F.filter(fs, lambda f: f["error"].isNotNull()), F.lit(0))["error"]
+        error = F.coalesce(broken, F.when(F.size(tags) > 1, F.lit("fragments with different tags")))
+        html = F.when(F.size(fs) == 1, fs[0]["html"]).otherwise(joined)
+        return let(error, lambda e: F.struct(F.when(e.isNull(), html).alias("html"), e.alias("error")))
+
+    return grouped.select("job_id", "node_idx", *extra, let(F.col("fs"), merged).alias("m")).select(
+        "job_id", "node_idx", *extra, "m.html", "m.error"
     )
 
 
 def coverage(nodes: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Differences between document nodes and translated nodes: ``unknown`` and ``missing`` rows."""
-    have = blocks.select("job_id", "node_idx").distinct()
-    want = nodes.select("job_id", "node_idx")
-    unknown = have.join(want, ["job_id", "node_idx"], "left_anti").withColumn("problem", F.lit("unknown"))
-    missing = want.join(have, ["job_id", "node_idx"], "left_anti").withColumn("problem", F.lit("missing"))
-    return unknown.unionByName(missing)
+    """Differences between document nodes and translated nodes: ``unknown`` and ``missing`` rows.
+
+    One full outer join on (job, node) answers both directions.
+    """
+    have = blocks.select("job_id", "node_idx").distinct().withColumn("_have", F.lit(True))
+    want = nodes.select("job_id", "node_idx").withColumn("_want", F.lit(True))
+    both = want.join(have, ["job_id", "node_idx"], "full")
+    problem = F.when(F.col("_want").isNull(), "unknown").when(F.col("_have").isNull(), "missing")
+    return both.select("job_id", "node_idx", problem.alias("problem")).where("problem is not null")
 
 
 COPIED_FORMATS = ("epub", "pdf", "docx")
@@ -83,9 +89,10 @@ COPIED_FORMATS = ("epub", "pdf", "docx")
 def partial_preview(jobs: DataFrame, segments: DataFrame, nodes: DataFrame, allow_partial: bool = True) -> DataFrame:
     """Node table of every job: translated where DONE, source elsewhere.
 
-    Copied formats keep every untouched source node and re-parse a pending segment
-    only where it shares a node with a finished one. Without ``allow_partial`` only
-    jobs whose segments are all finished are returned.
+    Copied formats keep every untouched source node; a pending segment counts there
+    only where it shares a node with a finished one. Both facts come out of the one
+    grouping by node that merges fragments. Without ``allow_partial`` only jobs
+    whose segments are all finished are returned.
     """
     is_done = (F.col("status") == "DONE") & (F.coalesce("translated_text", F.lit("")) != "")
     typed = segments.join(jobs.select("job_id", "file_type"), "job_id").withColumns(
@@ -95,14 +102,13 @@ def partial_preview(jobs: DataFrame, segments: DataFrame, nodes: DataFrame, allo
         open_jobs = typed.where(~F.col("is_done")).select("job_id").distinct()
         typed = typed.join(open_jobs, "job_id", "left_anti")
         nodes = nodes.join(typed.select("job_id").distinct(), "job_id", "left_semi")
-    touched = typed.where("is_done").select("job_id", F.explode("node_indices").alias("node_idx")).distinct()
-    blocks = remap_blocks(typed, "chosen").join(typed.select("job_id", "chunk_index", "file_type"), ["job_id", "chunk_index"])
-    copied = F.col("file_type").isin(*COPIED_FORMATS)
-    kept = blocks.where(~copied).unionByName(
-        blocks.where(copied).join(touched, ["job_id", "node_idx"], "left_semi").select(blocks.columns)
+    blocks = remap_blocks(typed, "chosen", ("is_done", "file_type"))
+    copied = F.max(F.col("file_type").isin(*COPIED_FORMATS)).alias("copied")
+    merged = merge_fragments(blocks, F.max("is_done").alias("touched"), copied)
+    kept = merged.where(~F.col("copied") | F.col("touched")).select(
+        "job_id", "node_idx", F.col("html").alias("new_html"), "error"
     )
-    merged = merge_fragments(kept).withColumnRenamed("html", "new_html")
-    return nodes.join(merged, ["job_id", "node_idx"], "left").select(
+    return nodes.join(kept, ["job_id", "node_idx"], "left").select(
         "job_id", "node_idx", F.coalesce("new_html", "html").alias("html"),
         F.col("new_html").isNotNull().alias("replaced"), "error",
     )
