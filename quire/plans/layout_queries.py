@@ -53,9 +53,9 @@ def span_lines(spark, sf):
 
 
 def spans(spark, sf):
+    """Span rows of every page; the first line of a page also brings its running head and page number."""
     i = F.col("i")
     size = F.when(i % 17 == 0, 18.0).when(i % 7 == 0, 12.5).otherwise(11.0)
-    lines = span_lines(spark, sf)
 
     def span(line, pos, text, sz, font, flags, color):
         return F.struct(
@@ -63,46 +63,46 @@ def spans(spark, sf):
             font.alias("font"), flags.alias("flags"), F.lit(color).alias("color"),
         )
 
+    def block(idx, members, x0, y0, x1, y1):
+        return F.struct(
+            idx.cast("int").alias("block_idx"), F.array(*members).alias("spans"), x0.alias("x0"), y0.alias("y0"),
+            x1.alias("x1"), y1.alias("y1"),
+        )
+
+    def margin(idx, text, top):
+        member = span(0, 0, text, F.lit(9.0), F.lit("Serif"), F.lit(0), 0)
+        return block(F.lit(idx), [member], F.lit(200.0), F.lit(top), F.lit(300.0), F.lit(top + 10))
+
     bold = F.when(i % 17 == 0, F.lit(16)).otherwise(F.lit(0))
     italic = F.when(i % 5 == 0, F.lit("Serif-Italic")).otherwise(F.lit("Serif"))
     head = F.when((F.col("a") != "") & (i % 4 == 1), F.concat("a", F.lit("-"))).otherwise(F.col("a"))
-    body = lines.withColumn(
-        "spans",
-        F.array(
+    wide = i % 7 == 0
+    y0 = (60 + 45 * (i % 12)).cast("double")
+    line_block = block(
+        F.col("block_idx"),
+        [
             span(0, 0, head, size, F.lit("Serif"), bold, 0),
             span(1, 0, F.when(F.col("b") != "", F.concat("b", F.lit(" "))).otherwise(""), size + 0.3, italic, F.lit(0), 255),
             span(1, 1, F.col("c"), size, F.lit("Serif"), F.lit(0), 0),
-        ),
+        ],
+        F.when(wide, 150.0).otherwise(50.0), y0, F.when(wide, 350.0).otherwise(450.0), y0 + 30,
     )
-    wide = i % 7 == 0
-    y0 = (60 + 45 * (i % 12)).cast("double")
-    blocks = body.select(
-        "doc_id", "page_num", "block_idx", "spans",
-        F.when(wide, 150.0).otherwise(50.0).alias("x0"), y0.alias("y0"),
-        F.when(wide, 350.0).otherwise(450.0).alias("x1"), (y0 + 30).alias("y1"),
-    )
-    per_page = lines.select("doc_id", "source", "page_num").distinct()
-
-    def margin(idx, text, top):
-        return per_page.select(
-            "doc_id", "page_num", F.lit(idx).alias("block_idx"),
-            F.array(span(0, 0, text, F.lit(9.0), F.lit("Serif"), F.lit(0), 0)).alias("spans"),
-            F.lit(200.0).alias("x0"), F.lit(top).alias("y0"), F.lit(300.0).alias("x1"), F.lit(top + 10).alias("y1"),
+    margins = F.array(margin(0, F.col("source"), 20.0), margin(13, F.col("page_num").cast("string"), 660.0))
+    blocks = F.when(i % 12 == 0, F.concat(F.array(line_block), margins)).otherwise(F.array(line_block))
+    return (
+        span_lines(spark, sf).select("doc_id", "page_num", F.explode(blocks).alias("k"))
+        .select(
+            "doc_id", "page_num", "k.block_idx", F.explode("k.spans").alias("s"), "k.x0", "k.y0", "k.x1", "k.y1",
+            F.lit(500.0).alias("page_w"), F.lit(700.0).alias("page_h"),
         )
-
-    everything = blocks.unionByName(margin(0, F.col("source"), 20.0)).unionByName(
-        margin(13, F.col("page_num").cast("string"), 660.0)
+        .select("doc_id", "page_num", "block_idx", "s.*", "x0", "y0", "x1", "y1", "page_w", "page_h")
     )
-    return everything.select(
-        "doc_id", "page_num", "block_idx", F.explode("spans").alias("s"), "x0", "y0", "x1", "y1",
-        F.lit(500.0).alias("page_w"), F.lit(700.0).alias("page_h"),
-    ).select("doc_id", "page_num", "block_idx", "s.*", "x0", "y0", "x1", "y1", "page_w", "page_h")
 
 
 def page_table(spark, sf):
-    return span_lines(spark, sf).select(
+    return span_lines(spark, sf).where("i % 12 = 0").select(
         "doc_id", "page_num", F.lit(500.0).alias("page_w"), F.lit(700.0).alias("page_h")
-    ).distinct()
+    )
 
 
 def images(spark, sf):
