@@ -3,8 +3,8 @@
 ``model_fn(system_prompt, text, model, temperature) -> str`` is user code. It runs
 inside ``mapInPandas``; the number of partitions is the allowed parallelism.
 Answers are written to the shared folder before anything else happens to them, so
-neither a later action nor a lost executor ever asks the model twice for a
-finished round. Cleaning and structure checks stay on the JVM.
+no later action and no lost executor asks the model again for a finished wave.
+Cleaning and structure checks stay on the JVM.
 """
 
 from __future__ import annotations
@@ -119,8 +119,14 @@ def call_model(
 RESULT = ["call_error", "provider_down", "attempts", "ok", "reason", "result_text"]
 
 
-def _one_try(items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int, prompt: str, label: str) -> DataFrame:
-    """Ask once for every item (source_html, system_prompt, …) and judge the answers."""
+def _one_try(
+    items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int, prompt: str, label: str, waves: int = 1
+) -> DataFrame:
+    """Ask once for every item (source_html, system_prompt, …) and judge the answers.
+
+    ``waves`` cuts the items by key hash; each wave is written before the next one
+    starts, so a lost executor costs at most its share of one wave.
+    """
     keep = items.columns
     asked = items.withColumns(
         {
@@ -128,7 +134,12 @@ def _one_try(items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int,
             "text": strip_attributes(F.col("source_html")),
         }
     )
-    answers = settle(call_model(asked, model_fn, parallelism, tries).drop("prompt", "text"), label)
+    wave = F.pmod(F.xxhash64("job_id", "chunk_index", "first_block"), F.lit(waves))
+    answers = None
+    for w in range(waves):
+        part = asked if waves == 1 else asked.where(wave == w)
+        written = settle(call_model(part, model_fn, parallelism, tries).drop("prompt", "text"), label)
+        answers = written if answers is None else answers.unionByName(written)
     v = verify_structure(F.col("source_html"), F.col("answer"))
     return answers.withColumn("v", v).select(
         *keep, "call_error", "provider_down", "attempts",
@@ -138,9 +149,9 @@ def _one_try(items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int,
     )
 
 
-def _first_and_repair(items: DataFrame, model_fn: ModelFn, parallelism: int) -> DataFrame:
+def _first_and_repair(items: DataFrame, model_fn: ModelFn, parallelism: int, waves: int) -> DataFrame:
     """First try, then one repair prompt for answers that came back with a wrong structure."""
-    first = settle(_one_try(items, model_fn, parallelism, FIRST_TRIES, "first", "answers"), "judged")
+    first = settle(_one_try(items, model_fn, parallelism, FIRST_TRIES, "first", "answers", waves), "judged")
     wrong = first.where(~F.col("ok") & F.col("call_error").isNull())
     if wrong.isEmpty():
         return first
@@ -149,7 +160,7 @@ def _first_and_repair(items: DataFrame, model_fn: ModelFn, parallelism: int) ->
 
 
 def translate_segments(
-    segments: DataFrame, model_fn: ModelFn, parallelism: int, recover: Column | None = None
+    segments: DataFrame, model_fn: ModelFn, parallelism: int, recover: Column | None = None, waves: int = 1
 ) -> DataFrame:
     """Translate segments and recover broken structure where ``recover`` is true.
 
@@ -166,9 +177,9 @@ def translate_segments(
     items = segments.select(
         *key, "source_html", "system_prompt", "model", "temperature", recover.alias("recover"), F.lit(0).alias("first_block")
     )
-    finished, pending = [], items
+    finished, pending = [], items if waves == 1 else settle(items, "items")
     while True:
-        judged = _first_and_repair(pending, model_fn, parallelism)
+        judged = _first_and_repair(pending, model_fn, parallelism, waves)
         blocks = checked_blocks(F.col("source_html"))
         splittable = ~F.col("ok") & F.col("call_error").isNull() & F.col("recover") & (F.size(blocks) > 1)
         finished.append(judged.where(~splittable))

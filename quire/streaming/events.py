@@ -16,6 +16,7 @@ import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -283,11 +284,13 @@ class _RateLimiter(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         admitted = deque(self.recent.get()[0]) if self.recent.exists() else deque()
-        # Arrival order inside a micro-batch is restored; the trigger size bounds this.
-        pdf = pd.concat(list(rows)).sort_values(["us", "seq"])
-        verdicts = _admit(iter(pdf["us"].tolist()), admitted, self.window, self.limits[key[1]])
+        # Arrival order inside a micro-batch is restored from two integers per request;
+        # the trigger size (files or bytes per trigger) bounds how many there are.
+        arrived = np.concatenate([pdf[["us", "seq"]].to_numpy(dtype=np.int64) for pdf in rows])
+        arrived = arrived[np.lexsort((arrived[:, 1], arrived[:, 0]))]
+        verdicts = _admit(iter(arrived[:, 0].tolist()), admitted, self.window, self.limits[key[1]])
         self.recent.update((list(admitted),))
-        yield pd.DataFrame({"client": key[0], "class": key[1], "seq": pdf["seq"].tolist(), "admitted": verdicts})
+        yield pd.DataFrame({"client": key[0], "class": key[1], "seq": arrived[:, 1], "admitted": verdicts})
 
     def close(self) -> None:
         pass
