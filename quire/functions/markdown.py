@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.core import NON_WS, WS, let, strip
+from quire.functions.core import WS, let, strip
 from quire.functions.html import MARKUP
 from quire.functions.text import (
-    LINE_END, decode_entities, escape_html, inline_html, legacy_inline_html, paragraph_blocks, split_lines,
+    LINE_END, decode_entities, inline_html, legacy_inline_html, paragraph_blocks, split_lines,
 )
 
 # The block grammar.

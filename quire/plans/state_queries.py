@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import rebuild as R
 from quire.operators import report as I
-from quire.operators import segment as S
 from quire.operators import state as G
-from quire.operators import prompt as P
 from quire.operators import extract as X
 from quire.plans import sql as Q
 from quire.plans import tables as tb
