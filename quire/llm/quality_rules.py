@@ -28,7 +28,7 @@ SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 #: Measures with an adaptive upper fence, and the least distance of the fence above the upper quartile.
-MEASURES = {"symbols_per_100_words": 20.0, "dup_lines_per_100_lines": 30.0, "chars_per_word": 4.0, "repeats_per_100_words": 10.0}
+MEASURES = {"symbols_per_100_words": 20.0, "dup_lines_per_100_lines": 45.0, "chars_per_word": 4.0, "repeats_per_100_words": 24.0}
 SPREAD = 6.0
 MIN_GROUP = 50
 #: Buckets grow by this factor, so a quantile is known to about 2 %.
