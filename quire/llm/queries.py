@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.exact_dedup import mark_exact
+from quire.llm.mixing import taken_words
+from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
 
 
@@ -18,6 +20,12 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    scored = score_quality(table(spark, sf_dir, "documents"), labels, ["doc_id"])
+    return scored.select("row.doc_id", "held_out", "score", "predicted")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ruled = apply_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return ruled.select(
@@ -25,7 +33,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op3_quality_rules": op3_quality_rules}
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = taken_words(table(spark, sf_dir, "documents"), ["doc_id"])
+    return taken.select("row.doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_mixing": op4_mixing,
+}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -69,7 +87,7 @@ ORACLES = {
         v AS (SELECT lvl, lang, source, k, max(total) AS total,
                      min(CASE WHEN seen >= total * 0.25 THEN bkt END) AS lo,
                      min(CASE WHEN seen >= total * 0.75 THEN bkt END) AS hi FROM c GROUP BY ALL),
-        f AS (SELECT lvl, lang, source, k, total, h + greatest([20.0, 30.0, 4.0, 10.0][k], 6.0 * (h - l)) AS fence
+        f AS (SELECT lvl, lang, source, k, total, h + greatest([20.0, 45.0, 4.0, 24.0][k], 6.0 * (h - l)) AS fence
               FROM (SELECT *, CASE WHEN hi > 0 THEN pow(1.04::DOUBLE, hi - 1) / 100 ELSE 0 END AS h,
                               CASE WHEN lo > 0 THEN pow(1.04::DOUBLE, lo - 1) / 100 ELSE 0 END AS l FROM v)),
         g AS (SELECT o.lang, o.source, o.k,
