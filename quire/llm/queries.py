@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm import pieces, token_file
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.mixing import taken_words
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
+from quire.session import checkpoint_root
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +43,26 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    coded = pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"], model))
+    return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    token_file.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
+    return token_file.digests(token_file.read_tokens(spark, path))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op9_token_file": op9_token_file,
 }
 
 ORACLES = {
