@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quire.llm import pieces, token_file
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.mixing import taken_words
+from quire.llm.near_dedup import mark_near
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
 from quire.session import checkpoint_root
@@ -56,6 +57,11 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.digests(token_file.read_tokens(spark, path))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_near(table(spark, sf_dir, "documents"), ["doc_id"])
+    return marked.select("row.doc_id", "class_id", "class_size", "kept")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -63,6 +69,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_sentencepiece": op6_sentencepiece,
     "op9_token_file": op9_token_file,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLES = {
