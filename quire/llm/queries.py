@@ -12,6 +12,7 @@ from quire.llm import pieces, token_file
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.mixing import taken_words
 from quire.llm.near_dedup import mark_near
+from quire.llm.ngram_lm import score_texts
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
 from quire.session import checkpoint_root
@@ -50,6 +51,13 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), ["doc_id"])
+    return scored.select(
+        "row.doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -68,6 +76,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_lm_scores": op7_lm_scores,
     "op9_token_file": op9_token_file,
     "op10_near_dedup": op10_near_dedup,
 }
