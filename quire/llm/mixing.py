@@ -142,7 +142,9 @@ def mix_plan(
         ended.where("size > 0").withColumn("block", F.explode(touched))
         .select("rid", "s", "block", (begin - first).alias("from_word"), (end - begin).alias("n_words"))
     )
-    return named, pieces, _slots(spark, [f[0] for f in found], slots, blocks, seed), sources
+    # Written, so that its true size is known to the joins that follow.
+    chosen = settle(_slots(spark, [f[0] for f in found], slots, blocks, seed), "mix-slots")
+    return named, pieces, chosen, sources
 
 
 def _ranked(named: DataFrame) -> DataFrame:

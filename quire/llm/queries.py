@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import pieces, token_file
 from quire.llm.exact_dedup import mark_exact
+from quire.llm.line_dedup import mark_lines
 from quire.llm.mixing import taken_words
 from quire.llm.near_dedup import mark_near
 from quire.llm.ngram_lm import score_texts
@@ -58,6 +59,11 @@ def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = mark_lines(table(spark, sf_dir, "documents"), ["doc_id"])
+    return marked.select("row.doc_id", "n_lines", "n_links", F.size("dropped").alias("n_dropped"), "dropped")
+
+
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -77,6 +83,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_lm_scores": op7_lm_scores,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_near_dedup": op10_near_dedup,
 }
