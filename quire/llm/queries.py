@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import pieces, token_file
 from quire.llm.exact_dedup import mark_exact
+from quire.llm.html_render import extract_text
 from quire.llm.line_dedup import mark_lines
 from quire.llm.mixing import taken_words
 from quire.llm.near_dedup import mark_near
@@ -46,6 +47,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages"), ["page_id"])
+    return texts.select("row.page_id", F.char_length("text").alias("n_chars"), "text")
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     coded = pieces.digests(pieces.encode(table(spark, sf_dir, "documents"), ["doc_id"], model))
@@ -81,6 +87,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_mixing": op4_mixing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_lm_scores": op7_lm_scores,
     "op8_line_dedup": op8_line_dedup,
