@@ -1,19 +1,67 @@
-"""The training-data pipeline: five stages over ``documents``, each one of the operators."""
+"""The training-data pipeline over ``documents``: classify, deduplicate, mix, tokenise.
+
+Each stage takes (spark, docs, sf_dir) and calls one operator; all but the last return the
+columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm import pieces
 from quire.llm.exact_dedup import exact_dedup
+from quire.llm.mixing import mixed_documents
+from quire.llm.near_dedup import near_dedup
+from quire.llm.quality_model import keep_good
+from quire.session import settle
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts one stays."""
+    return exact_dedup(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates one document stays."""
+    return near_dedup(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources at their target weights: documents come whole, in part or up to three times."""
+    return mixed_documents(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document of the mix, with digests of the ids and of their decoding."""
+    coded = pieces.encode(docs, ["doc_id"], public_tokenizers.path("piece_bpe_32k.model"))
+    sums = pieces.digests(coded, ["ids"])
+    return sums.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
 
-STAGES = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup(docs))]
+STAGES = [
+    ("quality classifier", quality),
+    ("exact dedup", exact),
+    ("MinHash near-dedup", near),
+    ("mixing sources to target weights", mix),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: Learned scores, signatures and tokenisation cannot be written in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage returns is written once and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for number, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if number < len(STAGES):
+            docs = settle(docs, f"pipeline-{number}")
     return docs

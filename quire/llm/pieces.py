@@ -88,10 +88,10 @@ def encode(docs: DataFrame, carry: list[str], model: str, text: str = "text") ->
     return chosen.mapInArrow(run, f"{_ddl(out)}, ids array<int>, decoded string")
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """(row, n_tokens, ids_sha256, decoded_sha256) of encoded documents."""
+def digests(coded: DataFrame, more: list[str] = ()) -> DataFrame:
+    """(row, n_tokens, ids_sha256, decoded_sha256) of encoded documents, and the columns in ``more``."""
     return coded.select(
-        "row", F.size("ids").cast("long").alias("n_tokens"),
+        "row", *more, F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
