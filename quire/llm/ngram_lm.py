@@ -83,6 +83,17 @@ def grams(texts: pa.Array, order: int) -> Grams:
     return Grams(text, place > 0, keys, at)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, in byte planes, compressed: the high planes are nearly empty."""
+    planes = np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def chunk_counts(g: Grams, train: np.ndarray) -> np.ndarray:
     """How often each n-gram occurs in the chunk's training texts."""
     learned = train[g.text]
@@ -207,7 +218,7 @@ def score_texts(
             {
                 "bucket": pa.array(mine, pa.int32()),
                 "chunk": pa.array([chunk] * len(mine), pa.int32()),
-                "keys": pa.array([g.keys[p].tobytes() for p in parts], pa.binary()),
+                "keys": pa.array([pack_keys(g.keys[p]) for p in parts], pa.binary()),
                 "counts": pa.array([pack.compress(counts[p].tobytes()) for p in parts], pa.binary()),
                 "seen": pa.array([seen.tobytes() if b == chunk else None for b in mine], pa.binary()),
             }
@@ -215,7 +226,7 @@ def score_texts(
 
     def answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         unpack, pack = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1)
-        keys = [np.frombuffer(k, np.uint64) for k in table.column("keys").to_pylist()]
+        keys = [unpack_keys(k) for k in table.column("keys").to_pylist()]
         counts = [np.frombuffer(unpack.decompress(c), np.int64) for c in table.column("counts").to_pylist()]
         distinct, number = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(number, np.concatenate(counts), len(distinct)).astype(np.int64)
