@@ -12,7 +12,7 @@ without touching other payloads, and Spark's commit protocol makes lost tasks ha
 from __future__ import annotations
 
 import os
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +27,8 @@ from quire.llm.text import slices
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+SHARD_BYTES = 48 << 20
+TABLE_WORDS = 700_000
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int64()), ("size", pa.int64())]))
 _BLOCK = (
     "shard int, block int, first long, n int, plane_bytes array<int>, payload binary, "
@@ -53,12 +55,68 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u4").ravel()
 
 
-def _encoder(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+_TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,!?;:]+)", re.DOTALL)
+_PROBES = ("ab,", "Ab7!?", "x.", "a\u00e9;", "it's", "\u00c9a b,c")
+JOINED = 256
 
-    tokenizer = Tokenizer.from_file(path)
-    return lambda new: [e.ids for e in tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+
+class WordEncoder:
+    """Ids of words by the tokenizers library, with as few calls as word-end models allow.
+
+    Such a model lower-cases, drops white space, keeps letters and punctuation apart and marks the
+    last piece of every run. So trailing punctuation is encoded apart from its word, and words of
+    letters only go to the library many at a time, as one text that is cut behind each end mark.
+    """
+
+    def __init__(self, path: str, limit: int = 300_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.stems: dict[bytes, list[int]] = {}
+        self.limit = limit
+
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def check(self) -> None:
+        """Raise unless texts can be encoded word by word, folded, and without their trailing punctuation."""
+        for text, whole in zip(_PROBES, self.plain(list(_PROBES))):
+            parts = [i for word in split_words(text) for i in self([word])[0]]
+            if parts != whole or self.plain([text.upper()]) != self.plain([text.lower()]):
+                raise ValueError("this tokenizer is not a word-end model, so words cannot be encoded alone")
+
+    def _learn(self, stems: list[bytes]) -> None:
+        names = [s.decode() for s in stems]
+        letters = [k for k, n in enumerate(names) if n.isalpha()]
+        rest = [k for k, n in enumerate(names) if not n.isalpha()]
+        for k in range(0, len(letters), JOINED):
+            group = letters[k : k + JOINED]
+            ids = self.plain([" ".join(names[i] for i in group)])[0]
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(group):
+                rest += group
+                continue
+            for i, a, b in zip(group, [0, *ends], ends):
+                self.stems[stems[i]] = ids[a:b]
+        for i, ids in zip(rest, self.plain([names[i] for i in rest])):
+            self.stems[stems[i]] = ids
+
+    def __call__(self, words: list[bytes]) -> list[list[int]]:
+        cut = [m.groups() if (m := _TAIL.fullmatch(w)) else (w,) for w in words]
+        if len(self.stems) > self.limit:
+            self.stems = {}
+        self._learn(list({p for parts in cut for p in parts} - self.stems.keys()))
+        return [self.stems[c[0]] if len(c) == 1 else self.stems[c[0]] + self.stems[c[1]] for c in cut]
+
+
+def split_words(text: str) -> list[bytes]:
+    """White-space words of a text; A-Z folded unless the text may hold the name of a special token."""
+    data = text.encode("utf-8", "replace")
+    return (data if b"<|" in data else data.lower()).split()
 
 
 def write_tokens(
@@ -67,13 +125,12 @@ def write_tokens(
 ) -> None:
     """Encode every whole text and write the id file to ``path`` (a new folder).
 
-    The tokenizer's pieces must not cross white space and must drop it, as those of word-end models
-    do; then a text is encoded word by word, each distinct word once per task. Null and empty texts
-    have the end id only. Null ids come first; equal ids follow one another, ordered by text hash.
+    The tokenizer must be a word-end model; then a text is encoded word by word, each distinct word
+    once per task. Null and empty texts have the end id only. Null ids come first; equal ids follow one another, ordered by text hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(_encoder(tokenizer))
+        table = ChunkTable(WordEncoder(tokenizer), TABLE_WORDS)
         pack = zstandard.ZstdCompressor(level=LEVEL)
         shard = TaskContext.get().partitionId()
         number, first, held, waiting = 0, 0, np.zeros(0, np.int64), []  # waiting: (doc_id, first, size) not yet closed
@@ -95,7 +152,7 @@ def write_tokens(
 
         total = 0
         for part in slices(batches, "text"):
-            lists = [(t or "").encode("utf-8", "replace").split() for t in part.column("text").to_pylist()]
+            lists = [split_words(t or "") for t in part.column("text").to_pylist()]
             ids, sizes = table.lookup([w for words in lists for w in words])
             ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, lists)])]
             closed = np.insert(ids.astype(np.int64), ends[1:], end_id)
@@ -109,8 +166,10 @@ def write_tokens(
         if len(held):
             yield emit(held)
 
+    WordEncoder(tokenizer).check()
     chosen = docs.select(docs[f"`{order}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    size = chosen.select(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    ordered = chosen.repartitionByRange(int(size // SHARD_BYTES) + 1, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     ordered.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(path)
 
 
@@ -120,7 +179,7 @@ def _documents(blocks: DataFrame, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 first, last = r["first"], r["first"] + r["n"]
                 chosen = [d for d in r["docs"] if (d["first"] >= first and d["first"] + d["size"] <= last) == whole]
                 if not chosen:
@@ -128,23 +187,23 @@ def _documents(blocks: DataFrame, whole: bool) -> DataFrame:
                 cuts = np.cumsum([0, *r["plane_bytes"]])
                 ids = from_planes([unpack.decompress(r["payload"][a:b]) for a, b in zip(cuts, cuts[1:])], r["n"])
                 at = [(max(0, d["first"] - first), min(r["n"], d["first"] + d["size"] - first)) for d in chosen]
-                parts = [ids[a:b] for a, b in at]
-                values = pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts).astype(np.int64), pa.int64())
-                )
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r["shard"]] * len(chosen), pa.int32()), pa.array([d["first"] for d in chosen], pa.int64()),
-                        pa.array([d["doc_id"] for d in chosen], pa.int64()), pa.array([first] * len(chosen), pa.int64()), values,
+                        pa.array([d["doc_id"] for d in chosen], pa.int64()), pa.array([first] * len(chosen), pa.int64()),
+                        pa.array([ids[a:b].tobytes() for a, b in at], pa.binary()),
                     ],
                     ["shard", "first", "doc_id", "place", "ids"],
                 )
 
-    return blocks.mapInArrow(run, "shard int, first long, doc_id long, place long, ids array<long>")
+    return blocks.mapInArrow(run, "shard int, first long, doc_id long, place long, ids binary")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, ids array<long>) of every document in the file; ``start`` counts the ids of all before it."""
+    """(doc_id, start, ids) of every document in the file.
+
+    ``ids`` holds little-endian unsigned 32-bit integers; ``start`` counts the ids of all documents before.
+    """
     blocks = spark.read.parquet(path)
     totals = blocks.groupBy("shard").agg(F.sum("n").alias("ids"))  # one narrow row per shard
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -153,7 +212,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = (
         _documents(blocks, False).groupBy("shard", "first", "doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-        .select("shard", "first", "doc_id", F.flatten(F.col("parts.ids")).alias("ids"))
+        .select("shard", "first", "doc_id", F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"])).alias("ids"))
     )
     return (
         whole.unionByName(parts).join(base, "shard")
@@ -163,16 +222,6 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 def digests(read: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of documents read back."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat = np.asarray(ids.flatten()).astype("<u4")
-            cuts = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))])
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(cuts), pa.int64()), pa.array(crc, pa.int64())],
-                ["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )

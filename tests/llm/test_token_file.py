@@ -25,7 +25,8 @@ def test_planes_round_trip(bits):
 def texts():
     rng = random.Random(4)
     alphabet = " \t\n\x0b\x1c 　́abAé'sß12中Σς🎉.,"
-    out = [None, "", "  ", "<|endoftext|> x<|startoftext|>", "it's 'll", "long " * 5000, "ÀΣ" * 3000]
+    out = [None, "", "  ", "<|endoftext|> x<|startoftext|>", "<|ENDOFTEXT|>", "it's 'll", "long " * 5000, "ÀΣ" * 3000]
+    out += ["a,b. c7!? é; d,,, x'S. ab.ab. ½, a\u0301. \u0301, .,", "ªb ǅ. ʰ! 中,", "'S, 'll! i'd."]
     return out + ["".join(rng.choice(alphabet) for _ in range(rng.randrange(30))) for _ in range(500)]
 
 
@@ -34,7 +35,7 @@ def test_file_matches_the_library(spark, tmp_path, bits, block):
     rows = [(i * 7 % 4099, t, 1, "x") for i, t in enumerate(texts())] + [(None, "first", None, None), (3, "tie", 1, ""), (3, "tie", 1, "")]
     write_tokens(spark.createDataFrame(rows, SCHEMA).repartition(5), str(tmp_path / "f"), PATH, 2, block=block, bits=bits)
     read = read_tokens(spark, str(tmp_path / "f"))
-    got = sorted((r["start"], r["doc_id"], r["ids"]) for r in read.collect())
+    got = sorted((r["start"], r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in read.collect())
     tokenizer = Tokenizer.from_file(PATH)
     want: dict = {}
     for i, t, _, _ in rows:
