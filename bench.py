@@ -37,7 +37,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeats = int(os.environ.get("BENCH_REPEATS", "3"))
-    spark = build_session("quire-bench", f"local[{cpus}]", int(cpus))
+    spark = build_session("quire-bench", f"local[{cpus}]", int(cpus), input_tasks=int(cpus))
     spark.sparkContext.setLogLevel("ERROR")
     queries = registry.queries()
     seconds: dict[str, float] = {}

@@ -7,12 +7,19 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session key: tasks that an input of few, large splits is dealt out to. Unset, inputs are read as they are.
+INPUT_TASKS = "quire.input.tasks"
 
-def build_session(app: str = "quire", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+
+def build_session(
+    app: str = "quire", master: str | None = None, shuffle_partitions: int | None = None, input_tasks: int | None = None,
+    arrow_rows: int | None = None,
+) -> SparkSession:
     """A session with the settings the operators are written for.
 
-    AQE stays on everywhere: it coalesces small shuffles, splits skewed join
-    partitions and turns joins into broadcasts only after it has seen real sizes.
+    AQE stays on everywhere: it coalesces small shuffles, splits skewed join partitions and
+    re-plans joins by the sizes it has seen. ``input_tasks`` is for inputs whose files are single
+    row groups (see ``spread``); ``arrow_rows`` bounds Arrow batches where single values are large.
     """
     builder = (
         SparkSession.builder.appName(app)
@@ -28,23 +35,33 @@ def build_session(app: str = "quire", master: str | None = None, shuffle_partiti
         builder = builder.master(master)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if input_tasks:
+        builder = builder.config(INPUT_TASKS, str(input_tasks))
+    if arrow_rows:
+        builder = builder.config("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_rows))
     return builder.getOrCreate()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for lineage cuts.
+    """The shared folder for lineage cuts: ``spark.checkpoint.dir``, or the folder given to ``setCheckpointDir``.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a single-machine
-    session may fall back to a temporary folder.
+    Where neither is set, a session on one machine gets a temporary folder, once, as its checkpoint
+    folder; on a cluster that would be a folder the other machines cannot read, so it is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    given = context.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="quire-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+_WRITTEN: list[str] = []
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:
@@ -56,14 +73,25 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what ``settle`` has written in this session, once no result that reads it is needed; returns the count."""
+    done = 0
+    while _WRITTEN:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        done += bool(files.delete(path, True))
+    return done
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use the whole cluster for row-local work on an input with too few splits.
+    """Deal the rows out to as many tasks as the session asks for in ``quire.input.tasks``.
 
-    A large table has more splits than cores and is returned as it is; only a small
-    or badly split one (a single row group, say) is dealt out round-robin.
+    For row-local work on files of a single row group, which no reader can split. Unset, as on a
+    cluster with ordinary files, the input is read as it is and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    tasks = df.sparkSession.conf.get(INPUT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df

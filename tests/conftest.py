@@ -14,7 +14,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     from quire.session import build_session
 
-    session = build_session("quire-tests", "local[8]", 8)
+    session = build_session("quire-tests", "local[8]", 8, input_tasks=8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
