@@ -19,6 +19,32 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+BUFFER = 128
+
+
+def buffer(kind: str) -> Column:
+    """An empty list of type ``kind`` (``array<...>``) for a fold that appends.
+
+    Appending to an array copies it, which is quadratic over a fold. A buffer copies a short
+    recent part only, and puts it away as a whole whenever it is full.
+    """
+    return F.struct(F.array().cast(f"array<{kind}>").alias("full"), F.array().cast(kind).alias("recent"))
+
+
+def append(held: Column, items: Column, kind: str) -> Column:
+    """No ``let`` here: the result of a lambda is copied in depth, and so would be the whole buffer."""
+    recent = F.concat(held["recent"], items)
+    full = F.size(recent) >= BUFFER
+    return F.struct(
+        F.when(full, F.concat(held["full"], F.array(recent))).otherwise(held["full"]).alias("full"),
+        F.when(full, F.array().cast(kind)).otherwise(recent).alias("recent"),
+    )
+
+
+def buffered(held: Column) -> Column:
+    return F.flatten(F.concat(held["full"], F.array(held["recent"])))
+
+
 def strip(text: Column) -> Column:
     """Unicode-aware strip (``trim`` removes spaces only)."""
     return F.btrim(text, F.lit(WHITESPACE))

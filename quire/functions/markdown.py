@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.core import WS, let, strip
+from quire.functions.core import WS, append, buffer, buffered, let, strip
 from quire.functions.html import MARKUP
 from quire.functions.text import (
     LINE_END, decode_entities, inline_html, legacy_inline_html, paragraph_blocks, split_lines,
@@ -40,11 +40,12 @@ def markdown_blocks(text: Column) -> Column:
             blocks.alias("blocks"), pos.alias("pos"), start.cast("int").alias("start"), fence.alias("fence")
         )
 
-    zero = state(F.array().cast("array<struct<first:int,stop:int>>"), F.lit(0), F.lit(-1), F.lit(None).cast("string"))
+    kind = "array<struct<first:int,stop:int>>"
+    zero = state(buffer(kind), F.lit(0), F.lit(-1), F.lit(None).cast("string"))
 
     def flushed(acc: Column, stop: Column) -> Column:
         block = F.struct(acc["start"].alias("first"), stop.cast("int").alias("stop"))
-        return F.when(acc["start"] >= 0, F.concat(acc["blocks"], F.array(block))).otherwise(acc["blocks"])
+        return F.when(acc["start"] >= 0, append(acc["blocks"], F.array(block), kind)).otherwise(acc["blocks"])
 
     def step(acc: Column, line: Column) -> Column:
         nxt = acc["pos"] + 1
@@ -63,7 +64,7 @@ def markdown_blocks(text: Column) -> Column:
     return let(
         split_lines(text),
         lambda lines: F.transform(
-            F.aggregate(lines, zero, step, lambda acc: flushed(acc, acc["pos"])),
+            F.aggregate(lines, zero, step, lambda acc: buffered(flushed(acc, acc["pos"]))),
             lambda b: strip(F.array_join(F.slice(lines, b["first"] + 1, b["stop"] - b["first"]), "\n")),
         ),
     )

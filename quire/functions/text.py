@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quire.functions.core import NON_WS, WS, let, replace_all, strip
-from quire.params import CHARS_PER_TOKEN, NAMED_ENTITIES, TOKENS_PER_WORD
+from quire.params import CHARS_PER_TOKEN, FREQUENT_REFERENCES, TOKENS_PER_WORD
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -33,24 +36,47 @@ def escape_text(text: Column) -> Column:
     return replace_all(text, {"&": "&amp;", "<": "&lt;", ">": "&gt;"})
 
 
+def _named_references() -> Column:
+    """Name -> characters of all named references, from the standard library's table, frequent ones first.
+
+    A constant of the plan; a map is searched from its start, and only for a name that occurs.
+    """
+    names = {n[:-1]: c for n, c in html5.items() if n.endswith(";")}
+    ordered = {n: names[n] for n in FREQUENT_REFERENCES} | names
+    return F.from_json(F.lit(json.dumps(ordered)), "map<string,string>")
+
+
 def decode_entities(text: Column) -> Column:
-    """Decode numeric references by rule and the common named ones; ``&amp;`` goes last."""
+    """Decode character references, each once: ``&amp;lt;`` becomes ``&lt;``.
+
+    Numeric references outside Unicode, and surrogates, become U+FFFD; unknown names stay.
+    """
 
-    def numeric(t: Column) -> Column:
-        refs = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(0)))
+    def character(ref: Column) -> Column:
+        hexadecimal = F.lower(F.substring(ref, 2, 1)) == "x"
+        digits = F.when(hexadecimal, F.substr(ref, F.lit(3))).otherwise(F.substr(ref, F.lit(2)))
+        short = F.regexp_replace(digits, "^0+", "")
+        digits = F.when(short == "", "0").otherwise(F.substring(short, 1, 7))
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).try_cast("long")
+        real = (F.length(short) <= 7) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(real, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
-        def decoded(ref: Column) -> Column:
-            digits = F.regexp_extract(ref, r"&#[xX]?([0-9a-fA-F]+);", 1)
-            code = F.when(F.lower(ref).startswith("&#x"), digits).otherwise(F.conv(digits, 10, 16))
-            return F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    def part(p: Column) -> Column:
+        """What follows an ampersand: a reference and the text behind it, or just text."""
 
-        return F.aggregate(refs, t, lambda acc, ref: F.replace(acc, ref, decoded(ref)))
+        def resolved(ref: Column) -> Column:
+            known = F.when(F.startswith(ref, F.lit("#")), character(ref)).otherwise(
+                F.try_element_at(_named_references(), ref)
+            )
+            tail = F.substr(p, F.length(ref) + 2)
+            return F.when((ref != "") & known.isNotNull(), F.concat(known, tail)).otherwise(F.concat(F.lit("&"), p))
 
-    named = {f"&{name};": char for name, char in NAMED_ENTITIES.items()}
+        return let(F.regexp_extract(p, "^(#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);", 1), resolved)
 
     def decode(t: Column) -> Column:
-        with_numeric = F.when(F.contains(t, F.lit("&#")), numeric(t)).otherwise(t)
-        return F.when(F.contains(t, F.lit("&")), replace_all(with_numeric, named)).otherwise(t)
+        parts = F.split(t, "&")
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), part)
+        return F.when(F.contains(t, F.lit("&")), F.concat(parts[0], F.array_join(rest, ""))).otherwise(t)
 
     return let(text, decode)
 

@@ -64,25 +64,5 @@ WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
     "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# Named character references decoded by ``decode_entities``; numeric ones are decoded by rule.
-NAMED_ENTITIES = {
-    "nbsp": "\xa0",
-    "lt": "<",
-    "gt": ">",
-    "quot": '"',
-    "apos": "'",
-    "copy": "©",
-    "reg": "®",
-    "middot": "·",
-    "hellip": "…",
-    "mdash": "—",
-    "ndash": "–",
-    "lsquo": "‘",
-    "rsquo": "’",
-    "ldquo": "“",
-    "rdquo": "”",
-    "laquo": "«",
-    "raquo": "»",
-    "euro": "€",
-    "amp": "&",
-}
+# Named character references looked up first; the whole table is the standard library's.
+FREQUENT_REFERENCES = ("amp", "lt", "gt", "quot", "nbsp", "copy", "middot", "hellip", "mdash", "ndash", "rsquo", "eacute")
