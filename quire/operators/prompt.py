@@ -11,6 +11,7 @@ from quire.params import LANGUAGE_NAMES
 
 # Glossary limits.
 MAX_ITEMS = 50_000
+MAX_DESCRIPTION = 5_000
 MAX_LENGTHS = {"source": 500, "target": 500, "category": 50, "note": 2000}
 MAX_NAME = 100
 
@@ -40,13 +41,16 @@ def glossary_validate(items: DataFrame) -> DataFrame:
     """Add ``reject_reason``; the item count is pre-aggregated per glossary, not windowed."""
     counts = items.groupBy("glossary").agg(F.count("*").alias("items"))
     name = F.col("glossary")
-    reason = F.when((name == "") | (F.length(name) > MAX_NAME), "name length").when(
+    reason = F.when(name.isNull(), "name missing").when((name == "") | (F.length(name) > MAX_NAME), "name length").when(
         ~F.rlike(name, F.lit(r"[\p{L}\p{N}]")), "name characters"
     ).when(F.coalesce(F.length("source"), F.lit(0)) == 0, "source missing")
     for field, limit in MAX_LENGTHS.items():
         reason = reason.when(F.length(field) > limit, f"{field} length")
+    if "description" in items.columns:
+        reason = reason.when(F.length("description") > MAX_DESCRIPTION, "description length")
     reason = reason.when(F.col("items") > MAX_ITEMS, "too many items")
-    return items.join(counts, "glossary").withColumn("reject_reason", reason).drop("items")
+    counted = items.join(counts.withColumnRenamed("glossary", "_name"), name.eqNullSafe(F.col("_name")), "left")
+    return counted.withColumn("reject_reason", reason).drop("items", "_name")
 
 
 def glossary_parse_lines(pasted: DataFrame, keep: list[str], text: str) -> DataFrame:

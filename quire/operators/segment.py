@@ -162,24 +162,30 @@ def limit_segments(segments: DataFrame, max_segments: int) -> DataFrame:
 
 
 def validate_params(requests: DataFrame) -> DataFrame:
-    """Range checks on job requests -> ``reject_reason`` (NULL when accepted)."""
+    """Range checks on job requests -> ``reject_reason`` (NULL when accepted).
+
+    Job type, languages, model, size, concurrency and temperature are required; the rest may be NULL.
+    """
+
+    def required(bad: Column) -> Column:
+        return F.coalesce(bad, F.lit(True))
 
     def outside(name: str, low, high) -> Column:
         return ~F.col(name).between(low, high)
 
     def bad_language(name: str) -> Column:
-        return ~F.rlike(F.col(name), F.lit(r"^[a-zA-Z-]{2,20}\z"))
+        return required(~F.rlike(F.col(name), F.lit(r"^[a-zA-Z-]{2,20}\z")))
 
     reason = (
-        F.when(~F.col("job_type").isin("translation", "proofreading"), "job_type")
+        F.when(required(~F.col("job_type").isin("translation", "proofreading")), "job_type")
         .when(bad_language("source_lang") | bad_language("target_lang"), "language")
-        .when((strip(F.col("model")) == "") | (F.length("model") > 300), "model")
+        .when(required((strip(F.col("model")) == "") | (F.length("model") > 300)), "model")
         .when(F.length("system_prompt") > 100_000, "system_prompt")
         .when(outside("max_segments", 1, 100_000), "max_segments")
         .when((F.length("api_type") > 50) | (F.length("endpoint") > 2_000), "provider")
-        .when(outside("chunk_size", 200, 10_000), "chunk_size")
-        .when(outside("concurrency", 1, 32), "concurrency")
-        .when(outside("temperature", 0.0, 2.0), "temperature")
+        .when(required(outside("chunk_size", 200, 10_000)), "chunk_size")
+        .when(required(outside("concurrency", 1, 32)), "concurrency")
+        .when(required(outside("temperature", 0.0, 2.0)), "temperature")
     )
     return requests.withColumn("reject_reason", reason)
 

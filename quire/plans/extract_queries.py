@@ -207,26 +207,27 @@ def limit_segments(spark, sf):
 
 @register(
     "validate_params",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'job_type' WHEN o_orderpriority LIKE '4%' THEN 'language'
-         WHEN o_orderkey % 13 = 0 THEN 'model' WHEN CAST(floor(o_totalprice) AS BIGINT) % 7 = 0 THEN 'max_segments'
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 OR o_orderkey % 47 = 0 THEN 'job_type'
+         WHEN o_orderpriority LIKE '4%' OR o_orderkey % 43 = 0 THEN 'language'
+         WHEN o_orderkey % 13 = 0 OR o_orderkey % 41 = 0 THEN 'model' WHEN CAST(floor(o_totalprice) AS BIGINT) % 7 = 0 THEN 'max_segments'
          WHEN CAST(floor(o_totalprice / 20) AS BIGINT) NOT BETWEEN 200 AND 10000 THEN 'chunk_size'
-         WHEN o_custkey % 40 NOT BETWEEN 1 AND 32 THEN 'concurrency'
+         WHEN o_custkey % 40 NOT BETWEEN 1 AND 32 OR o_orderkey % 37 = 0 THEN 'concurrency'
          WHEN o_orderkey % 30 / 10.0 > 2 THEN 'temperature' END AS reject_reason FROM orders""",
 )
 def validate_params(spark, sf):
     k = F.col("o_orderkey")
     requests = tb.table(spark, sf, "orders").select(
         "o_orderkey",
-        F.when(k % 11 == 0, "summary").otherwise("translation").alias("job_type"),
+        F.when(k % 11 == 0, "summary").when(k % 47 != 0, "translation").alias("job_type"),
         F.when(F.startswith("o_orderpriority", F.lit("4")), F.col("o_orderpriority")).otherwise("en").alias("source_lang"),
-        F.lit("fr").alias("target_lang"),
-        F.when(k % 13 == 0, " ").otherwise("base").alias("model"),
+        F.when(k % 43 != 0, "fr").alias("target_lang"),
+        F.when(k % 13 == 0, " ").when(k % 41 != 0, "base").alias("model"),
         F.lit(None).cast("string").alias("system_prompt"),
         F.when(F.floor("o_totalprice").cast("bigint") % 7 == 0, 0).otherwise(5).alias("max_segments"),
         F.lit("openai").alias("api_type"),
         F.lit(None).cast("string").alias("endpoint"),
         F.floor(F.col("o_totalprice") / 20).cast("bigint").alias("chunk_size"),
-        (F.col("o_custkey") % 40).alias("concurrency"),
+        F.when(k % 37 != 0, F.col("o_custkey") % 40).alias("concurrency"),
         (k % 30 / F.lit(10.0)).alias("temperature"),
     )
     return S.validate_params(requests).select("o_orderkey", "reject_reason")

@@ -146,26 +146,30 @@ def archive_audit(spark, sf):
     return A.archive_audit(A.archive_entries(archives(spark, sf))).select("archive", "file_type", "reason")
 
 
-@register("read_glossary", f"WITH {tq._PARSED} SELECT glossary, CAST(pos - 2 AS INTEGER) AS pos, source, target, category, note FROM parsed")
+@register("read_glossary", f"WITH {tq._PARSED} SELECT glossary, CAST(pos - 2 AS INTEGER) AS pos, source, target, category, note, 'about ' || glossary AS description FROM parsed")
 def read_glossary(spark, sf):
     path = scratch(spark, "glossaries")
-    S.write_glossary(tq.parsed(spark, sf), path)
-    return S.read_glossary(spark, path)
+    S.write_glossary(described(spark, sf), path)
+    return S.read_glossary(spark, path, multi_line=False)
+
+
+def described(spark, sf):
+    return tq.parsed(spark, sf).withColumn("description", F.concat(F.lit("about "), "glossary"))
 
 
 @register(
     "write_glossary",
-    f"WITH {tq._PARSED} SELECT glossary AS name, count(*) AS items, sum(length(source) + length(target) + length(note)) AS chars FROM parsed GROUP BY glossary",
+    f"WITH {tq._PARSED} SELECT glossary AS name, count(*) AS items, sum(length(source) + length(target) + length(note)) AS chars, 'about ' || glossary AS description FROM parsed GROUP BY glossary",
 )
 def write_glossary(spark, sf):
     path = scratch(spark, "glossaries")
-    S.write_glossary(tq.parsed(spark, sf), path)
+    S.write_glossary(described(spark, sf), path)
     docs = spark.read.schema(S.GLOSSARY_SCHEMA).json(path)
     chars = F.aggregate(
         "items", F.lit(0).cast("long"),
         lambda a, i: a + F.length(i["source"]) + F.length(i["target"]) + F.length(i["note"]),
     )
-    return docs.select("name", F.size("items").alias("items"), chars.alias("chars"))
+    return docs.select("name", F.size("items").alias("items"), chars.alias("chars"), "description")
 
 
 @register(

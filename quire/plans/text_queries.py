@@ -41,7 +41,7 @@ def raw_items(spark, sf):
     k = F.col("p_partkey")
     return parts(spark, sf).select(
         "p_partkey",
-        F.when(k % 29 == 0, "##").when(k % 37 == 0, F.repeat(F.lit("n"), 101)).otherwise(F.col("glossary")).alias("glossary"),
+        F.when(k % 43 == 0, F.lit(None)).when(k % 29 == 0, "##").when(k % 37 == 0, F.repeat(F.lit("n"), 101)).otherwise(F.col("glossary")).alias("glossary"),
         F.when(k % 17 == 0, "").when(k % 41 == 0, F.repeat(F.lit("s"), 501)).otherwise(F.col("p_name")).alias("source"),
         F.when(k % 23 == 0, F.repeat(F.lit("t"), 501)).otherwise(F.col("p_type")).alias("target"),
         F.when(k % 31 == 0, F.repeat(F.lit("c"), 51)).otherwise(F.lit("general")).alias("category"),
@@ -51,7 +51,7 @@ def raw_items(spark, sf):
 
 @register(
     "glossary_validate",
-    """SELECT p_partkey, CASE WHEN p_partkey % 29 = 0 THEN 'name characters' WHEN p_partkey % 37 = 0 THEN 'name length'
+    """SELECT p_partkey, CASE WHEN p_partkey % 43 = 0 THEN 'name missing' WHEN p_partkey % 29 = 0 THEN 'name characters' WHEN p_partkey % 37 = 0 THEN 'name length'
          WHEN p_partkey % 17 = 0 THEN 'source missing' WHEN p_partkey % 41 = 0 THEN 'source length'
          WHEN p_partkey % 23 = 0 THEN 'target length' WHEN p_partkey % 31 = 0 THEN 'category length'
          WHEN p_partkey % 19 = 0 THEN 'note length' END AS reject_reason FROM part""",

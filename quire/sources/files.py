@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,7 +43,7 @@ def file_type_of(path: Column) -> Column:
 def format_gate(files: DataFrame, path: str = "path") -> DataFrame:
     """Add ``file_type`` and ``accepted`` by file name suffix."""
     typed = files.withColumn("file_type", file_type_of(F.col(path)))
-    return typed.withColumn("accepted", F.col("file_type").isin(*FILE_TYPES))
+    return typed.withColumn("accepted", F.coalesce(F.col("file_type").isin(*FILE_TYPES), F.lit(False)))
 
 
 def decode_text(content: Column) -> Column:
@@ -58,10 +59,11 @@ def sniff_content(files: DataFrame, content: str = "content", file_type: str = "
         return F.substring(c, 1, len(magic)) == F.lit(magic)
 
     reason = (
-        F.when(~kind.isin(*FILE_TYPES), "unsupported format")
+        F.when(~F.coalesce(kind.isin(*FILE_TYPES), F.lit(False)), "unsupported format")
+        .when(c.isNull(), "no content")
         .when(kind.isin("epub", "docx"), F.when(~starts(ZIP_MAGIC), "not an archive"))
         .when(kind == "pdf", F.when(~starts(PDF_MAGIC), "not a PDF"))
-        .when(F.position(F.lit("00"), F.regexp_replace(F.hex(c), "(..)", "$1 ")) > 0, "binary data")
+        .when(F.contains(c, F.lit(b"\x00")), "binary data")
         .when(~F.is_valid_utf8(c.cast("string")), "not UTF-8")
     )
     return files.withColumn("reason", reason).withColumn("ok", F.col("reason").isNull())
@@ -72,30 +74,35 @@ def size_gate(files: DataFrame, length: str = "length", max_bytes: int = MAX_UPL
     return files.where(F.col(length) <= max_bytes)
 
 
-def _list_archive(name: str, file_type: str, content: bytes) -> list[tuple]:
+def _list_archive(name: str, file_type: str, content: bytes, prefix_bytes: int) -> list[tuple]:
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
             rows = []
             for e in archive.infolist():
                 markup = e.filename.lower().endswith(MARKUP_SUFFIXES) and e.file_size and not e.flag_bits & 1
-                head = archive.open(e).read(PREFIX_BYTES).upper() if markup else b""
+                head = archive.open(e).read(prefix_bytes).upper() if markup else b""
                 declares = b"<!ENTITY" in head or (b"<!DOCTYPE" in head and b"[" in head)
                 mime = e.filename == "mimetype" and not e.flag_bits & 1 and archive.open(e).read(40) == EPUB_MIME
                 rows.append((name, file_type, True, e.filename, e.file_size, e.compress_size, e.flag_bits,
                              e.external_attr, declares, mime))
             return rows or [(name, file_type, True) + (None,) * 7]
-    except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
+    except (zipfile.BadZipFile, zlib.error, EOFError, OSError, ValueError, RuntimeError):
         return [(name, file_type, False) + (None,) * 7]
 
 
-def archive_entries(files: DataFrame) -> DataFrame:
-    """ZIP directories as rows (archive = path); an unreadable archive keeps one row."""
+def archive_entries(files: DataFrame, prefix_bytes: int = PREFIX_BYTES) -> DataFrame:
+    """ZIP directories as rows (archive = path); an unreadable archive, NULL content included, keeps one row.
+
+    Entity declarations are sought in the first ``prefix_bytes`` of each markup member. Archives
+    reach Python in batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows: with large
+    archives set it low, as ``build_session(arrow_rows=...)`` does.
+    """
     names = [f.split()[0] for f in ENTRY_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, kind, content in zip(pdf["path"], pdf["file_type"], pdf["content"]):
-                yield pd.DataFrame(_list_archive(path, kind, content), columns=names).astype(
+                yield pd.DataFrame(_list_archive(path, kind, content or b"", prefix_bytes), columns=names).astype(
                     {"size": "Int64", "compressed": "Int64", "flag_bits": "Int32", "external_attr": "Int64"}
                 )
 

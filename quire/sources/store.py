@@ -13,21 +13,21 @@ from quire.schemas import CLIENTS, JOBS, SEGMENTS
 GLOSSARY_SCHEMA = f"name string, description string, items array<{ITEM}>"
 
 
-def read_glossary(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Glossary JSON -> item rows; unreadable or shapeless documents yield nothing.
+def read_glossary(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Glossary JSON -> item rows with the glossary's description; shapeless documents yield nothing.
 
-    ``write_glossary`` writes one document per line; ``multi_line`` reads files that
-    hold a single, possibly indented document each.
+    Files hold one document each, indented or not; ``multi_line=False`` reads files with one
+    document per line, as ``write_glossary`` writes them.
     """
     reader = spark.read.schema(GLOSSARY_SCHEMA).option("multiLine", multi_line).option("mode", "PERMISSIVE")
     docs = reader.json(path)
     return (
         docs.where(F.col("name").isNotNull() & F.col("items").isNotNull())
-        .select(F.col("name").alias("glossary"), F.posexplode("items").alias("pos", "item"))
+        .select(F.col("name").alias("glossary"), "description", F.posexplode("items").alias("pos", "item"))
         .where("item.source is not null")
         .select(
             "glossary", "pos", "item.source", F.coalesce("item.target", F.lit("")).alias("target"),
-            F.coalesce("item.category", F.lit("general")).alias("category"), "item.note",
+            F.coalesce("item.category", F.lit("general")).alias("category"), "item.note", "description",
         )
     )
 
@@ -35,13 +35,16 @@ def read_glossary(spark: SparkSession, path: str, multi_line: bool = False) -> D
 def write_glossary(items: DataFrame, path: str) -> None:
     """Items -> one JSON document per glossary, replacing the folder as a whole.
 
-    A valid glossary holds at most 50,000 items, which bounds the grouped list.
+    A valid glossary holds at most 50,000 items, which bounds the grouped list. The
+    ``description`` of its items, where there is such a column, is kept.
     """
+    if "description" not in items.columns:
+        items = items.withColumn("description", F.lit(None).cast("string"))
     docs = (
         items.groupBy("glossary")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", F.struct("source", "target", "category", "note").alias("item")))).alias("xs"))
+        .agg(F.max("description").alias("description"), F.array_sort(F.collect_list(F.struct("pos", F.struct("source", "target", "category", "note").alias("item")))).alias("xs"))
         .select(
-            glossary_key(F.col("glossary")).alias("key"), F.col("glossary").alias("name"), F.lit("").alias("description"),
+            glossary_key(F.col("glossary")).alias("key"), F.col("glossary").alias("name"), F.coalesce("description", F.lit("")).alias("description"),
             F.transform("xs", lambda x: x["item"]).alias("items"),
         )
     )
