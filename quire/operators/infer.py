@@ -9,6 +9,8 @@ Cleaning and structure checks stay on the JVM.
 
 from __future__ import annotations
 
+import inspect
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -32,6 +34,7 @@ DOWN_CODES = (502, 503, 504)
 RETRY_CODES = (408, 409, 429)
 FIRST_TRIES, REPAIR_TRIES = 3, 2
 SUBGROUP = 8
+WAVES = 2
 
 
 class ProviderDown(RuntimeError):
@@ -76,22 +79,38 @@ def word_map_model(words: dict[str, str]) -> ModelFn:
     return model
 
 
+_REASONING = re.compile(
+    r"<think>.*?</think>|<thought>.*?</thought>|\[THINKING\].*?\[/THINKING\]|<think>\s*\Z|```(?:html|xml|markdown)?",
+    re.DOTALL | re.IGNORECASE,
+)
+
+
+def is_blank(answer: str | None) -> bool:
+    """Is nothing left of an answer once reasoning and fences are taken off?"""
+    return not answer or not _REASONING.sub("", answer).strip()
+
+
 def call_model(
     requests: DataFrame, model_fn: ModelFn, parallelism: int, max_tries: int = FIRST_TRIES, backoff: float = 0.0
 ) -> DataFrame:
     """Add ``answer, call_error, provider_down, attempts`` to (prompt, text, model, temperature) rows.
 
-    Errors are columns; one bad request never fails the job.
+    Errors are columns; one bad request never fails the job. An answer that is empty after
+    cleaning counts as a failed try. Once a job's provider is down, a task makes no further
+    calls for that job. A ``model_fn`` with a ``max_tokens`` parameter gets the request's
+    ``budget``, where there is such a column.
     """
     added = "answer string, call_error string, provider_down boolean, attempts int"
     columns = requests.columns
+    bounded = "budget" in columns and "max_tokens" in inspect.signature(model_fn).parameters
 
-    def ask(prompt: str, text: str, model: str, temperature: float) -> tuple:
+    def ask(prompt: str, text: str, model: str, temperature: float, budget: int | None) -> tuple:
         error, attempt = "", 0
+        more = {"max_tokens": int(budget)} if bounded and budget is not None else {}
         for attempt in range(1, max_tries + 1):
             try:
-                answer = model_fn(prompt, text, model, temperature)
-                if answer and answer.strip():
+                answer = model_fn(prompt, text, model, temperature, **more)
+                if not is_blank(answer):
                     return answer, None, False, attempt
                 error = "empty answer"
             except ProviderDown as exc:
@@ -105,8 +124,18 @@ def call_model(
         return None, f"failed after {max_tries} tries: {error}", False, attempt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        down: set = set()
         for pdf in batches:
-            rows = [ask(*r) for r in zip(pdf["prompt"], pdf["text"], pdf["model"], pdf["temperature"])]
+            rows = []
+            jobs = pdf["job_id"] if "job_id" in columns else [None] * len(pdf)
+            budgets = pdf["budget"] if bounded else [None] * len(pdf)
+            for job, *request in zip(jobs, pdf["prompt"], pdf["text"], pdf["model"], pdf["temperature"], budgets):
+                if job is not None and job in down:
+                    rows.append((None, STOPPED, True, 0))
+                    continue
+                rows.append(ask(*request))
+                if rows[-1][2]:
+                    down.add(job)
             yield pdf[columns].assign(
                 answer=[r[0] for r in rows], call_error=[r[1] for r in rows],
                 provider_down=[r[2] for r in rows], attempts=[r[3] for r in rows],
@@ -116,16 +145,15 @@ def call_model(
     return requests.repartition(parallelism).mapInPandas(run, f"{fields}, {added}")
 
 
-RESULT = ["call_error", "provider_down", "attempts", "ok", "reason", "result_text"]
-
-
+STOPPED = "not asked: the job's provider is down"
 def _one_try(
     items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int, prompt: str, label: str, waves: int = 1
 ) -> DataFrame:
     """Ask once for every item (source_html, system_prompt, …) and judge the answers.
 
     ``waves`` cuts the items by key hash; each wave is written before the next one
-    starts, so a lost executor costs at most its share of one wave.
+    starts, so a lost executor costs at most its share of one wave, and a job whose
+    provider went down in one wave is not asked for in the next.
     """
     keep = items.columns
     asked = items.withColumns(
@@ -138,11 +166,24 @@ def _one_try(
     answers = None
     for w in range(waves):
         part = asked if waves == 1 else asked.where(wave == w)
+        halted = None
+        if answers is not None:
+            down = answers.where("provider_down").select("job_id").distinct()
+            if not down.isEmpty():
+                halted = part.join(down, "job_id", "left_semi").drop("prompt", "text").withColumns(
+                    {
+                        "answer": F.lit(None).cast("string"), "call_error": F.lit(STOPPED),
+                        "provider_down": F.lit(True), "attempts": F.lit(0),
+                    }
+                )
+                part = part.join(down, "job_id", "left_anti")
         written = settle(call_model(part, model_fn, parallelism, tries).drop("prompt", "text"), label)
         answers = written if answers is None else answers.unionByName(written)
+        if halted is not None:
+            answers = answers.unionByName(halted)
     v = verify_structure(F.col("source_html"), F.col("answer"))
-    return answers.withColumn("v", v).select(
-        *keep, "call_error", "provider_down", "attempts",
+    return answers.withColumns({"v": v, "spent": F.col("spent") + F.col("attempts")}).select(
+        *keep, "call_error", "provider_down",
         (F.col("call_error").isNull() & F.col("v.ok")).alias("ok"),
         F.coalesce("call_error", "v.reason").alias("reason"),
         F.when(F.col("call_error").isNull(), F.col("v.repaired")).alias("result_text"),
@@ -160,12 +201,14 @@ def _first_and_repair(items: DataFrame, model_fn: ModelFn, parallelism: int, wav
 
 
 def translate_segments(
-    segments: DataFrame, model_fn: ModelFn, parallelism: int, recover: Column | None = None, waves: int = 1
+    segments: DataFrame, model_fn: ModelFn, parallelism: int, recover: Column | None = None, waves: int = WAVES
 ) -> DataFrame:
-    """Translate segments and recover broken structure where ``recover`` is true.
+    """Translate segments and recover broken structure where ``recover`` is true (NULL is false).
 
-    ``segments``: job_id, chunk_index, source_html, system_prompt, model, temperature.
-    Result: the key plus ``ok, reason, result_text, attempts, provider_down``.
+    ``segments``: job_id, chunk_index, source_html, system_prompt, model, temperature, and
+    optionally ``budget`` (completion tokens, see ``output_budget``).
+    Result: the key plus ``ok, reason, result_text, attempts, provider_down``. ``attempts``
+    counts every call made for the segment, repairs and subgroups included.
 
     Recovery re-asks for subgroups of 8 blocks (or half of them when there are 8 or
     fewer) until one block is left: at most a handful of rounds, each over the
@@ -173,15 +216,18 @@ def translate_segments(
     results together again is one ordered aggregation per segment.
     """
     key = ["job_id", "chunk_index"]
-    recover = F.lit(False) if recover is None else recover
+    recover = F.lit(False) if recover is None else F.coalesce(recover, F.lit(False))
     items = segments.select(
-        *key, "source_html", "system_prompt", "model", "temperature", recover.alias("recover"), F.lit(0).alias("first_block")
+        *key, "source_html", "system_prompt", "model", "temperature", *[c for c in ("budget",) if c in segments.columns],
+        recover.alias("recover"), F.lit(0).alias("first_block"), F.lit(0).alias("spent"),
     )
     finished, pending = [], items if waves == 1 else settle(items, "items")
     while True:
         judged = _first_and_repair(pending, model_fn, parallelism, waves)
         blocks = checked_blocks(F.col("source_html"))
-        splittable = ~F.col("ok") & F.col("call_error").isNull() & F.col("recover") & (F.size(blocks) > 1)
+        splittable = F.coalesce(
+            ~F.col("ok") & F.col("call_error").isNull() & F.col("recover") & (F.size(blocks) > 1), F.lit(False)
+        )
         finished.append(judged.where(~splittable))
         failures = judged.where(splittable)
         if failures.isEmpty():
@@ -197,7 +243,7 @@ def translate_segments(
             F.bool_and("ok").alias("ok"),
             F.min_by("reason", F.when(~F.col("ok"), F.col("first_block"))).alias("reason"),
             F.array_sort(F.collect_list(F.struct("first_block", "result_text"))).alias("ps"),
-            F.sum("attempts").cast("int").alias("attempts"),
+            F.sum("spent").cast("int").alias("attempts"),
             F.bool_or("provider_down").alias("provider_down"),
         )
         .select(
@@ -212,15 +258,16 @@ def _subgroups(failures: DataFrame) -> DataFrame:
     """Cut failed pieces into smaller ones; positions stay those of the original segment."""
     n = F.size("blocks")
     size = F.when(n > SUBGROUP, F.lit(SUBGROUP)).otherwise(F.greatest(F.lit(1), F.floor(n / 2)).cast("int"))
-    others = [c for c in failures.columns if c not in ("source_html", "first_block")]
+    others = [c for c in failures.columns if c not in ("source_html", "first_block", "spent")]
     return (
         failures.withColumn("blocks", F.transform(checked_blocks(F.col("source_html")), lambda b: b["html"]))
         .withColumn("size", size)
-        .select(*others, "first_block", "blocks", "size", F.explode(F.sequence(F.lit(0), n - 1, F.col("size"))).alias("at"))
+        .select(*others, "first_block", "spent", "blocks", "size", F.explode(F.sequence(F.lit(0), n - 1, F.col("size"))).alias("at"))
         .select(
             *others,
             F.array_join(F.slice("blocks", F.col("at") + 1, F.col("size")), "\n\n").alias("source_html"),
             (F.col("first_block") + F.col("at")).alias("first_block"),
+            F.when(F.col("at") == 0, F.col("spent")).otherwise(0).alias("spent"),  # the calls so far are counted once
         )
     )
 

@@ -67,14 +67,28 @@ def job_segments(segments: DataFrame, job_id: str | None = None) -> DataFrame:
     return picked.orderBy("job_id", "chunk_index")
 
 
+def one_per_key(commands: DataFrame, keys: list[str]) -> DataFrame:
+    """One command per key: the last by ``at`` or ``seq`` where there is such a column, any fixed one otherwise.
+
+    Commands and results are delivered at least once, and two rows for a key would multiply
+    the snapshot's rows in the join.
+    """
+    rest = [c for c in commands.columns if c not in keys]
+    if not rest:
+        return commands.distinct()
+    order = F.struct(*[c for c in ("at", "seq") if c in rest], F.xxhash64(*rest))
+    return commands.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
+
+
 def transition_jobs(jobs: DataFrame, commands: DataFrame) -> DataFrame:
-    """Conditional status change. ``commands``: job_id, allowed ARRAY<STRING>, new_status.
+    """Conditional status change. ``commands``: job_id, allowed ARRAY<STRING>, new_status (and at or seq).
 
     The result is the new snapshot plus ``applied`` (NULL when no command was given).
     A job is changed only from an allowed status, so the same command succeeds once.
     """
     applied = F.when(F.col("new_status").isNotNull(), F.array_contains(F.coalesce("allowed", F.array()), F.col("status")))
-    out = jobs.join(commands.select("job_id", "allowed", "new_status"), "job_id", "left").withColumn("applied", applied)
+    last = one_per_key(commands, ["job_id"]).select("job_id", "allowed", "new_status")
+    out = jobs.join(last, "job_id", "left").withColumn("applied", applied)
     hit = F.coalesce("applied", F.lit(False))
     return out.withColumns(
         {
@@ -88,7 +102,7 @@ def set_job_status(jobs: DataFrame, commands: DataFrame) -> DataFrame:
     """Unconditional status change (job_id, new_status, new_completed_at); the time is overwritten, NULL included."""
     hit = F.col("new_status").isNotNull()
     return (
-        jobs.join(commands.select("job_id", "new_status", "new_completed_at"), "job_id", "left")
+        jobs.join(one_per_key(commands, ["job_id"]).select("job_id", "new_status", "new_completed_at"), "job_id", "left")
         .withColumns(
             {
                 "status": F.coalesce("new_status", "status"),
@@ -100,7 +114,8 @@ def set_job_status(jobs: DataFrame, commands: DataFrame) -> DataFrame:
 
 
 def _with_update(segments: DataFrame, updates: DataFrame, columns: list[str]) -> DataFrame:
-    marked = updates.select(*SEGMENT_KEY, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+    last = one_per_key(updates.select(*SEGMENT_KEY, *columns), SEGMENT_KEY)
+    marked = last.select(*SEGMENT_KEY, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
     return segments.join(marked, SEGMENT_KEY, "left")
 
 
@@ -225,14 +240,18 @@ def patch_jobs(jobs: DataFrame, patches: DataFrame, fields: tuple[str, ...] = CO
     if not set(fields) <= set(CONFIG_FIELDS) and not set(fields) <= set(PATH_FIELDS):
         raise ValueError("unsupported job field")
     present = [f for f in fields if f in patches.columns]
-    new = patches.select("job_id", *[F.col(f).alias(f"_{f}") for f in present])
+    order = F.struct(*[c for c in ("at", "seq") if c in patches.columns], F.xxhash64(*patches.columns))
+    # Of several patches for a job, each field takes its last value that is not NULL.
+    new = patches.groupBy("job_id").agg(
+        *[F.max_by(f, F.when(F.col(f).isNotNull(), order)).alias(f"_{f}") for f in present]
+    ) if present else patches.select("job_id").distinct()
     out = jobs.join(new, "job_id", "left")
     return out.withColumns({f: F.coalesce(f"_{f}", f) for f in present}).drop(*[f"_{f}" for f in present])
 
 
 def tag_origin(jobs: DataFrame, origins: DataFrame, clients: DataFrame) -> DataFrame:
     """Stamp client and external reference (origins: job_id, client_id, external_ref) on jobs."""
-    known = origins.join(clients.select("client_id", F.col("name").alias("_name")), "client_id")
+    known = one_per_key(origins, ["job_id"]).join(clients.select("client_id", F.col("name").alias("_name")), "client_id")
     marks = known.select("job_id", F.col("client_id").alias("_client"), "_name", F.col("external_ref").alias("_ref"))
     hit = F.col("_client").isNotNull()
     base = jobs

@@ -387,13 +387,15 @@ def retry_disposition(spark, sf):
 
 
 def flaky(inner):
-    """A model that fails for good on some texts and is unreachable for others."""
+    """A model that refuses some texts, thinks without answering on others, and is unreachable under one name."""
 
     def model(prompt, text, name, temperature):
+        if name == "away":
+            raise E.ProviderDown("offline")
         if len(text) % 10 == 3:
             raise E.FatalModelError("refused")
-        if len(text) % 10 == 7:
-            raise E.ProviderDown("offline")
+        if len(text) % 10 == 5:
+            return "<think>hm</think>"
         return "<think>hm</think>" + inner(prompt, text, name, temperature)
 
     return model
@@ -402,14 +404,25 @@ def flaky(inner):
 @register(
     "translate_segments",
     Q.segments_with(200)
-    + f""", r AS (SELECT *, length(text) % 10 AS d FROM segs)
-    SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, d NOT IN (3, 7) AS ok, CASE d WHEN 3 THEN 'refused' WHEN 7 THEN 'offline' END AS reason, d = 7 AS provider_down,
-      CASE WHEN d NOT IN (3, 7) THEN {_TRANSLATED} END AS result_text FROM r""",
+    + f""", r AS (SELECT *, length(text) % 10 AS l FROM segs)
+    SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index,
+      doc_id % 6 <> 1 AND l NOT IN (3, 5) AS ok,
+      CASE WHEN doc_id % 6 = 1 THEN 'provider down' WHEN l = 3 THEN 'refused' WHEN l = 5 THEN 'failed after 3 tries: empty answer' END AS reason,
+      doc_id % 6 = 1 AS provider_down, CASE WHEN doc_id % 6 = 1 THEN NULL WHEN l = 5 THEN 3 ELSE 1 END AS attempts,
+      CASE WHEN doc_id % 6 <> 1 AND l NOT IN (3, 5) THEN {_TRANSLATED} END AS result_text FROM r""",
 )
 def translate_segments(spark, sf):
     model = flaky(E.word_map_model({"the": "le"}))
-    out = E.translate_segments(requests(spark, sf, 200), model, spark.sparkContext.defaultParallelism)
-    return out.select("job_id", "chunk_index", "ok", "reason", "provider_down", "result_text")
+    away = F.when(F.col("job_id").cast("long") % 6 == 1, "away").otherwise(F.col("model"))
+    out = E.translate_segments(
+        requests(spark, sf, 200).withColumn("model", away), model, spark.sparkContext.defaultParallelism
+    )
+    # How many segments of a job were asked before its provider was found down depends on the tasks.
+    down = F.col("provider_down")
+    return out.select(
+        "job_id", "chunk_index", "ok", F.when(down, "provider down").otherwise(F.col("reason")).alias("reason"),
+        "provider_down", F.when(~down, F.col("attempts")).alias("attempts"), "result_text",
+    )
 
 
 def dropping(limit):
@@ -426,14 +439,19 @@ def dropping(limit):
 @register(
     "structure_recovery",
     Q.segments_with(1000)
-    + f""" SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, recovered OR small AS ok, CASE WHEN recovered OR small THEN {_TRANSLATED} END AS result_text
-    FROM (SELECT *, doc_id % 5 <> 0 AS recovered, len(string_split(node_list, ',')) <= 4 AS small FROM segs)""",
+    + f""" SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, recovered OR n <= 4 AS ok,
+      -- two calls for a piece that loses a block, then its parts: eights, or halves of eight and fewer
+      CASE WHEN n <= 4 THEN 1 WHEN NOT recovered THEN 2 WHEN n <= 8 THEN [5, 4, 5, 4][n - 4]
+           ELSE 2 + 4 * (n // 8) + CASE WHEN n % 8 = 0 THEN 0 WHEN n % 8 <= 4 THEN 1 ELSE [5, 4, 5][n % 8 - 4] END END AS attempts,
+      CASE WHEN recovered OR n <= 4 THEN {_TRANSLATED} END AS result_text
+    FROM (SELECT *, doc_id % 5 <> 0 AS recovered, len(string_split(node_list, ',')) AS n FROM segs)""",
 )
 def structure_recovery(spark, sf):
     items = requests(spark, sf, 1000)
-    recover = F.col("job_id").cast("long") % 5 != 0
+    n = F.col("job_id").cast("long")
+    recover = F.when(n % 5 != 0, True).when(n % 10 == 0, False)  # NULL for the others
     out = E.translate_segments(items, dropping(4), spark.sparkContext.defaultParallelism, recover)
-    return out.select("job_id", "chunk_index", "ok", "result_text")
+    return out.select("job_id", "chunk_index", "ok", "attempts", "result_text")
 
 
 def _results(spark, sf):

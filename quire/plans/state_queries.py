@@ -101,15 +101,22 @@ def job_segments(spark, sf):
     + f""" SELECT job_id, CASE WHEN doc_id % 3 < 2 AND status IN ('PENDING', 'PAUSED', 'FAILED') THEN 'PROCESSING' ELSE status END AS status,
       CASE WHEN doc_id % 3 < 2 THEN status IN ('PENDING', 'PAUSED', 'FAILED') END AS applied, {Q.ts_text('completed_at')} AS completed_at FROM jobs""",
 )
-def transition_jobs(spark, sf):
+def transition_jobs(spark, sf, copies=1):
     jobs = jobs_of(spark, sf)
     allowed = F.array(F.lit("PENDING"), F.lit("PAUSED"), F.lit("FAILED"))
     commands = jobs.where(F.col("job_id").cast("long") % 3 < 2).select(
         "job_id", allowed.alias("allowed"), F.lit("PROCESSING").alias("new_status")
     )
+    commands = commands.select("*", F.explode(F.array(*map(F.lit, range(copies)))).alias("copy")).drop("copy")
     return G.transition_jobs(jobs, commands).select("job_id", "status", "applied", text_time("completed_at"))
 
 
+@register("transition_jobs_repeated", ORACLES["transition_jobs"])
+def transition_jobs_repeated(spark, sf):
+    """The same commands, each delivered three times."""
+    return transition_jobs(spark, sf, 3)
+
+
 CHUNK_HIT = "(doc_id + chunk_index) % 2 = 0"
 
 
@@ -141,9 +148,12 @@ def claim_segments(spark, sf):
     SELECT j.job_id, CAST(CASE WHEN touched THEN done ELSE completed_chunks END AS INTEGER) AS completed_chunks, total_chunks, done AS done_rows, chars
     FROM jobs j JOIN per_job USING (job_id)""",
 )
-def complete_segments(spark, sf):
+def complete_segments(spark, sf, replayed=False):
     jobs, segs = both(spark, sf)
     results = chunk_commands(segs, F.concat(F.lit("R:"), "original_text").alias("result_text"))
+    if replayed:  # the same results again, and older ones that must not win
+        older = results.withColumns({"result_text": F.lit("older"), "at": F.lit(None).cast(results.schema["at"].dataType)})
+        results = results.unionByName(results).unionByName(older)
     jobs, done = G.complete_segments(jobs, segs, results)
     sums = done.groupBy("job_id").agg(
         F.count_if(F.col("status") == "DONE").alias("done_rows"), F.sum(F.length("translated_text")).alias("chars")
@@ -151,6 +161,11 @@ def complete_segments(spark, sf):
     return jobs.join(sums, "job_id").select("job_id", "completed_chunks", "total_chunks", "done_rows", "chars")
 
 
+@register("complete_segments_replayed", ORACLES["complete_segments"])
+def complete_segments_replayed(spark, sf):
+    return complete_segments(spark, sf, replayed=True)
+
+
 @register(
     "fail_segments",
     Q.STATE
