@@ -86,10 +86,10 @@ def md_blocks(spark, sf):
     return X.md_blocks(tb.md_docs(spark, sf))
 
 
-@register("converter_fences", f"WITH {Q.MD_NODES} SELECT doc_id, CAST(blocks AS INTEGER) AS blocks, converter FROM md_conv")
+@register("converter_fences", f"""WITH {Q.MD_NODES} SELECT d.doc_id, CAST(coalesce(blocks, 0) AS INTEGER) AS blocks, coalesce(converter, FALSE) AS converter
+        FROM documents d LEFT JOIN md_conv c ON c.doc_id = d.doc_id""")
 def converter_fences(spark, sf):
-    # A document without any block has no row on the SQL side.
-    return X.converter_fences(tb.md_docs(spark, sf)).where("blocks > 0")
+    return X.converter_fences(tb.md_docs(spark, sf))
 
 
 @register(
@@ -244,11 +244,12 @@ _TERMS = "|".join(FRONT_MATTER_TERMS)
     begun AS (SELECT *, min(CASE WHEN body THEN node_idx END) OVER (PARTITION BY doc_id) AS first_body FROM flagged),
     kept AS (SELECT * FROM begun WHERE node_idx >= coalesce(first_body, 0)),
     summed AS (SELECT *, sum(tok) OVER (PARTITION BY doc_id ORDER BY node_idx ROWS UNBOUNDED PRECEDING) - tok AS before FROM kept)
-    SELECT doc_id, string_agg(html, chr(10) || chr(10) ORDER BY node_idx) AS text, CAST(sum(tok) AS INTEGER) AS tokens
-    FROM summed WHERE before < 300 GROUP BY doc_id""",
+    SELECT d.doc_id, coalesce(string_agg(html, chr(10) || chr(10) ORDER BY node_idx), '') AS text,
+      CAST(coalesce(sum(tok), 0) AS INTEGER) AS tokens
+    FROM documents d LEFT JOIN summed s ON s.doc_id = d.doc_id AND before < 300 GROUP BY d.doc_id""",
 )
 def excerpt(spark, sf):
-    return S.excerpt(tb.line_docs(spark, sf), ["doc_id"], tb.line_nodes(), 300).where("text <> ''")
+    return S.excerpt(tb.line_docs(spark, sf), ["doc_id"], tb.line_nodes(), 300)
 
 
 # Documents whose text is shorter than 60 characters are emptied first, so that the anti join has work.

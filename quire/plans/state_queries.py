@@ -640,9 +640,9 @@ def latest_segment(spark, sf):
     return I.latest_segment(segs_of(spark, sf))
 
 
-@register("search_jobs", Q.STATE + " SELECT job_id, file_name FROM jobs WHERE lower(file_name) LIKE '%1.m%'")
+@register("search_jobs", Q.STATE + " SELECT job_id, file_name FROM jobs WHERE lower(file_name) LIKE '%5.e%'")
 def search_jobs(spark, sf):
-    return I.search_jobs(jobs_of(spark, sf), " 1.M ").select("job_id", "file_name")
+    return I.search_jobs(jobs_of(spark, sf), " 5.E ").select("job_id", "file_name")
 
 
 @register(
