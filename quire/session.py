@@ -74,19 +74,34 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled.scratch = path
+    return settled
 
 
-def clear_scratch(spark: SparkSession) -> int:
-    """Delete what ``settle`` has written in this session, once no result that reads it is needed; returns the count."""
+def written() -> list[str]:
+    """Folders that ``settle`` has written and nobody has deleted."""
+    return list(_WRITTEN)
+
+
+def clear_scratch(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete settled folders (all, by default) once no result that reads them is needed; returns the count."""
     done = 0
-    while _WRITTEN:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done += bool(files.delete(path, True))
+    for name in written() if paths is None else paths:
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+            done += bool(files.delete(path, True))
     return done
 
 
+def discard(*settled: DataFrame) -> None:
+    """Delete settled tables that no later step reads."""
+    for df in settled:
+        clear_scratch(df.sparkSession, [df.scratch])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows out to as many tasks as the session asks for in ``quire.input.tasks``.
 
