@@ -64,10 +64,19 @@ def parse_indices(raw: Column) -> Column:
     return F.coalesce(F.from_json(raw, "array<int>"), F.array().cast("array<int>"))
 
 
+def stored_schema(spark: SparkSession, root: str, name: str) -> int:
+    """The newest schema version among a table's snapshots in the store; 0 when there are none."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    return max((int(n.removeprefix("schema=")) for n in names if n.startswith("schema=")), default=0)
+
+
 def read_state(spark: SparkSession, root: str, name: str, version: int, schema_version: int = SCHEMA_VERSION) -> DataFrame:
-    """Snapshot scan with the fixed schema; a newer store is refused."""
-    if schema_version > SCHEMA_VERSION:
-        raise RuntimeError(f"state has schema {schema_version}, this build supports up to {SCHEMA_VERSION}")
+    """Snapshot scan with the fixed schema; a store that holds a newer schema is refused."""
+    newest = max(schema_version, stored_schema(spark, root, name))
+    if newest > SCHEMA_VERSION:
+        raise RuntimeError(f"state has schema {newest}, this build supports up to {SCHEMA_VERSION}")
     schema = {"jobs": JOBS, "segments": SEGMENTS, "clients": CLIENTS}[name]
     stored = T.StructType(
         [T.StructField("node_indices_json", T.StringType()) if f.name == "node_indices" else f for f in schema]
