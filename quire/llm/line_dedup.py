@@ -33,7 +33,10 @@ EDITS = 2
 MIN_CHARS = 20
 BROADCAST_KEYS = 1_000_000
 #: Character classes whose counts bound the distance from below; any choice is right, common letters tell most.
-COUNTED = ("a", "e", "i", "n", "o", "r", "s", "t", "d", "l", "h", "u", " .,", "0123456789")
+COUNTED = (
+    "a", "e", "i", "n", "o", "r", "s", "t", "d", "l", "h", "u", "c", "g", "m", "w", "b", "f", "p", "vyk", "qxjz",
+    " .,", "0123456789", "äöüßéèêçñáíóú",
+)
 
 
 def _place(length: Column, segments: int, i: int) -> tuple[Column, Column]:
@@ -43,23 +46,38 @@ def _place(length: Column, segments: int, i: int) -> tuple[Column, Column]:
     return base * i + longer, base + (F.lit(i) >= F.lit(segments) - more).cast("int")
 
 
-def _key(length: Column, i: int, line: Column, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+def _windows(length: Column, edits: int) -> list[tuple[Column, Column]]:
+    """0-based start and length of the stretches that hold every place a segment may be sought at."""
+    out = []
+    for i in range(edits + 1):
+        start = F.greatest(F.lit(0), F.floor((length - edits) / (edits + 1)) * i - edits)
+        end = F.floor(length / (edits + 1)) * (i + 1) + i + 1 + edits
+        out.append((start, end - start))
+    return out
+
 
+def entries(length: Column, windows: list[Column], starts: list[Column], edits: int) -> list[tuple[Column, bool]]:
+    """(key, is it an index key?) of a line: its own segments, and the substrings that may be a segment of another.
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [_key(length, i, line, *_place(length, edits + 1, i)) for i in range(edits + 1)]
+    A line's own segments are index keys, and probes for lines of equal length at the same places. Probes
+    look for lines as long, or up to ``edits`` shorter; a key is null where it would leave the line. Substrings
+    are cut from the windows, as finding a character of a long line means walking to it.
+    """
 
+    def key(sought: Column, i: int, at: Column, size: Column) -> Column:
+        return F.xxhash64(sought, F.lit(i), F.substr(windows[i], (at - starts[i] + 1).cast("int"), size.cast("int")))
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that may be a segment of a line as long, or up to ``edits`` shorter; null where out of range."""
     out = []
     for shorter in range(edits + 1):
+        sought = length - shorter
         for i in range(edits + 1):
-            start, size = _place(length - shorter, edits + 1, i)
+            start, size = _place(sought, edits + 1, i)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 at = start + shift
-                out.append(F.when((at >= 0) & (at + size <= length), _key(length - shorter, i, line, at, size)))
+                if shorter == shift == 0:
+                    out.append((key(sought, i, at, size), True))
+                else:
+                    out.append((F.when((at >= 0) & (at + size <= length), key(sought, i, at, size)), False))
     return out
 
 
@@ -133,32 +151,37 @@ def line_links(docs: DataFrame, text: str = "text", edits: int = EDITS, min_char
     """(a, b, distance): hashes of different lines of at least ``min_chars`` characters that are 1..edits edits apart."""
     lines = _lines(docs, text, min_chars)
     line, length = F.col("line"), F.col("length")
-    index, probe = index_keys(line, length, edits), probe_keys(line, length, edits)
-    entry = lambda k, kind: F.struct(k.alias("key"), F.lit(kind).alias("indexed"))
-    entries = F.array(*[entry(k, True) for k in index], *[entry(k, False) for k in probe])
-    keys = lines.select(F.xxhash64("line").alias("h"), F.inline(entries)).where("key is not null")
+    windows, starts = [F.col(f"w{i}") for i in range(edits + 1)], [F.col(f"s{i}") for i in range(edits + 1)]
+    cut = {}
+    for i, (start, size) in enumerate(_windows(length, edits)):
+        cut |= {f"s{i}": start, f"w{i}": F.substr(line, (start + 1).cast("int"), size.cast("int"))}
+    found = [
+        F.struct(k.alias("key"), F.lit(kind).alias("indexed")) for k, kind in entries(length, windows, starts, edits)
+    ]
+    keys = lines.select("length", F.xxhash64("line").alias("h"), *[c.alias(n) for n, c in cut.items()])
+    keys = settle(keys.select("h", F.inline(F.array(*found))).where("key is not null"), "line-entries")
     live = (
-        keys.groupBy("key")
-        .agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("indexed").alias("i"), F.min("indexed").alias("p"))
-        .where((F.col("h0") != F.col("h1")) & F.col("i") & ~F.col("p"))
-    )
+        keys.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.max("indexed").alias("i"))
+        .where((F.col("h0") != F.col("h1")) & F.col("i"))
+    )
     live = _small(settle(live.select("key"), "line-keys"))
-    lid = lines.select(_hash(line).alias("lid"), F.inline(entries)).where("key is not null")
-    met = settle(lid.join(live, "key", "left_semi").distinct(), "line-met")
-    wanted = _small(settle(met.select("lid").distinct(), "line-wanted"))
+    met = settle(keys.join(live, "key", "left_semi").distinct(), "line-met")
+    wanted = _small(settle(met.select("h").distinct(), "line-wanted"))
     counts = [F.char_length(line) - F.char_length(F.translate(line, c, "")) for c in COUNTED]
     texts = (
-        lines.withColumn("lid", _hash(line)).join(wanted, "lid", "left_semi")
-        .groupBy("lid").agg(F.first("line").alias("line"))
+        lines.withColumn("h", F.xxhash64("line")).join(wanted, "h", "left_semi").withColumn("lid", _hash(line))
+        .groupBy("lid").agg(F.first("line").alias("line"), F.first("h").alias("h"))
         .withColumn("counts", F.array(*counts))
     )
     texts = settle(texts, "line-texts")
-    rows = settle(met.join(texts.select("lid", F.char_length("line").alias("n"), "counts"), "lid"), "line-rows")
-    side = lambda indexed, s: rows.where(F.col("indexed") == indexed).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("lid", "n", "counts")])
+    rows = settle(met.join(texts.select("h", "lid", F.char_length("line").alias("n"), "counts"), "h"), "line-rows")
+    side = lambda which, s: rows.where(which).select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("lid", "n", "counts", "indexed")])
     apart = reduce(lambda x, y: x + y, [F.abs(F.col("counts_a")[k] - F.col("counts_b")[k]) for k in range(len(COUNTED))])
     # An edit changes one count by one, or two counts by one each.
-    near = (F.col("n_a") - F.col("n_b")).between(0, edits) & (apart <= 2 * edits) & (F.col("lid_a") != F.col("lid_b"))
-    a, b = side(False, "a").alias("a"), side(True, "b").alias("b")
+    longer = F.col("n_a") - F.col("n_b")
+    once = (longer > 0) | (F.col("lid_a") < F.col("lid_b")) | ~F.col("indexed_a") & (F.col("lid_a") != F.col("lid_b"))
+    near = longer.between(0, edits) & (apart <= 2 * edits) & once
+    a, b = side(F.lit(True), "a").alias("a"), side(F.col("indexed"), "b").alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & near).select(F.col("lid_a").alias("a"), F.col("lid_b").alias("b"))
     # Of lines of equal length both directions are found; one is enough.
     pairs = pairs.select(
