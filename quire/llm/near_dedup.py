@@ -11,9 +11,11 @@ latest register filled so far, so most processes end with their first point.
 
 Texts with equal word sequences are one text from the start. Signatures are cut in bands;
 texts that share a band meet in a bucket. A bucket does not emit its pairs: its members are
-verified against a leader, verified links make components, and only members still in different
-components go on, with another leader, until a last step compares what remains. No pair that
-could join two components is left out, and copies inside a component cost one check each.
+verified against a leader, the member that shares most bands with others, and verified links
+make components. What is left, members of a bucket in different components, is compared in
+blocks inside the tasks by signatures of many more registers, each pair in the first band that
+it shares, and only pairs near the similarity come out and are verified. No pair that could
+join two components is left out, and copies inside a component cost one check each.
 """
 
 from __future__ import annotations
@@ -30,13 +32,16 @@ from pyspark.sql import functions as F
 from quire.llm.components import components
 from quire.llm.quality_rules import _ddl
 from quire.llm.text import joined, mix, row, slices, utf8, words
-from quire.session import settle
+from quire.session import clear_scratch, discard, settle, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
-LEADER_ROUNDS = 4
+LEADER_ROUNDS = 1
+FINE_REGISTERS = 1024
+BLOCK = 1024
+BROADCAST_IDS = 1_000_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -139,21 +144,29 @@ def signed(docs: DataFrame, carry: list[str], text: str, order: str) -> DataFram
     return chosen.mapInArrow(run, f"{_ddl(chosen)}, digest binary, sig binary")
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """Key of each band of signatures shaped (text, band, row)."""
+    key = np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * _GOLD + np.zeros((len(sig), 1), np.uint64)
+    for k in range(sig.shape[2]):
+        key = mix(key + sig[:, :, k].astype(np.uint64))
+    return key
+
+
 def _bands(signatures: DataFrame) -> DataFrame:
-    """(bucket, rid): one row per band of each signature."""
+    """(bucket, band, rid): one row per band of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u4").reshape(batch.num_rows, -1, BAND_ROWS)
-            key = np.arange(1, sig.shape[1] + 1, dtype=np.uint64) * _GOLD + np.zeros((len(sig), 1), np.uint64)
-            for k in range(BAND_ROWS):
-                key = mix(key + sig[:, :, k].astype(np.uint64))
+            key = _band_keys(sig)
             rid = np.repeat(batch.column("rid").to_numpy(), sig.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(rid)], ["bucket", "rid"])
+            band = np.tile(np.arange(sig.shape[1], dtype=np.int32), len(sig))
+            columns = [pa.array(key.ravel().view(np.int64)), pa.array(band), pa.array(rid)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "band", "rid"])
 
-    return signatures.select("rid", "sig").mapInArrow(run, "bucket long, rid long")
+    return signatures.select("rid", "sig").mapInArrow(run, "bucket long, band int, rid long")
 
 
 def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
@@ -174,10 +187,15 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(any_, 1)
 
 
+def _floor(registers: int, similarity: float, chance: float = 0.0) -> float:
+    """Five standard deviations below the expected number of equal registers: less than one link in a million is lost."""
+    p = similarity + (1 - similarity) * chance
+    return registers * p - 5 * (registers * p * (1 - p)) ** 0.5
+
+
 def _verified(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts really have the similarity."""
-    # Six standard deviations below the expected number of equal registers: cheap, and loses about one link in 10^9.
-    least = REGISTERS * similarity - 6 * (REGISTERS * similarity * (1 - similarity)) ** 0.5
+    least = _floor(REGISTERS, similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -189,46 +207,104 @@ def _verified(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame
                     good = np.flatnonzero(overlap(part.column("text_a"), part.column("text_b")) >= similarity)
                     yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
+    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    info = info.join(ids, "rid", "left_semi")  # before the texts move
     side = lambda s: info.select(F.col("rid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _fine(info: DataFrame) -> DataFrame:
+    """(rid, bands, fine): 32-bit band hashes, and a second signature with more registers of four bits each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            owner, shingle, weight, _ = shingles(part.column("text"))
+            times = bag_min_hash(owner, shingle, weight, part.num_rows, FINE_REGISTERS)
+            nibbles = (mix(times.view(np.uint64)) >> np.uint64(60)).astype(np.uint8)
+            fine = nibbles[:, ::2] << 4 | nibbles[:, 1::2]
+            sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), "<u4").reshape(part.num_rows, -1, BAND_ROWS)
+            bands = (_band_keys(sig) >> np.uint64(32)).astype("<u4")
+            columns = [part.column("rid"), *(pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (bands, fine))]
+            yield pa.RecordBatch.from_arrays(columns, ["rid", "bands", "fine"])
+
+    return info.select("rid", "sig", "text").mapInArrow(run, "rid long, bands binary, fine binary")
+
+
+def _compared(rest: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (bucket, band, rid, c) in one bucket, of different components, that may have the similarity."""
+    least = _floor(FINE_REGISTERS, similarity, 1 / 16)
+    fine = settle(_fine(info.join(rest.select("rid").distinct(), "rid", "left_semi")), "near-fine")
+    sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    # A member goes to every pair of blocks that its own block is part of: once, in a bucket of one block.
+    dealt = sized.withColumns({"block": F.pmod(F.xxhash64("rid", "bucket"), blocks), "blocks": blocks}).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    )
+    member = F.struct("rid", "c", "block", "bands", "fine").alias("m")
+    met = (
+        dealt.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        .join(fine, "rid").groupBy("bucket", "band", "low", "high").agg(F.collect_list(member).alias("m"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, low, high = (batch.column(c)[k].as_py() for c in ("band", "low", "high"))
+                members = batch.column("m")[k].values
+                rid, c, block = (members.field(f).to_numpy() for f in ("rid", "c", "block"))
+                bands, fine = (
+                    np.frombuffer(b"".join(members.field(f).to_pylist()), kind).reshape(len(rid), -1)
+                    for f, kind in (("bands", "<u4"), ("fine", np.uint8))
+                )
+                out: list[tuple[int, int]] = []
+                for i in range(len(rid)):
+                    if low < high and block[i] != low:
+                        continue
+                    j = np.flatnonzero(block == high) if low < high else np.arange(i + 1, len(rid))
+                    j = j[c[j] != c[i]]
+                    unlike = fine[j] ^ fine[i]
+                    j = j[((unlike & 0xF0) == 0).sum(axis=1) + ((unlike & 0x0F) == 0).sum(axis=1) >= least]
+                    if len(j):
+                        j = j[(bands[j] == bands[i]).argmax(axis=1) == band]
+                        out += [(min(x, y), max(x, y)) for x, y in zip([rid[i].item()] * len(j), rid[j].tolist())]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
+
+    return met.select("band", "low", "high", "m").mapInArrow(run, "a long, b long")
+
+
 def _links(members: DataFrame, info: DataFrame, similarity: float, rounds: int) -> DataFrame | None:
     """(node, root) of all texts that have a link."""
-    roots, links, tested, last = None, [], [], False
+    roots, links, tested = None, [], []
     for step in range(rounds + 1):
-        last = last or step == rounds
         if roots is None:
             placed = members.withColumn("c", F.col("rid"))
         else:
             placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
-                "bucket", "rid", F.coalesce("root", "rid").alias("c")
+                "bucket", "band", "rid", F.coalesce("root", "rid").alias("c")
             )
-            placed = settle(placed, "near-placed")
-        lead = F.min(F.struct(F.xxhash64("rid", F.lit(step)).alias("h"), "rid", "c")).alias("lead")
-        live = placed.groupBy("bucket").agg(lead, F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1")
-        live = live.select("bucket", F.col("lead.rid").alias("b"), F.col("lead.c").alias("cb"))
-        if not last:
-            met = placed.withColumnRenamed("rid", "a").join(live, "bucket")
-        else:  # what leaders could not settle: the members still in different components
-            rest = settle(placed.join(live.select("bucket"), "bucket"), "near-rest")
-            met = rest.withColumnRenamed("rid", "a").join(rest.select("bucket", F.col("rid").alias("b"), F.col("c").alias("cb")), "bucket")
-        pairs = met.where("c <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
+        placed = settle(placed.join(settle(mixed.select("bucket", "n"), "near-mixed"), "bucket"), "near-placed")
+        if step < rounds:
+            weight = settle(placed.groupBy("rid").agg(F.sum("n").alias("weight")), "near-weights")
+            lead = F.max(F.struct("weight", F.xxhash64("rid", F.lit(step)).alias("h"), "rid", "c")).alias("lead")
+            leaders = placed.join(weight, "rid").groupBy("bucket").agg(lead)
+            leaders = settle(leaders.select("bucket", F.col("lead.rid").alias("b"), F.col("lead.c").alias("cb")), "near-leaders")
+            met = placed.withColumnRenamed("rid", "a").join(leaders, "bucket").where("c <> cb")
+            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            pairs = _compared(placed.drop("n"), info, similarity)
         if tested:
             pairs = pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
         pairs = settle(pairs, "near-pairs")
         if pairs.isEmpty():
-            if last:
-                break
-            last = True  # leaders have nothing more to tell
             continue
         tested.append(pairs)
         found = settle(_verified(pairs, info, similarity), "near-links")
         if not found.isEmpty():
             links.append(found)
             roots = settle(components(reduce(DataFrame.unionByName, links)), "near-roots")
-        if last:
-            break
     return roots
 
 
@@ -243,19 +319,25 @@ def mark_near(
     and names the class. Texts with the same words in the same order are always one class, texts
     without words too. No rows give no rows.
     """
+    before = written()
     base = settle(signed(docs, carry, text, order).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
     same = settle(base.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "near-texts")
     reps = base.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    info = settle(reps.select("rid", "sig", "text"), "near-info")
-    bands = _bands(info.where(F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+    inked = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
+    bands = settle(_bands(reps.where(inked).select("rid", "sig")), "near-bands")
+    shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
     members = settle(bands.join(shared, "bucket"), "near-buckets")
+    discard(bands, shared)
+    # Texts are needed only where some band is shared.
+    info = settle(base.select("rid", "sig", "text").join(members.select("rid").distinct(), "rid", "left_semi"), "near-info")
     roots = _links(members, info, similarity, rounds)
     at = same.select("digest", "rep")
     if roots is not None:
         at = at.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("rep"))
     at = settle(at, "near-classes")
+    clear_scratch(docs.sparkSession, [p for p in written() if p not in {*before, base.scratch, at.scratch}])
     placed = settle(base.select("row", "ord", "rid", "digest").join(at, "digest").drop("digest"), "near-rows")
+    discard(base, at)
     first = F.min(F.struct(F.col("ord").isNull().alias("none"), "ord", "rid")).alias("first")
     classes = settle(placed.groupBy("rep").agg(first, F.count("*").alias("class_size")), "near-sizes")
     return placed.join(classes, "rep").select(
