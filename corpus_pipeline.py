@@ -15,7 +15,7 @@ from quire.llm.exact_dedup import exact_dedup
 from quire.llm.mixing import mixed_documents
 from quire.llm.near_dedup import near_dedup
 from quire.llm.quality_model import keep_good
-from quire.session import settle
+from quire.session import clear_scratch, settle, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +45,28 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sums.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
+_LEFT: list[str] = []
+
+
+def _tidy(stage):
+    """A stage that first deletes the scratch tables of the one before, whose result has been written and read again."""
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        clear_scratch(spark, _LEFT)
+        before = set(written())
+        out = stage(spark, docs, sf_dir)
+        _LEFT[:] = [p for p in written() if p not in before]
+        return out
+
+    return run_stage
+
+
 STAGES = [
-    ("quality classifier", quality),
-    ("exact dedup", exact),
-    ("MinHash near-dedup", near),
-    ("mixing sources to target weights", mix),
-    ("SentencePiece encoding and decoding", encode),
+    ("quality classifier", _tidy(quality)),
+    ("exact dedup", _tidy(exact)),
+    ("MinHash near-dedup", _tidy(near)),
+    ("mixing sources to target weights", _tidy(mix)),
+    ("SentencePiece encoding and decoding", _tidy(encode)),
 ]
 
 #: Learned scores, signatures and tokenisation cannot be written in SQL.
