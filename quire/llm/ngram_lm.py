@@ -16,8 +16,9 @@ done for all positions of a chunk at once, one order after the other.
 
 Probabilities are smoothed by interpolation: ``P(w|h) = (1 - b) c(hw) / c(h) + b P(w|h')`` with
 the add-one unigram at the bottom. ``b`` depends on how often the history was seen; it is the
-leave-one-out rate at which a word after such a history is new, summed over all chunks. For any
-``b`` the probabilities add up to one.
+leave-one-out rate at which a word after such a history is new. Both counts are the answered ones
+of the whole corpus, so the chunks are read once more for these sums before they are scored, and
+scores do not depend on the chunks. For any ``b`` the probabilities add up to one.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _bin(counts: np.ndarray) -> np.ndarray:
 
 
 def novelty(g: Grams, train: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """[order, bin of the history's count, (tokens, tokens that would be new)] over the chunk's training texts."""
+    """[order, bin of the history's count, (tokens, tokens that would be new)] over the chunk's training texts; ``counts`` are the corpus's."""
     out = np.zeros((len(g.at) - 1, BINS, 2))
     for k in range(1, len(g.at)):
         i, gram, history = _histories(g, k)
@@ -209,9 +210,8 @@ def score_texts(
         train = ~np.asarray(table.column("held_out").combine_chunks())
         g = grams(table.column("text").combine_chunks(), order)
         counts = chunk_counts(g, train)
-        seen = novelty(g, train, counts)
         bucket = ((g.keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-        mine = np.union1d(bucket, [chunk]).tolist()
+        mine = np.unique(bucket).tolist()
         parts = [slice(a, b) for a, b in zip(np.searchsorted(bucket, mine), np.searchsorted(bucket, mine, "right"))]
         pack = zstandard.ZstdCompressor(level=1)
         return pa.table(
@@ -220,7 +220,6 @@ def score_texts(
                 "chunk": pa.array([chunk] * len(mine), pa.int32()),
                 "keys": pa.array([pack_keys(g.keys[p]) for p in parts], pa.binary()),
                 "counts": pa.array([pack.compress(counts[p].tobytes()) for p in parts], pa.binary()),
-                "seen": pa.array([seen.tobytes() if b == chunk else None for b in mine], pa.binary()),
             }
         )
 
@@ -232,7 +231,6 @@ def score_texts(
         total = np.bincount(number, np.concatenate(counts), len(distinct)).astype(np.int64)
         single = (distinct & np.uint64(3)) == 1
         ends = np.cumsum(list(map(len, keys)))
-        seen = [np.frombuffer(s, np.float64) for s in table.column("seen").to_pylist() if s is not None]
         rows = len(keys)
         return pa.table(
             {
@@ -241,31 +239,44 @@ def score_texts(
                 "totals": pa.array([pack.compress(total[number[e - len(k) : e]].tobytes()) for k, e in zip(keys, ends)], pa.binary()),
                 "tokens": pa.array([int(total[single].sum())] + [0] * (rows - 1), pa.int64()),
                 "vocabulary": pa.array([int((total[single] > 0).sum())] + [0] * (rows - 1), pa.int64()),
-                "seen": pa.array([np.sum(seen, axis=0) if seen else None] + [None] * (rows - 1), pa.list_(pa.float64())),
             }
         )
 
     asked = dealt.select("text", "held_out", "chunk").groupBy("chunk").applyInArrow(
-        ask, "bucket int, chunk int, keys binary, counts binary, seen binary"
+        ask, "bucket int, chunk int, keys binary, counts binary"
     )
     answers = asked.groupBy("bucket").applyInArrow(
-        answer, "chunk int, bucket int, totals binary, tokens long, vocabulary long, seen array<double>"
+        answer, "chunk int, bucket int, totals binary, tokens long, vocabulary long"
     )
     answers = settle(answers, "lm-counts")
     sums = answers.agg(F.sum("tokens").alias("tokens"), F.sum("vocabulary").alias("vocabulary")).first()
     tokens, vocabulary = sums["tokens"] or 0, sums["vocabulary"] or 0
-    seen = np.zeros(2 * BINS * max(0, order - 1))
-    for r in answers.select(F.posexplode("seen").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).collect():
-        seen[r["k"]] = r["v"]
-    weights = backoff_weights(seen.reshape(max(0, order - 1), BINS, 2))
+    totals = answers.select("chunk", "bucket", "totals").groupBy("chunk")
 
-    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+    def answered(left: pa.Table, right: pa.Table) -> tuple[Grams, np.ndarray]:
+        """The chunk's n-grams and how often each occurs in the corpus."""
         g = grams(left.column("text").combine_chunks(), order)
         unpack = zstandard.ZstdDecompressor()
         parts = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist()))
         counts = np.concatenate([np.frombuffer(unpack.decompress(t), np.int64) for _, t in parts])
         if len(counts) != len(g.keys):
             raise ValueError("the answers do not fit the chunk's n-grams")
+        return g, counts
+
+    def rates(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        g, counts = answered(left, right)
+        seen = novelty(g, ~np.asarray(left.column("held_out").combine_chunks()), counts).ravel()
+        return pa.table({"k": pa.array(np.arange(len(seen)), pa.int32()), "v": pa.array(seen, pa.float64())})
+
+    seen = np.zeros(2 * BINS * max(0, order - 1))
+    if len(seen):
+        texts = dealt.select("text", "held_out", "chunk").groupBy("chunk")
+        for r in texts.cogroup(totals).applyInArrow(rates, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+            seen[r["k"]] = r["v"]
+    weights = backoff_weights(seen.reshape(max(0, order - 1), BINS, 2))
+
+    def score(key: tuple[pa.Scalar, ...], left: pa.Table, right: pa.Table) -> pa.Table:
+        g, counts = answered(left, right)
         places = walk(g, build(g, counts, tokens, vocabulary, weights))
         rows = left.num_rows
         at, word = g.text[g.token], g.at[0][g.token]
@@ -282,4 +293,4 @@ def score_texts(
         return pa.table(columns)
 
     out = f"{_ddl(dealt.select('row'))}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "totals").groupBy("chunk")).applyInArrow(score, out)
+    return dealt.groupBy("chunk").cogroup(totals).applyInArrow(score, out)

@@ -94,5 +94,16 @@ def test_chunks_do_not_change_counts(spark):
     assert sum(better) > 0.9 * len(better)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_chunks_do_not_change_scores(spark, order):
+    """Backoff weights come from counts of the corpus, however it is dealt into chunks."""
+    rows = corpus()
+    got = score_texts(spark.createDataFrame(rows, SCHEMA), ["doc_id", "text"], order=order, chunk_bytes=700).collect()
+    want, _, _ = brute(rows, order)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want(r["row"]["doc_id"], r["row"]["text"])[-1], rel=1e-9)
+
+
 def test_empty(spark):
     assert score_texts(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
