@@ -4,14 +4,16 @@ A small tree builder keeps the stack of open elements, closes the ones whose end
 implied, and knows which are hidden. Text flows into the innermost box (page, list item or
 table cell); a box becomes lines when its element closes. Paragraphs and headings are set off
 by a blank line, other blocks by a line break; list items get their marker and hang under it;
-table cells are padded to their column. Everything is linear in the page.
+table cells are padded to their column. Elements count at any depth: the stack is searched by
+the places of each tag, so an end tag costs the same however deep it is. Everything is linear in
+the page.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -45,7 +47,8 @@ IMPLIED = {
     "tbody": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
     "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
 }
-MAX_DEPTH = 512
+#: Boxes inside each other; deeper list items and tables flow into the box around them, with their marks and line breaks.
+MAX_BOXES = 256
 MAX_INDENT = 16
 MAX_PAD = 40
 MAX_TABLES = 4
@@ -112,11 +115,15 @@ class Box:
         self.now: list[str] = []
         self.gap = 0
         self.blank = False
+        self.mark = ""  # of a list item without a box, until its first line
 
     def _begin(self) -> None:
         if self.gap == 2 and self.lines:
             self.lines.append("")
         self.gap = 0
+        if self.mark:
+            self.now.append(self.mark)
+            self.mark = ""
 
     def flow(self, text: str) -> None:
         text = _BLANK.sub(" ", text)
@@ -162,7 +169,8 @@ class Box:
         self.margin(gap)
         if lines:
             self._begin()
-            self.lines += lines
+            self.lines += ["".join(self.now) + lines[0], *lines[1:]]
+            self.now = []
 
     def done(self) -> list[str]:
         self.end()
@@ -173,13 +181,14 @@ class Box:
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "box", "rows", "count")
+    __slots__ = ("tag", "hidden", "box", "rows", "count", "gone")
 
     def __init__(self, tag: str, hidden: bool):
         self.tag, self.hidden = tag, hidden
         self.box: Box | None = None
         self.rows: list[list[tuple[list[str], int]]] | None = None
         self.count: int | None = None
+        self.gone = False  # ended while others above it were open
 
 
 def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -211,7 +220,7 @@ class Page:
         root.box = Box()
         self.stack = [root]
         self.boxes = [root.box]
-        self.open: Counter = Counter()
+        self.open: defaultdict[str, list[int]] = defaultdict(list)  # places in the stack by tag
         self.hidden = 0
 
     def start(self, tag: str, attrs: str) -> None:
@@ -232,15 +241,17 @@ class Page:
                 self.boxes[-1].turn()
         elif tag in BLOCKS and not self.hidden:
             self.boxes[-1].margin(self._gap(tag))
-        if tag in VOID or len(self.stack) >= MAX_DEPTH:
+        if tag in VOID:
             return
         element = Element(tag, tag in HIDDEN or bool(attrs and _UNSEEN.search(attrs)))
         if not self.hidden and not element.hidden:
-            if tag == "li" or tag in ("td", "th") and self._row():
+            if tag == "li" and len(self.boxes) >= MAX_BOXES:
+                self.boxes[-1].mark = self._mark(self._number())
+            elif tag == "li" or tag in ("td", "th") and self._row():
                 element.box = Box()
                 self.boxes.append(element.box)
                 element.count = self._number() if tag == "li" else self._span(attrs)
-            elif tag == "table" and self.open["table"] < MAX_TABLES:
+            elif tag == "table" and len(self.open["table"]) < MAX_TABLES and len(self.boxes) < MAX_BOXES:
                 element.rows = []
             elif tag == "tr" and (table := self._table()) is not None:
                 table.append([])
@@ -248,8 +259,8 @@ class Page:
             elif tag == "ol":
                 found = _START.search(attrs)
                 element.count = int(found[1]) if found else 1
+        self.open[tag].append(len(self.stack))
         self.stack.append(element)
-        self.open[tag] += 1
         self.hidden += element.hidden
 
     def end(self, tag: str) -> None:
@@ -261,16 +272,13 @@ class Page:
             return
         if tag in BLOCKS or tag in ("td", "th", "head") or tag in RAW:
             limit = ("table",) if tag in ("tr", "td", "th", "thead", "tbody", "tfoot", "caption") else () if tag == "table" else ("td", "th", "caption")
-            for e in reversed(self.stack):
-                if e.tag == tag:
-                    self._close_to(tag)
-                    return
-                if e.tag in limit:
-                    return
-        for k in range(len(self.stack) - 1, 0, -1):  # an inline element ends without its blocks
-            if self.stack[k].tag == tag:
-                self._forget(self.stack.pop(k))
-                return
+            if self._last(tag) > self._last(*limit):
+                self._close_to(tag)
+            return
+        e = self.stack[self.open[tag][-1]]  # an inline element ends without its blocks
+        self._forget(e)
+        e.gone = True
+        self._trim()
 
     def text(self, text: str) -> None:
         if not text:
@@ -296,14 +304,24 @@ class Page:
             return 1
         return 2 if tag in SPACED else 1
 
+    def _last(self, *tags: str) -> int:
+        """Place of the innermost open element with one of the tags, -1 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open[t]), default=-1)
+
+    def _inner(self, *tags: str) -> Element | None:
+        place = self._last(*tags)
+        return self.stack[place] if place >= 0 else None
+
     def _number(self) -> int | None:
-        for e in reversed(self.stack):
-            if e.tag == "ol" and e.count is not None:
-                e.count += 1
-                return e.count - 1
-            if e.tag in ("ul", "menu", "ol"):
-                return None
-        return None
+        e = self._inner("ol", "ul", "menu")
+        if e is None or e.tag != "ol" or e.count is None:
+            return None
+        e.count += 1
+        return e.count - 1
+
+    @staticmethod
+    def _mark(number: int | None) -> str:
+        return "- " if number is None else f"{number}. "
 
     @staticmethod
     def _span(attrs: str) -> int:
@@ -312,50 +330,42 @@ class Page:
 
     def _table(self):
         """Rows of the innermost open table, if it is laid out as one."""
-        for e in reversed(self.stack):
-            if e.tag == "table":
-                return e.rows
-            if e.tag in ("td", "th", "caption"):
-                return None
-        return None
+        e = self._inner("table", "td", "th", "caption")
+        return e.rows if e and e.tag == "table" else None
 
     def _row(self):
         """The open row of the innermost table."""
-        for e in reversed(self.stack):
-            if e.tag == "tr":
-                return e.rows
-            if e.tag in ("table", "td", "th"):
-                return None
-        return None
+        e = self._inner("tr", "table", "td", "th")
+        return e.rows if e and e.tag == "tr" else None
 
     def _imply(self, closes: tuple[str, ...], limits: tuple[str, ...]) -> None:
-        if not any(self.open[t] for t in closes):
-            return
-        for e in reversed(self.stack):
-            if e.tag in closes:
-                self._close_to(e.tag)
-                return
-            if e.tag in limits:
-                return
+        place = self._last(*closes)
+        if place > self._last(*limits):
+            self._close_to(self.stack[place].tag)
 
     def _close_to(self, tag: str) -> None:
         while len(self.stack) > 1 and self._pop() != tag:
             pass
 
     def _forget(self, e: Element) -> None:
-        self.open[e.tag] -= 1
+        self.open[e.tag].pop()
         self.hidden -= e.hidden
 
+    def _trim(self) -> None:
+        while self.stack[-1].gone:
+            self.stack.pop()
+
     def _pop(self) -> str:
         e = self.stack.pop()
         self._forget(e)
+        self._trim()
         if e.box is not None:
             self.boxes.pop()
             lines = e.box.done()
             if e.tag == "li":
                 if lines:
-                    mark = "- " if e.count is None else f"{e.count}. "
-                    pad = " " * len(mark) if self.open["li"] < MAX_INDENT else ""
+                    mark = self._mark(e.count)
+                    pad = " " * len(mark) if len(self.open["li"]) < MAX_INDENT else ""
                     lines = [mark + lines[0], *((pad + x if x else x) for x in lines[1:])]
                 self.boxes[-1].add(lines, 1)
                 self.boxes[-1].margin(1)
@@ -370,6 +380,8 @@ class Page:
             self.boxes[-1].flow(" ")
         elif e.tag in BLOCKS and not self.hidden and not e.hidden:
             self.boxes[-1].margin(self._gap(e.tag))
+            if e.tag == "li":
+                self.boxes[-1].mark = ""
         return e.tag
 
 
@@ -389,8 +401,8 @@ def render(page: str | None) -> str:
 def extract_text(pages: DataFrame, carry: list[str], column: str = "html") -> DataFrame:
     """(row, text) for every row of ``pages``.
 
-    Pages nested deeper than ``MAX_DEPTH`` keep all their text, but deeper elements do not count;
-    tables inside ``MAX_TABLES`` others are not aligned.
+    Elements are hidden and end at any depth. List items inside ``MAX_BOXES`` boxes keep their marks
+    but do not hang under them; tables there, or inside ``MAX_TABLES`` others, are not aligned.
     """
     chosen = pages.select(row(pages, carry).alias("row"), pages[f"`{column}`"].cast("string").alias("html"))
     out = chosen.drop("html")

@@ -92,6 +92,30 @@ def test_visible_words_match_the_standard_parser():
         assert got == parser.found
 
 
+@pytest.mark.parametrize("tag", ["div", "span", "blockquote", "b"])
+def test_elements_count_at_any_depth(tag):
+    inner = "a<script>var no=1;</script><i hidden>no</i><template>no</template><style>no{}</style>z"
+    assert render(f"<{tag}>" * 600 + inner + f"</{tag}>" * 600 + "<p>end").split() == ["az", "end"]
+    assert render(f"<{tag} hidden>" + f"<{tag}>" * 600 + "no" + f"</{tag}>" * 600 + f"no</{tag}>end") == "end"
+    flat = "".join(f"<font>w{i}<br>" for i in range(600)) + "<script>no()</script><ul><li>one<li>two</ul>"
+    assert render(flat).split("\n") == [*(f"w{i}" for i in range(600)), "", "- one", "- two"]
+
+
+def test_deep_lists_keep_marks():
+    page = "".join(f"<ul><li>w{i}" for i in range(700)) + "<ol><li>x<li><li>y"
+    assert render(page).split() == [w for i in range(700) for w in ("-", f"w{i}")] + ["1.", "x", "3.", "y"]
+
+
+def test_deep_pages_are_linear():
+    n = 30_000
+    pages = ["<b>" * n + "<i>" * n + "</b>" * n, "<div><table><td>" + "<b>" * n + "</div>" * n + "x", "<ul><li>x" * n, "<a>" * n + "<li>y" * n]
+    pages += ["<table><tr><td>q" * 10_000, "<ol>" + "<b><td>" * n + "<li>" * n, "<p>" + "<i>" * n + "</p>" * n]
+    began = time.process_time()
+    for p in pages:
+        render(p)
+    assert time.process_time() - began < 30
+
+
 def test_hostile_pages_are_linear():
     pages = ["<div>" * 50_000 + "x", "<li>" * 50_000, "<a \"'" * 50_000, "<table><tr><td>" * 3_000 + "q", "<" * 200_000]
     pages += ["<!--" * 100_000, "</x>" * 100_000, "<p" * 100_000, "<b>" * 50_000 + "y" + "</b>" * 50_000]
