@@ -53,19 +53,76 @@ MAX_INDENT = 16
 MAX_PAD = 40
 MAX_TABLES = 4
 
-_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+#: An attribute as the HTML standard reads it: only a quote right after the equals sign opens a quoted value.
+_ONE = r"""(=?[^ \t\n\r\f/>=]++|=)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|(?=>|\Z)))?+"""
+_ATTR = re.compile(r"[ \t\n\r\f/]*+" + _ONE)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)")
+_TAG = re.compile(_NAME.pattern + r"((?:[ \t\n\r\f/]++|" + _ONE + r")*+)>")
+_LAST = re.compile(r"[ \t\n\r\f/]*+>")
 _OPEN = re.compile(r"</?[a-zA-Z]|<[!?]|</")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
-_UNSEEN = re.compile(
-    r"""(?:^|\s)hidden(?=[\s=/]|$)|style\s*=\s*(["'])[^"']*?(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.IGNORECASE
-)
-_SPAN = re.compile(r"""colspan\s*=\s*["']?\s*(\d{1,3})""", re.IGNORECASE)
-_START = re.compile(r"""start\s*=\s*["']?\s*(-?\d{1,9})""", re.IGNORECASE)
+#: What can hold a semicolon or colon of no declaration: comments, strings, arguments; all end with the style at the latest.
+_INERT = re.compile(r"""/\*.*?(?:\*/|\Z)|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|\([^)]*(?:\)|\Z)""", re.DOTALL)
+_MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
+_WHOLE = re.compile(r"[ \t\n\r\f]*([+-]?)0*(\d{1,9})")
+
+
+def attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case name of a tag's attributes; the first of a name counts, and names without a value have the empty one."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTR.findall(raw):
+        name = name.lower()
+        if name not in out:
+            value = "".join(values)
+            out[name] = html.unescape(value) if "&" in value else value
+    return out
+
+
+def unseen(raw: str) -> bool:
+    """Whether a tag's attributes hide its element: the attribute hidden, or display or visibility in its style."""
+    if not _MAY_HIDE.search(raw):
+        return False
+    found = attributes(raw)
+    if "hidden" in found:
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in _INERT.sub(" ", found.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        value, _, important = value.lower().partition("!")
+        rule = (important.strip() == "important", value.strip())
+        name = name.strip().lower()
+        if rule[1] and rule[0] >= style.get(name, rule)[0]:  # a later rule counts, unless the earlier one is important
+            style[name] = rule
+    value = {name: v for name, (_, v) in style.items()}
+    return value.get("display") == "none" or value.get("visibility") == "hidden"
+
+
+def whole(raw: str, name: str, default: int) -> int:
+    """A whole number among a tag's attributes."""
+    found = _WHOLE.match(attributes(raw).get(name, "")) if raw else None
+    return int(found[1] + found[2]) if found else default
+
+
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Place of the '>' behind the attributes at ``at``, -1 if there is none; ``dead`` are places known to have none."""
+    tried = []
+    while at not in dead:
+        tried.append(at)
+        found = _ATTR.match(page, at)
+        if not found:
+            last = _LAST.match(page, at)
+            if last:
+                return last.end() - 1
+            break
+        at = found.end()
+    dead.update(tried)
+    return -1
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name or text, attributes) with kind 'text', 'raw', 'start' or 'end'; comments and declarations are left out."""
-    at, n, quotes = 0, len(page), True
+    at, n, whole_tags = 0, len(page), True
+    dead: set[int] = set()
     while at < n:
         m = _OPEN.search(page, at)
         if not m:
@@ -86,15 +143,15 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if end < 0:
             return  # a tag that never ends
         if len(m.group()) > 1 and m.group()[-1].isalpha():
-            tag = _TAG.match(page, at) if quotes and ('"' in page[at:end] or "'" in page[at:end]) else None
+            tag = _TAG.match(page, at) if whole_tags else None
             if tag:
                 close, name, attrs, end = tag[1], tag[2], tag[3], tag.end() - 1
-            else:
-                quotes = quotes and not ('"' in page[at:end] or "'" in page[at:end])
-                close = "/" if page[at + 1] == "/" else ""
-                name, _, attrs = page[at + 1 + len(close) : end].replace("/", " ").partition(" ")
-                name, *more = _BLANK.split(name, 1)
-                attrs = " ".join([*more, attrs])
+            else:  # a tag whose quoted values swallow the rest of the page ends at its first '>', and only that tag
+                whole_tags = False  # from here on with a record of what was tried, to stay linear
+                head = _NAME.match(page, at)
+                found = _tag_end(page, head.end(), dead)
+                end = found if found >= 0 else page.index(">", head.end())
+                close, name, attrs = head[1], head[2], page[head.end() : end]
             name = name.lower()
             yield ("end" if close else "start"), name, attrs
             if not close and name in RAW:
@@ -243,7 +300,7 @@ class Page:
             self.boxes[-1].margin(self._gap(tag))
         if tag in VOID:
             return
-        element = Element(tag, tag in HIDDEN or bool(attrs and _UNSEEN.search(attrs)))
+        element = Element(tag, tag in HIDDEN or bool(attrs and unseen(attrs)))
         if not self.hidden and not element.hidden:
             if tag == "li" and len(self.boxes) >= MAX_BOXES:
                 self.boxes[-1].mark = self._mark(self._number())
@@ -257,8 +314,7 @@ class Page:
                 table.append([])
                 element.rows = table
             elif tag == "ol":
-                found = _START.search(attrs)
-                element.count = int(found[1]) if found else 1
+                element.count = whole(attrs, "start", 1)
         self.open[tag].append(len(self.stack))
         self.stack.append(element)
         self.hidden += element.hidden
@@ -325,8 +381,7 @@ class Page:
 
     @staticmethod
     def _span(attrs: str) -> int:
-        found = _SPAN.search(attrs)
-        return max(1, int(found[1])) if found else 1
+        return min(1000, max(1, whole(attrs, "colspan", 1)))  # the standard's bound
 
     def _table(self):
         """Rows of the innermost open table, if it is laid out as one."""

@@ -92,6 +92,39 @@ def test_visible_words_match_the_standard_parser():
         assert got == parser.found
 
 
+@pytest.mark.parametrize(
+    "attrs, seen",
+    [
+        ('class="flex hidden md:block"', True), ('title="the hidden gem"', True), ('data-style="display:none"', True),
+        ("title='a hidden b' class=x", True), ('aria-hidden="true"', True), ("style=\"background:url('display:none')\"", True),
+        ('style="display:none;display:block"', True), ('style="/* display:none */"', True), ('title="x" title=hidden', True),
+        ("hidden", False), ('class="a" HIDDEN', False), ("hidden=until-found", False), ("a=b/ hidden", False), ("class='a>b' hidden", False),
+        ("style=display:none", False), ('style="color:red; DISPLAY : None !important; display:block"', False),
+        ("style='visibility:hidden'", False), ('style="display&#58;none"', False), ('class="x"" hidden', False),
+    ],
+)
+def test_only_attributes_hide(attrs, seen):
+    assert render(f"a<div {attrs}>text</div>b") == ("a\ntext\nb" if seen else "a\nb")
+    assert render(f"<ol data-start=7 title=' start=5 '><li {attrs}>text<li>b</ol>") == ("1. text\n2. b" if seen else "1. b")
+
+
+def test_unbalanced_quotes_stay_in_their_tag():
+    after = "<p title='a>b' class=\"c>d\">seen</p><i title='x>' hidden>no</i>"
+    for bad in ('<p class="x"">', "<p class=it's>", "<p title=don't>", '<p ">', '<p a=b"c>', '<p ="x">'):
+        assert render(bad + "t" + after) == "t\n\nseen"
+    assert render('<p a=">t<p title=\'a>b\'>seen') == "t\n\nseen"
+    assert render("<p a='>t<p title=\"a>b\">seen") == "t\n\nseen"
+
+
+def test_broken_quotes_are_linear():
+    pages = ["<a b=\">\"" * 50_000, "<a b='>' c=\"" * 50_000, "<a b=\"'>" * 50_001, "<a =\">" * 50_000, "<a" + " b='\"'" * 50_000 + ">" + "<i j=\">\"" * 50_000]
+    pages += ["<p style=\"" + "(/*'" * 50_000 + "\">x", "<p " + "hidden=\"' " * 50_000 + ">y", "<p" + "=" * 100_000 + " style>z"]
+    began = time.process_time()
+    for p in pages:
+        render(p)
+    assert time.process_time() - began < 20
+
+
 @pytest.mark.parametrize("tag", ["div", "span", "blockquote", "b"])
 def test_elements_count_at_any_depth(tag):
     inner = "a<script>var no=1;</script><i hidden>no</i><template>no</template><style>no{}</style>z"
