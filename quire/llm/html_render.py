@@ -52,6 +52,8 @@ MAX_BOXES = 256
 MAX_INDENT = 16
 MAX_PAD = 40
 MAX_TABLES = 4
+#: Columns of a table that cells of earlier rows may cover at a time; cells that would cover more count for their own row.
+MAX_COVERED = 64
 
 #: An attribute as the HTML standard reads it: only a quote right after the equals sign opens a quoted value.
 _ONE = r"""(=?[^ \t\n\r\f/>=]++|=)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+)|(?=>|\Z)))?+"""
@@ -238,33 +240,54 @@ class Box:
 
 
 class Element:
-    __slots__ = ("tag", "hidden", "box", "rows", "count", "gone")
+    __slots__ = ("tag", "hidden", "box", "rows", "count", "down", "gone")
 
     def __init__(self, tag: str, hidden: bool):
         self.tag, self.hidden = tag, hidden
         self.box: Box | None = None
-        self.rows: list[list[tuple[list[str], int]]] | None = None
+        self.rows: list[list[tuple[list[str], int, int]] | None] | None = None
         self.count: int | None = None
+        self.down = 1
         self.gone = False  # ended while others above it were open
 
 
-def table_lines(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Rows of (lines, colspan) cells as aligned text; columns are two blanks apart, very wide cells are not padded for."""
-    width: dict[int, int] = {}
+def placed(rows: list[list[tuple[list[str], int, int]] | None]) -> list[list[tuple[int, list[str], int]]]:
+    """(column, lines, colspan) of the cells of each row; None starts a row group, where cells from above end."""
+    out, below = [], {}
     for r in rows:
-        column = 0
-        for lines, span in r:
+        if r is None:
+            below = {}
+            continue
+        covered, below = below, {c: n - 1 for c, n in below.items() if n > 1}
+        column, cells = 0, []
+        for lines, span, down in r:
+            while column in covered:
+                column += 1
+            cells.append((column, lines, span))
+            if down > 1 and len(below) + span <= MAX_COVERED:
+                below.update(dict.fromkeys(range(column, column + span), down - 1))
+            column += span
+        out.append(cells)
+    return out
+
+
+def table_lines(rows: list[list[tuple[list[str], int, int]] | None]) -> list[str]:
+    """Rows of (lines, colspan, rowspan) cells as aligned text; columns are two blanks apart, very wide cells are not padded for."""
+    width: dict[int, int] = {}
+    cells = placed(rows)
+    for r in cells:
+        for column, lines, span in r:
             if span == 1:
                 width[column] = max(width.get(column, 0), min(MAX_PAD, max(map(len, lines), default=0)))
-            column += span
     out = []
-    for r in rows:
-        for k in range(max((len(lines) for lines, _ in r), default=0)):
-            parts, column = [], 0
-            for lines, span in r:
+    for r in cells:
+        for k in range(max((len(lines) for _, lines, _ in r), default=0)):
+            parts, at = [], 0
+            for column, lines, span in r:
+                parts += [" " * width.get(c, 0) for c in range(at, column)]
                 room = sum(width.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
                 parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                column += span
+                at = column + span
             out.append("  ".join(parts).rstrip())
     return out
 
@@ -308,11 +331,14 @@ class Page:
                 element.box = Box()
                 self.boxes.append(element.box)
                 element.count = self._number() if tag == "li" else self._span(attrs)
+                element.down = self._down(attrs) if tag != "li" else 1
             elif tag == "table" and len(self.open["table"]) < MAX_TABLES and len(self.boxes) < MAX_BOXES:
                 element.rows = []
             elif tag == "tr" and (table := self._table()) is not None:
                 table.append([])
                 element.rows = table
+            elif tag in ("thead", "tbody", "tfoot") and (table := self._table()) is not None and self._row() is None:
+                table.append(None)
             elif tag == "ol":
                 element.count = whole(attrs, "start", 1)
         self.open[tag].append(len(self.stack))
@@ -383,6 +409,11 @@ class Page:
     def _span(attrs: str) -> int:
         return min(1000, max(1, whole(attrs, "colspan", 1)))  # the standard's bound
 
+    @staticmethod
+    def _down(attrs: str) -> int:
+        rows = whole(attrs, "rowspan", 1)
+        return min(65534, rows) if rows > 0 else 65534 if rows == 0 else 1  # 0: to the end of the row group
+
     def _table(self):
         """Rows of the innermost open table, if it is laid out as one."""
         e = self._inner("table", "td", "th", "caption")
@@ -425,7 +456,7 @@ class Page:
                 self.boxes[-1].add(lines, 1)
                 self.boxes[-1].margin(1)
             elif (rows := self._row()) is not None:
-                rows[-1].append((lines, e.count or 1))
+                rows[-1].append((lines, e.count or 1, e.down))
             else:
                 self.boxes[-1].add(lines, 1)
         elif e.tag == "table" and e.rows is not None:

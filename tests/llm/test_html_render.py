@@ -108,6 +108,18 @@ def test_only_attributes_hide(attrs, seen):
     assert render(f"<ol data-start=7 title=' start=5 '><li {attrs}>text<li>b</ol>") == ("1. text\n2. b" if seen else "1. b")
 
 
+def test_rowspans_keep_columns():
+    page = "<table><thead><tr><th rowspan=2>Name<th colspan=2>N<th rowspan=9>E<tr><td>1<td>22<tbody><tr><td>b<td>3<td rowspan=0>4<td>5<tr><td>c<td>6<td>7"
+    assert render(page) == "Name  N      E\n      1  22\nb     3  4   5\nc     6      7"
+    assert render("<table><tr><td rowspan=2 colspan=2>a<td>b<tr><td>c<td>d<tr><td>e<td>f<td rowspan=-1>g</table>") == (
+        "a     b\n      c  d\ne  f  g"
+    )
+    assert render("<table><tr><td>x</td><tbody><td>y<tfoot><td>z</table>").split() == ["x", "y", "z"]  # a row left open
+    began = time.process_time()
+    render("<table><tr>" + "<td rowspan=65534>x" * 30_000 + "<tr><td>y" * 30_000)
+    assert time.process_time() - began < 15
+
+
 def test_unbalanced_quotes_stay_in_their_tag():
     after = "<p title='a>b' class=\"c>d\">seen</p><i title='x>' hidden>no</i>"
     for bad in ('<p class="x"">', "<p class=it's>", "<p title=don't>", '<p ">', '<p a=b"c>', '<p ="x">'):
