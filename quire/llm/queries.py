@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import pieces, token_file
+from quire.llm import pieces, prefix_trie, token_file
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.html_render import extract_text
 from quire.llm.line_dedup import mark_lines
@@ -17,7 +17,7 @@ from quire.llm.near_dedup import mark_near
 from quire.llm.ngram_lm import score_texts
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
-from quire.session import checkpoint_root
+from quire.session import checkpoint_root, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("row.doc_id", "class_id", "class_size", "kept")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = prefix_trie.coded_turns(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    turns, convs = prefix_trie.rebuilt(settle(coded, "trie-coded"))
+    return prefix_trie.prefix_trie(turns, convs)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -93,6 +99,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_file": op9_token_file,
     "op10_near_dedup": op10_near_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLES = {
