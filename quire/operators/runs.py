@@ -106,7 +106,8 @@ def redistributed(text: Column, lengths: Column) -> Column:
                 (total > 0) & F.contains(window, F.lit(" ")) & (space > acc["at"]), space + 1
             ).otherwise(ideal)
             last = acc["run"] == n - 1
-            end = F.when(last, F.greatest(F.length(t), acc["at"])).otherwise(snapped)
+            # A cut behind the proportional end never moves back, or its blank would be written twice.
+            end = F.greatest(F.when(last, F.length(t)).otherwise(snapped), acc["at"])
             return let(
                 end,
                 lambda e: F.struct(

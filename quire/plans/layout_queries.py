@@ -465,7 +465,7 @@ def _results(spark, sf):
 @register(
     "proofread_segments",
     Q.segments_with(200)
-    + f""" SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, CASE WHEN length(first) % 10 IN (3, 7) THEN first ELSE replace(first, 'le', 'la') END AS result_text
+    + f""" SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, CASE WHEN length(first) % 10 IN (3, 5) THEN first ELSE replace(first, 'le', 'la') END AS result_text
        FROM (SELECT *, {_TRANSLATED} AS first FROM segs)""",
 )
 def proofread_segments(spark, sf):
