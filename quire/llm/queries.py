@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import pieces, prefix_trie, token_file
+from quire.llm.collocations import collocations
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.html_render import extract_text
 from quire.llm.line_dedup import mark_lines
@@ -88,6 +89,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(turns, convs)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -100,6 +105,7 @@ QUERIES = {
     "op9_token_file": op9_token_file,
     "op10_near_dedup": op10_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_collocations": op12_collocations,
 }
 
 ORACLES = {

@@ -58,29 +58,31 @@ def utf8(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _windows(data: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+def _windows(data: np.ndarray, size: int, white: np.ndarray = WHITE) -> Iterator[tuple[int, int]]:
     """Ranges of about ``size`` bytes that end behind white space, so that no word is cut."""
     start, n = 0, len(data)
     while start < n:
         end = min(n, start + size)
-        while end < n and not WHITE[data[end - 1]]:
-            step = np.flatnonzero(WHITE[data[end : end + 4096]])
+        while end < n and not white[data[end - 1]]:
+            step = np.flatnonzero(white[data[end : end + 4096]])
             end = end + int(step[0]) + 1 if len(step) else min(n, end + 4096)
         yield start, end
         start = end
 
 
 def words(
-    data: np.ndarray, offsets: np.ndarray, hashes: bool = True, fold: bool = False
+    data: np.ndarray, offsets: np.ndarray, hashes: bool = True, fold: bool = False, white: np.ndarray = WHITE
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
-    """(start, end, text number, 64-bit hash) of every word; ``fold`` hashes A-Z as a-z."""
+    """(start, end, text number, 64-bit hash) of every word; ``fold`` hashes A-Z as a-z, ``white`` marks the bytes between words."""
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     codes = FOLDED_CODES if fold else BYTE_CODES
+    if white is not WHITE:
+        codes = np.where(white, np.uint64(0), codes)
     starts, ends, found = [], [], []
-    for a, b in _windows(data, SLICE_BYTES):
+    for a, b in _windows(data, SLICE_BYTES, white):
         part = data[a:b]
-        ink = ~WHITE[part]
+        ink = ~white[part]
         before, after = np.ones(b - a, bool), np.ones(b - a, bool)
         before[1:], after[:-1] = ~ink[:-1], ~ink[1:]
         s = np.flatnonzero(ink & (before | first[a:b]))
