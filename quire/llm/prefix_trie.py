@@ -373,7 +373,8 @@ def _ends(rows: DataFrame) -> DataFrame:
     ones = counted.where("n = 1").drop("n")
     ids = F.array_join(F.array_sort(F.collect_list("conv")), ",").alias("ids")
     many = last.join(counted.where("n > 1").select("a", "b"), ["a", "b"], "left_semi")
-    blocks = many.groupBy("a", "b", F.shiftright("conv", ENDS_BITS).alias("block")).agg(ids)
+    # Dealt by block, or the planner would keep the ids of a node together from here on.
+    blocks = many.withColumn("block", F.shiftright("conv", ENDS_BITS)).repartition("a", "b", "block").groupBy("a", "b", "block").agg(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
