@@ -12,6 +12,7 @@ from quire.llm import pieces, prefix_trie, token_file
 from quire.llm.collocations import collocations
 from quire.llm.exact_dedup import mark_exact
 from quire.llm.html_render import extract_text
+from quire.llm.license_scan import scan_licenses
 from quire.llm.line_dedup import mark_lines
 from quire.llm.mixing import taken_words
 from quire.llm.near_dedup import mark_near
@@ -93,6 +94,11 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), ["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_quality_classifier": op2_quality_classifier,
@@ -106,6 +112,7 @@ QUERIES = {
     "op10_near_dedup": op10_near_dedup,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_collocations": op12_collocations,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES = {
