@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,21 +66,36 @@ def checkpoint_root(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
-def settle(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and continue from the files.
+def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and continue from the files, with one folder for each value of ``by``.
 
     Used after model calls (never pay for an answer twice, even if an executor
     is lost) and between the rounds of an iterative operator.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     _WRITTEN.append(path)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.scratch = path
     return settled
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of at most about ``size`` bytes for what is written inside: Python workers then hold little of long rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def written() -> list[str]:
     """Folders that ``settle`` has written and nobody has deleted."""
     return list(_WRITTEN)
