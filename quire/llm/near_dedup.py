@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from quire.llm.components import components
 from quire.llm.quality_rules import _ddl
 from quire.llm.text import joined, mix, row, slices, utf8, words
-from quire.session import clear_scratch, discard, settle, written
+from quire.session import arrow_batches, clear_scratch, discard, settle, written
 
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -42,6 +42,7 @@ LEADER_ROUNDS = 1
 FINE_REGISTERS = 1024
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
+BATCH_BYTES = 4 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,23 +126,19 @@ def _draw(times: np.ndarray, owner: np.ndarray, shingle: np.ndarray, weight: np.
         owner, shingle, weight = owner[more], shingle[more], weight[more]
 
 
-def signed(docs: DataFrame, carry: list[str], text: str, order: str) -> DataFrame:
-    """(row, ord, text, digest, sig): the word-sequence digest and the signature of every text."""
-    chosen = docs.select(
-        row(docs, carry).alias("row"), docs[f"`{order}`"].alias("ord"), docs[f"`{text}`"].cast("string").alias("text")
-    )
+def signed(texts: DataFrame) -> DataFrame:
+    """(rid, ord, digest, sig) of ``texts`` (rid, ord, text): the word-sequence digest and, where there is a word, the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             owner, shingle, weight, digests = shingles(part.column("text"))
             times = bag_min_hash(owner, shingle, weight, part.num_rows)
             sig = (mix(times.view(np.uint64)) >> np.uint64(32)).astype("<u4")
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns, pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())],
-                ["row", "ord", "text", "digest", "sig"],
-            )
+            inked = np.isfinite(times[:, 0]).tolist()
+            columns = [pa.array(digests, pa.binary()), pa.array([s.tobytes() if ink else None for s, ink in zip(sig, inked)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("ord"), *columns], ["rid", "ord", "digest", "sig"])
 
-    return chosen.mapInArrow(run, f"{_ddl(chosen)}, digest binary, sig binary")
+    return texts.mapInArrow(run, f"{_ddl(texts.select('rid', 'ord'))}, digest binary, sig binary")
 
 
 def _band_keys(sig: np.ndarray) -> np.ndarray:
@@ -235,8 +232,11 @@ def _compared(rest: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of ``rest`` (bucket, band, rid, c) in one bucket, of different components, that may have the similarity."""
     least = _floor(FINE_REGISTERS, similarity, 1 / 16)
     fine = settle(_fine(info.join(rest.select("rid").distinct(), "rid", "left_semi")), "near-fine")
-    sized = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
-    blocks = F.ceil(F.col("n") / BLOCK)
+    # Only buckets of more than one block need their size, and there are few: the rows of a hot bucket are not brought together for it.
+    large = settle(rest.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "near-large")
+    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
+    sized = rest.join(large, "bucket", "left")
+    blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BLOCK)
     # A member goes to every pair of blocks that its own block is part of: once, in a bucket of one block.
     dealt = sized.withColumns({"block": F.pmod(F.xxhash64("rid", "bucket"), blocks), "blocks": blocks}).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
@@ -319,30 +319,40 @@ def mark_near(
     and names the class. Texts with the same words in the same order are always one class, texts
     without words too. No rows give no rows.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _marked(docs, carry, text, order, similarity, rounds)
+
+
+def _marked(docs: DataFrame, carry: list[str], text: str, order: str, similarity: float, rounds: int) -> DataFrame:
     before = written()
-    base = settle(signed(docs, carry, text, order).withColumn("rid", F.monotonically_increasing_id()), "near-signed")
-    same = settle(base.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "near-texts")
-    reps = base.join(same.select(F.col("rep").alias("rid")), "rid", "left_semi")
-    inked = F.regexp_like("text", F.lit(r"[^\x20\x09-\x0D]"))
-    bands = settle(_bands(reps.where(inked).select("rid", "sig")), "near-bands")
+    kept_text = [] if text in carry else [docs[f"`{text}`"].cast("string").alias("text")]
+    base = docs.select(row(docs, carry).alias("row"), docs[f"`{order}`"].alias("ord"), *kept_text)
+    base = settle(base.withColumn("rid", F.monotonically_increasing_id()), "near-rows")
+    texts = base.select("rid", "ord", ("text" if kept_text else F.col("row")[text].cast("string").alias("text")))
+    signatures = settle(signed(texts), "near-signed")
+    same = settle(signatures.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "near-texts")
+    reps = signatures.where("sig is not null").join(same.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    bands = settle(_bands(reps.select("rid", "sig")), "near-bands")
     shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
     members = settle(bands.join(shared, "bucket"), "near-buckets")
     discard(bands, shared)
     # Texts are needed only where some band is shared.
-    info = settle(base.select("rid", "sig", "text").join(members.select("rid").distinct(), "rid", "left_semi"), "near-info")
+    wanted = settle(members.select("rid").distinct(), "near-wanted")
+    info = texts.select("rid", "text").join(wanted, "rid", "left_semi").join(signatures.select("rid", "sig"), "rid")
+    info = settle(info.select("rid", "sig", "text"), "near-info")
     roots = _links(members, info, similarity, rounds)
     at = same.select("digest", "rep")
     if roots is not None:
         at = at.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("rep"))
-    at = settle(at, "near-classes")
-    clear_scratch(docs.sparkSession, [p for p in written() if p not in {*before, base.scratch, at.scratch}])
-    placed = settle(base.select("row", "ord", "rid", "digest").join(at, "digest").drop("digest"), "near-rows")
-    discard(base, at)
+    placed = settle(signatures.select("rid", "ord", "digest").join(settle(at, "near-classes"), "digest").drop("digest"), "near-placed")
     first = F.min(F.struct(F.col("ord").isNull().alias("none"), "ord", "rid")).alias("first")
     classes = settle(placed.groupBy("rep").agg(first, F.count("*").alias("class_size")), "near-sizes")
-    return placed.join(classes, "rep").select(
-        "row", F.col("first.ord").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept")
+    verdicts = placed.join(classes, "rep").select(
+        "rid", F.col("first.ord").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept")
     )
+    verdicts = settle(verdicts, "near-verdicts")
+    clear_scratch(docs.sparkSession, [p for p in written() if p not in {*before, base.scratch, verdicts.scratch}])
+    return base.select("rid", "row").join(verdicts, "rid").select("row", "class_id", "class_size", "kept")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", order: str = "doc_id", **how) -> DataFrame:
