@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType
 
 from quire.llm.text import row
-from quire.session import settle
+from quire.session import discard, settle
 
 CELLS_PER_ROW = 16
 CELLS = 4
@@ -90,9 +90,8 @@ def _filter(digests: DataFrame, segments: int) -> DataFrame:
     return hits.groupBy("segment").applyInArrow(merge, "segment long, bits binary")
 
 
-def _suspect(spark, found: list, segments: int):
+def _suspect(bits, segments: int):
     """Column function: may this hash occur twice?"""
-    bits = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in found})
 
     @F.pandas_udf(BooleanType())
     def suspect(digests: pd.Series) -> pd.Series:
@@ -122,21 +121,24 @@ def mark_exact(
     hashed = docs.select(
         row(docs, carry).alias("row"), docs[f"`{order}`"].alias("ord"), text_digest(docs[f"`{text}`"]).alias("digest")
     )
-    if text not in carry:
-        hashed = settle(hashed, "exact-hashes")
+    hashed = settle(hashed, "exact-hashes")
     segments = max(1, -(-docs.count() * CELLS_PER_ROW >> SEGMENT_BITS))
     per_range = max(1, (filter_bytes << 3) >> SEGMENT_BITS)
     ranges = -(-segments // per_range)
     if ranges > 1:
         of_range = F.conv(F.substring(F.hex("digest"), 17, 8), 16, 10).cast("long") % ranges
-        hashed = settle(hashed.withColumn("range", of_range), "exact-ranges")
+        ranged = settle(hashed.withColumn("range", of_range), "exact-ranges", by="range")
+        discard(hashed)
         segments = -(-segments // ranges)
     parts = []
     for k in range(ranges):
-        part = hashed.where(F.col("range") == k).drop("range") if ranges > 1 else hashed
-        found = _filter(part.select("digest"), segments).collect()
-        part = part.withColumn("suspect", _suspect(spark, found, segments)("digest"))
-        parts.append(_one_range(part))
+        part = ranged.where(F.col("range") == k).drop("range") if ranges > 1 else hashed  # a folder of its own
+        bits = spark.sparkContext.broadcast({r["segment"]: bytes(r["bits"]) for r in _filter(part.select("digest"), segments).collect()})
+        done = _one_range(part.withColumn("suspect", _suspect(bits, segments)("digest")))
+        if ranges > 1:  # then the filter of the range can go before that of the next comes
+            done = settle(done, "exact-done")
+            bits.unpersist()
+        parts.append(done)
     return reduce(DataFrame.unionByName, parts)
 
 
