@@ -25,15 +25,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.text import joined, mix, slices, utf8, words
-from quire.session import settle
+from quire.session import arrow_batches, settle
 
 LEAST = 10
 LONGEST = 3
 TOP = 2000
 SHARDS = 4
 FILTER_BITS = 1 << 28
-PART_BYTES = 4 << 20
-HELD_KEYS = 4 << 20
+PART_BYTES = 2 << 20
+HELD_KEYS = 3 << 20
+BATCH_BYTES = 8 << 20
 SALTS = 8
 NO_LANG = "und"
 _ROWS = 1 << 16
@@ -200,6 +201,11 @@ def phrase_counts(
     phrase lies in one piece. The row with a null phrase has the number of all words of its language.
     A null language is ``und``; null and empty texts have no words; no rows give no rows.
     """
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        return _phrase_counts(docs, text, lang, least, longest, shards, filter_bits)
+
+
+def _phrase_counts(docs: DataFrame, text: str, lang: str, least: int, longest: int, shards: int, filter_bits: int) -> DataFrame:
     texts = docs.select(
         F.coalesce(docs[f"`{lang}`"].cast("string"), F.lit(NO_LANG)).alias("lang"),
         F.coalesce(docs[f"`{text}`"].cast("string"), F.lit("")).alias("text"),
