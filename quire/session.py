@@ -66,6 +66,13 @@ def checkpoint_root(spark: SparkSession) -> str:
 _WRITTEN: list[str] = []
 
 
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A new folder name below the shared folder that ``clear_scratch`` knows of."""
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and continue from the files, with one folder for each value of ``by``.
 
@@ -73,9 +80,8 @@ def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     is lost) and between the rounds of an iterative operator.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, label)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
-    _WRITTEN.append(path)
     settled = spark.read.schema(df.schema).parquet(path)
     settled.scratch = path
     return settled
