@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +17,7 @@ from quire.llm.near_dedup import mark_near
 from quire.llm.ngram_lm import score_texts
 from quire.llm.quality_model import score_quality
 from quire.llm.quality_rules import apply_rules
-from quire.session import checkpoint_root, settle
+from quire.session import scratch_folder, settle
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +71,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_root(spark)}/tokens-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "tokens")
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     token_file.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer, end_id=2)
     return token_file.digests(token_file.read_tokens(spark, path))

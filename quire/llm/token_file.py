@@ -11,8 +11,8 @@ without touching other payloads, and Spark's commit protocol makes lost tasks ha
 
 from __future__ import annotations
 
+import hashlib
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.chunks import ChunkTable
-from quire.llm.text import slices
+from quire.llm.text import POWERS, WHITE, per_text, slices, utf8, words
 
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 SHARD_BYTES = 48 << 20
-TABLE_WORDS = 700_000
+TABLE_WORDS = 1_500_000
 _DOCS = pa.list_(pa.struct([("doc_id", pa.int64()), ("first", pa.int64()), ("size", pa.int64())]))
 _BLOCK = (
     "shard int, block int, first long, n int, plane_bytes array<int>, payload binary, "
@@ -55,20 +54,54 @@ def from_planes(planes: list[bytes], n: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).view("<u4").ravel()
 
 
-_TAIL = re.compile(rb"(.*[A-Za-z0-9])([.,!?;:]+)", re.DOTALL)
-_PROBES = ("ab,", "Ab7!?", "x.", "a\u00e9;", "it's", "\u00c9a b,c")
+_PROBES = (
+    "ab,", "Ab7!?", "x.", "a\u00e9;", "it's", "\u00c9a b,c", "W\u030a T\u0308.", "aY\u030ab,", "3.14, 2;", "A.B!c", "a,\u030a", "...", "x</w> y",
+)
 JOINED = 256
+PUNCTUATION = np.zeros(256, bool)
+PUNCTUATION[[ord(c) for c in ".,!?;:"]] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
 
 
-class WordEncoder:
-    """Ids of words by the tokenizers library, with as few calls as word-end models allow.
+def prepared(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with A-Z folded and a blank before the punctuation that ends a word, so that fewer words differ.
 
-    Such a model lower-cases, drops white space, keeps letters and punctuation apart and marks the
-    last piece of every run. So trailing punctuation is encoded apart from its word, and words of
-    letters only go to the library many at a time, as one text that is cut behind each end mark.
+    A capital in front of a character beyond ASCII stays, as the two may be composed before the library
+    folds them. Texts with the mark of a special token's name stay as they are.
+    """
+    n = len(data)
+    if not n:
+        return data, offsets
+    open_ = np.ones(n, bool)
+    marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+    for t in np.unique(np.searchsorted(offsets, marks, side="right") - 1):
+        open_[offsets[t] : offsets[t + 1]] = False
+    beyond = np.zeros(n, bool)
+    beyond[:-1] = data[1:] >= 128
+    capital = (data >= 65) & (data <= 90) & ~beyond & open_
+    data = data + (capital * np.uint8(32))
+    first = np.zeros(n + 1, bool)
+    first[offsets] = True
+    marks = PUNCTUATION[data] & open_
+    before, behind = np.zeros(n, bool), np.zeros(n, bool)
+    before[1:], behind[:-1] = marks[:-1], marks[1:]
+    starts = np.flatnonzero(marks & (~before | first[:-1]))
+    ends = np.flatnonzero(marks & (~behind | first[1:])) + 1
+    closed = first[ends] | WHITE[data[np.minimum(ends, n - 1)]]
+    at = starts[closed & ~first[starts] & _ALNUM[data[starts - 1]]]
+    return np.insert(data, at, 0x20), offsets + np.searchsorted(at, offsets)
+
+
+class WordTable:
+    """Ids of distinct words by the tokenizers library, found by their 64-bit hashes; bounded, and empty again when full.
+
+    The tokenizer must be a word-end model: it drops white space, keeps letters and punctuation apart and
+    marks the last piece of every run. So words of letters only go to the library many at a time, as one
+    text that is cut behind each end mark.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = TABLE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -76,47 +109,77 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.stems: dict[bytes, list[int]] = {}
         self.limit = limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.int32), 0
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def check(self) -> None:
-        """Raise unless texts can be encoded word by word, folded, and without their trailing punctuation."""
+        """Raise unless texts can be encoded word by word, folded, and with their trailing punctuation apart."""
         for text, whole in zip(_PROBES, self.plain(list(_PROBES))):
-            parts = [i for word in split_words(text) for i in self([word])[0]]
-            if parts != whole or self.plain([text.upper()]) != self.plain([text.lower()]):
+            if self.encode(pa.array([text]))[0].tolist() != whole:
                 raise ValueError("this tokenizer is not a word-end model, so words cannot be encoded alone")
 
-    def _learn(self, stems: list[bytes]) -> None:
-        names = [s.decode() for s in stems]
+    def _learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each word)."""
+        names = [w.decode() for w in words]
+        parts: list = [None] * len(names)
+        alone = []
         letters = [k for k, n in enumerate(names) if n.isalpha()]
-        rest = [k for k, n in enumerate(names) if not n.isalpha()]
-        for k in range(0, len(letters), JOINED):
-            group = letters[k : k + JOINED]
-            ids = self.plain([" ".join(names[i] for i in group)])[0]
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
-            if len(ends) != len(group):
-                rest += group
-                continue
-            for i, a, b in zip(group, [0, *ends], ends):
-                self.stems[stems[i]] = ids[a:b]
-        for i, ids in zip(rest, self.plain([names[i] for i in rest])):
-            self.stems[stems[i]] = ids
-
-    def __call__(self, words: list[bytes]) -> list[list[int]]:
-        cut = [m.groups() if (m := _TAIL.fullmatch(w)) else (w,) for w in words]
-        if len(self.stems) > self.limit:
-            self.stems = {}
-        self._learn(list({p for parts in cut for p in parts} - self.stems.keys()))
-        return [self.stems[c[0]] if len(c) == 1 else self.stems[c[0]] + self.stems[c[1]] for c in cut]
-
-
-def split_words(text: str) -> list[bytes]:
-    """White-space words of a text; A-Z folded unless the text may hold the name of a special token."""
-    data = text.encode("utf-8", "replace")
-    return (data if b"<|" in data else data.lower()).split()
+        groups = [letters[k : k + JOINED] for k in range(0, len(letters), JOINED)]
+        for group, ids in zip(groups, self.plain([" ".join([names[k] for k in group]) for group in groups])):
+            ids = np.array(ids, np.int32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                for k, a, b in zip(group, [0, *ends.tolist()], ends.tolist()):
+                    parts[k] = ids[a:b]
+            else:
+                alone += group
+        alone += [k for k, n in enumerate(names) if not n.isalpha()]
+        for k, ids in zip(alone, self.plain([names[k] for k in alone])):
+            parts[k] = np.array(ids, np.int32)
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _add(self, at: np.ndarray, keys: np.ndarray, words: list[bytes]) -> None:
+        ids, sizes = self._learn(words)
+        first, self.used = self.used, self.used + len(ids)
+        while self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[first : self.used] = ids
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, first + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, at, sizes)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids in order, number of ids of each text)."""
+        data, offsets = prepared(*utf8(texts))
+        start, end, text, hashes = words(data, offsets)
+        if not len(start):
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        for k in np.flatnonzero(end - start > len(POWERS)):  # the hash repeats its weights from there on
+            hashes[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+        keys, first, row = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = np.flatnonzero(at < len(self.keys))
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if len(self.keys) + int(new.sum()) > self.limit:
+            self._clear()
+            at, new = np.zeros(len(keys), np.int64), np.ones(len(keys), bool)
+        if new.any():
+            raw, of = data.tobytes(), first[new]
+            self._add(at[new], keys[new], [raw[a:b] for a, b in zip(start[of].tolist(), end[of].tolist())])
+        row = np.searchsorted(self.keys, keys)[row]
+        size, begin = self.size[row], self.begin[row]
+        ends = np.cumsum(size)
+        flat = np.arange(int(ends[-1])) + np.repeat(begin - (ends - size), size)
+        return self.ids[flat], per_text(size, text, len(texts)).astype(np.int64)
 
 
 def write_tokens(
@@ -126,11 +189,11 @@ def write_tokens(
     """Encode every whole text and write the id file to ``path`` (a new folder).
 
     The tokenizer must be a word-end model; then a text is encoded word by word, each distinct word
-    once per task. Null and empty texts have the end id only. Null ids come first; equal ids follow one another, ordered by text hash.
+    once per task while the table of words lasts. Null and empty texts have the end id only. Null ids come first; equal ids follow one another, ordered by text hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ChunkTable(WordEncoder(tokenizer), TABLE_WORDS)
+        table = WordTable(tokenizer)
         pack = zstandard.ZstdCompressor(level=LEVEL)
         shard = TaskContext.get().partitionId()
         number, first, held, waiting = 0, 0, np.zeros(0, np.int64), []  # waiting: (doc_id, first, size) not yet closed
@@ -152,9 +215,8 @@ def write_tokens(
 
         total = 0
         for part in slices(batches, "text"):
-            lists = [split_words(t or "") for t in part.column("text").to_pylist()]
-            ids, sizes = table.lookup([w for words in lists for w in words])
-            ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum([0, *map(len, lists)])]
+            ids, sizes = table.encode(part.column("text"))
+            ends = np.concatenate([[0], np.cumsum(sizes)])
             closed = np.insert(ids.astype(np.int64), ends[1:], end_id)
             for doc_id, size in zip(part.column("doc_id").to_pylist(), np.diff(ends).tolist()):
                 waiting.append((doc_id, total, size + 1))
@@ -166,7 +228,7 @@ def write_tokens(
         if len(held):
             yield emit(held)
 
-    WordEncoder(tokenizer).check()
+    WordTable(tokenizer).check()
     chosen = docs.select(docs[f"`{order}`"].cast("long").alias("doc_id"), docs[f"`{text}`"].cast("string").alias("text"))
     size = chosen.select(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     ordered = chosen.repartitionByRange(int(size // SHARD_BYTES) + 1, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
@@ -199,6 +261,13 @@ def _documents(blocks: DataFrame, whole: bool) -> DataFrame:
     return blocks.mapInArrow(run, "shard int, first long, doc_id long, place long, ids binary")
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = [b"".join(p["ids"] for p in parts) for parts in batch.column("parts").to_pylist()]
+        names = ["shard", "first", "doc_id"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(ids, pa.binary())], [*names, "ids"])
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document in the file.
 
@@ -212,7 +281,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     parts = (
         _documents(blocks, False).groupBy("shard", "first", "doc_id")
         .agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"))
-        .select("shard", "first", "doc_id", F.aggregate("parts", F.lit(b""), lambda x, p: F.concat(x, p["ids"])).alias("ids"))
+        .mapInArrow(_joined, "shard int, first long, doc_id long, ids binary")
     )
     return (
         whole.unionByName(parts).join(base, "shard")

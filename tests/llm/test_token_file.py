@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from quire.llm.token_file import digests, from_planes, read_tokens, to_planes, write_tokens
+from quire.llm.token_file import WordTable, digests, from_planes, read_tokens, to_planes, write_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, n int, payload string"
@@ -53,6 +54,42 @@ def test_file_matches_the_library(spark, tmp_path, bits, block):
         assert r["n_tokens"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def hostile(n):
+    """Texts of capitals, combining marks, compatibility forms, punctuation, special names and any other character."""
+    rng = random.Random(17)
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    pool = list("ABCHJTWYZabcw019.,!?;:'-_<|> \t\n") + marks + list("ÅÉßſİıΣςﬁ①㎏½ªǅ가각中🎉\u200d\u00a0\u0085\u2028\ufeff")
+    out = []
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.4:
+            out.append("".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + rng.choice(marks + [""]) + rng.choice(["", " ", ".", "x"]) for _ in range(rng.randrange(8))))
+        elif kind < 0.9:
+            out.append("".join(rng.choice(pool) for _ in range(rng.randrange(20))))
+        else:
+            out.append("".join(chr(rng.choice([rng.randrange(32, 0x3000), rng.randrange(0xF900, 0x10000), rng.randrange(0x10000, 0x1F000)])) for _ in range(12)))
+    return out + ["<|endoftext|>A.", "ab.<|endoftext|>", "W\u030a T\u0308 Y\u030a J\u030c H\u0331", "x" * 9000 + " " + "y" * 5000 + "x" * 4000]
+
+
+def test_words_match_the_library_on_hostile_texts():
+    texts = hostile(6000)
+    table, tokenizer = WordTable(PATH, limit=5000), Tokenizer.from_file(PATH)
+    for a in range(0, len(texts), 500):
+        ids, sizes = table.encode(pa.array(texts[a : a + 500]))
+        ends = np.cumsum(sizes)
+        for text, i, j in zip(texts[a : a + 500], ends - sizes, ends):
+            assert ids[i:j].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_many_nulls_and_one_id(spark, tmp_path):
+    """Rows with one id, and rows without, are all there, one after the other."""
+    rows = [(None, None, 1, "")] * 40 + [(7, "seven", 1, "")] * 40 + [(None, "x", 1, "")]
+    write_tokens(spark.createDataFrame(rows, SCHEMA).repartition(4), str(tmp_path / "n"), PATH, 2, block=16)
+    got = digests(read_tokens(spark, str(tmp_path / "n"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 41 + [7] * 40
+    assert [r["start"] for r in got] == np.cumsum([0] + [r["n_tokens"] for r in got][:-1]).tolist()
+
+
 def test_empty_table(spark, tmp_path):
     write_tokens(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"), PATH, 2)
     assert digests(read_tokens(spark, str(tmp_path / "e"))).count() == 0
