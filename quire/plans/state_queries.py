@@ -10,6 +10,8 @@ from quire.operators import state as G
 from quire.operators import extract as X
 from quire.plans import sql as Q
 from quire.plans import tables as tb
+from quire.session import scratch_folder
+from quire.sources.commits import SnapshotLog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,6 +119,37 @@ def transition_jobs_repeated(spark, sf):
     return transition_jobs(spark, sf, 3)
 
 
+@register(
+    "racing_transitions",
+    Q.STATE
+    + """ SELECT job_id, CASE WHEN status IN ('PENDING', 'PAUSED') AND doc_id % 3 < 2 THEN 'PROCESSING' WHEN status = 'PENDING' OR status = 'FAILED' THEN 'PAUSED' ELSE status END AS status,
+      CASE WHEN doc_id % 3 < 2 THEN status IN ('PENDING', 'PAUSED') END AS first_applied,
+      status = 'FAILED' OR (status = 'PENDING' AND doc_id % 3 = 2) AS second_applied, 1 AS refused, 3 AS version FROM jobs""",
+)
+def racing_transitions(spark, sf):
+    """Two writers change the same version of the jobs; the slower one is refused and repeats its change on the new version."""
+    store = SnapshotLog(spark, scratch_folder(spark, "race"))
+    store.commit({"jobs": jobs_of(spark, sf)}, 0)
+    command = lambda jobs, allowed, new: jobs.select("job_id", F.array(*map(F.lit, allowed)).alias("allowed"), F.lit(new).alias("new_status"))
+    refused, base = 0, store.version()
+    jobs = store.read("jobs", base)
+    start = G.transition_jobs(jobs, command(jobs.where(F.col("job_id").cast("long") % 3 < 2), ["PENDING", "PAUSED"], "PROCESSING"))
+
+    def pause(read):
+        nonlocal refused
+        now = read("jobs").drop("applied")
+        refused += 1
+        if refused == 1:  # the other writer comes in between
+            store.commit({"jobs": start}, base)
+        return {"jobs": G.transition_jobs(now, command(now, ["PENDING", "FAILED"], "PAUSED"))}
+
+    version = store.update(pause)
+    first = store.read("jobs", base + 1).select("job_id", F.col("applied").alias("first_applied"))
+    return store.read("jobs").join(first, "job_id").select(
+        "job_id", "status", "first_applied", F.col("applied").alias("second_applied"), F.lit(refused - 1).alias("refused"), F.lit(version).alias("version")
+    )
+
+
 CHUNK_HIT = "(doc_id + chunk_index) % 2 = 0"
 
 

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from quire.operators import report as I
 from quire.plans import sql as Q
 from quire.plans import tables as tb
-from quire.session import checkpoint_root
+from quire.session import checkpoint_root, scratch_folder
+from quire.sources.commits import SnapshotLog
 from quire.streaming import events as J
+from quire.streaming import ledger as L
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -94,13 +96,94 @@ def live_segment_status(spark, sf):
 
 @register(
     "live_progress",
-    f"""WITH {_EVENTS} SELECT job_id, count(DISTINCT chunk_index) FILTER (type = 'segment_completed') AS completed,
+    _PROGRESS := f"""WITH {_EVENTS} SELECT job_id, count(DISTINCT chunk_index) FILTER (type = 'segment_completed') AS completed,
         count(DISTINCT chunk_index) FILTER (type = 'segment_completed') / 20.0::DOUBLE AS fraction FROM ev GROUP BY job_id""",
 )
 def live_progress(spark, sf):
     completions = J.run_available(J.first_completions(event_stream(spark, sf)), "progress", "append")
-    totals = as_events(tb.table(spark, sf, "events")).groupBy("job_id").agg(F.max("total_chunks").alias("total_chunks"))
-    return J.progress_from(completions, totals)
+    return J.progress_from(completions, job_totals(spark, sf))
+
+
+def job_totals(spark, sf):
+    return as_events(tb.table(spark, sf, "events")).groupBy("job_id").agg(F.max("total_chunks").alias("total_chunks"))
+
+
+DELIVERIES = 4
+#: Number of the delivery that an event comes with: by its number, so that repeats of a chunk lie in all of them; or by its day.
+BY_NUMBER, BY_DAY = F.col("seq") % DELIVERIES, F.least(F.lit(DELIVERIES - 1), F.floor((F.dayofmonth("timestamp") - 1) / 8))
+
+
+def deliveries(spark, sf, part, run):
+    """All events, delivered to a folder in parts; ``run(stream, number)`` starts its stream after each of them."""
+    path = scratch_folder(spark, "deliveries")
+    events = as_events(tb.table(spark, sf, "events"))
+    for k in range(DELIVERIES):
+        events.where(part == k).write.mode("append").parquet(path)
+        run(spark.readStream.schema(events.schema).parquet(path), k)
+
+
+@register("live_progress_stream", _PROGRESS)
+def live_progress_stream(spark, sf):
+    """Deduplicated and counted in the stream, over four batches that repeat each other's chunks."""
+    base = scratch_folder(spark, "progress")
+
+    def run(stream, number):
+        J.run_available(J.completions_by_slot(stream, "60 days", "1 day"), "progress", base=base)
+
+    deliveries(spark, sf, BY_NUMBER, run)
+    return J.streamed_progress(J.emitted_rows(spark, base, "slot struct<start: timestamp, end: timestamp>, job_id string, completed long"), job_totals(spark, sf))
+
+
+def _ledgered(spark, sf, name, tables, step, listener=None, part=BY_NUMBER):
+    """A store after four deliveries, the third of which comes twice."""
+    store = SnapshotLog(spark, scratch_folder(spark, name))
+    store.commit(tables, 0)
+
+    def run(stream, number):
+        for _ in range(2 if number == 2 else 1):
+            L.run_ledgered(stream, store, name, step, listener)
+            if number == 2:
+                L.forget_last_batch(store, name)
+
+    deliveries(spark, sf, part, run)
+    return store
+
+
+@register(
+    "on_batch",
+    f"""WITH {_EVENTS} SELECT 'tally' AS kind, type, count(*) AS n, count(DISTINCT job_id) AS jobs FROM ev GROUP BY type
+    UNION ALL SELECT 'dead', type, count(*), count(DISTINCT job_id) FROM ev WHERE seq % 4 = 1 GROUP BY type""",
+)
+def on_batch(spark, sf):
+    """Counts that a batch delivered twice would double, and the batch that the listener fails on."""
+
+    def listener(batch, batch_id):
+        if not batch.where("seq % 4 = 1").isEmpty():
+            raise RuntimeError("the display is gone")
+
+    keys = ["type", "job_id"]
+    count = L.count_step(lambda batch: batch.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    nothing = spark.createDataFrame([], "type string, job_id string, n long")
+    store = _ledgered(spark, sf, "on_batch", {"tally": nothing}, count, listener)
+    dead = L.dead_letters(store, "on_batch", as_events(tb.table(spark, sf, "events")).schema)
+    jobs = F.count_distinct("job_id").alias("jobs")
+    tally = store.read("tally").groupBy("type").agg(F.sum("n").alias("n"), jobs).select(F.lit("tally").alias("kind"), "*")
+    return tally.unionByName(dead.groupBy("type").agg(F.count("*").alias("n"), jobs).select(F.lit("dead").alias("kind"), "*"))
+
+
+@register(
+    "auto_pause_stream",
+    Q.STATE
+    + f""", {_EVENTS}, down AS (SELECT DISTINCT job_id FROM ev WHERE type = 'segment_failed' AND seq % 3 = 0),
+    s AS (SELECT job_id, count(*) FILTER (status = 'PENDING' OR (status = 'PROCESSING' AND job_id IN (SELECT job_id FROM down))) AS waiting FROM segments GROUP BY job_id)
+    SELECT job_id, CASE WHEN status = 'PROCESSING' AND job_id IN (SELECT job_id FROM down) THEN 'PAUSED' ELSE status END AS status, coalesce(waiting, 0) AS waiting FROM jobs LEFT JOIN s USING (job_id)""",
+)
+def auto_pause_stream(spark, sf):
+    jobs, segs = tb.snapshot(spark, sf)
+    step = L.pause_step(lambda batch: batch.select("job_id", ((F.col("type") == "segment_failed") & (F.col("seq") % 3 == 0)).alias("provider_down")))
+    store = _ledgered(spark, sf, "auto_pause", {"jobs": jobs, "segments": segs}, step)
+    waiting = store.read("segments").groupBy("job_id").agg(F.count_if(F.col("status") == "PENDING").alias("waiting"))
+    return store.read("jobs").join(waiting, "job_id", "left").select("job_id", "status", F.coalesce("waiting", F.lit(0)).alias("waiting"))
 
 
 @register(
@@ -143,6 +226,30 @@ def rate_limit_stream(spark, sf):
     return J.run_available(J.rate_limit_stream(stream, LIMITS, 3600), "rate", "append").drop("batch_id")
 
 
+def busy_requests(df):
+    """Ten clients share all events, so that the real limits are reached within ten days."""
+    return df.select(
+        (F.col("job_id").cast("long") % 10).cast("string").alias("client"),
+        F.when(F.col("type") == "job_completed", "upload").when(F.col("type") == "segment_failed", "sensitive").otherwise("general").alias("class"),
+        "seq", F.col("timestamp").alias("at"),
+    )
+
+
+_BUSY = (
+    _RATE.replace("CAST(user_id AS VARCHAR)", "CAST(user_id % 10 AS VARCHAR)").replace("3600000000", "864000000000")
+    .replace("CASE class WHEN 'general' THEN 2 ELSE 1 END", "CASE class WHEN 'upload' THEN 20 WHEN 'sensitive' THEN 40 ELSE 240 END")
+)
+
+
+@register("rate_limit_batches", _BUSY)
+def rate_limit_batches(spark, sf):
+    """The limits of the service over four batches in order of time, one of them delivered twice."""
+    out = scratch_folder(spark, "verdicts")
+    recent = spark.createDataFrame([], L.RECENT)
+    _ledgered(spark, sf, "rate", {"recent": recent}, L.rate_step(busy_requests, out, window_seconds=864_000), part=BY_DAY)
+    return spark.read.schema("client string, class string, seq long, admitted boolean, batch_id long").parquet(out).drop("batch_id")
+
+
 @register(
     "auto_pause",
     Q.STATE

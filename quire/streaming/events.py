@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from quire.functions.prefix import running_sum
 from quire.schemas import EVENTS
@@ -72,15 +73,15 @@ def guarded(callback: Callable[[DataFrame, int], None]) -> Callable[[DataFrame,
 
 
 def run_available(
-    stream: DataFrame, label: str, mode: str = "update", listener: Callable[[DataFrame, int], None] | None = None
+    stream: DataFrame, label: str, mode: str = "update", listener: Callable[[DataFrame, int], None] | None = None, base: str | None = None
 ) -> DataFrame:
     """Process everything available and return the emitted rows with their ``batch_id``.
 
     Each batch is written to its own folder, overwritten when the batch is replayed,
-    so the result is exactly-once.
+    so the result is exactly-once. With ``base`` a stream goes on where it stopped there.
     """
     spark = stream.sparkSession
-    base = f"{checkpoint_root(spark)}/stream-{label}-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_root(spark)}/stream-{label}-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
@@ -92,7 +93,12 @@ def run_available(
         .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    schema = stream.schema.add("batch_id", "long")
+    return emitted_rows(spark, base, stream.schema)
+
+
+def emitted_rows(spark: SparkSession, base: str, schema: StructType | str) -> DataFrame:
+    """The rows that ``run_available`` has written below ``base``, with their ``batch_id``."""
+    schema = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).add("batch_id", "long")
     return spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
 
 
@@ -152,6 +158,28 @@ def progress_from(completions: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
+def completions_by_slot(events: DataFrame, horizon: str, slot: str) -> DataFrame:
+    """Stream form of the count: (slot, job_id, completed), updated with each batch; two stateful operators in a chain.
+
+    The first drops completions of a (job, chunk) again within ``horizon`` of event time, the second counts
+    what is left per job and slot of time. Both forget what lies ``horizon`` behind the newest event, so the
+    state holds the open slots and the chunks of one horizon, whatever the stream has seen. A completion
+    repeated later than that counts as a new run of its chunk.
+    """
+    done = events.where("type = 'segment_completed' and chunk_index is not null").withWatermark("timestamp", horizon)
+    once = done.dropDuplicatesWithinWatermark(["job_id", "chunk_index"])
+    return once.groupBy(F.window("timestamp", slot).alias("slot"), "job_id").agg(F.count("*").alias("completed"))
+
+
+def streamed_progress(emitted: DataFrame, totals: DataFrame) -> DataFrame:
+    """Emitted slot counts and job totals -> count and fraction per job; of a slot the last emission holds."""
+    done = latest(emitted, ["slot", "job_id"]).groupBy("job_id").agg(F.sum("completed").alias("completed"))
+    return totals.join(done, "job_id", "left").select(
+        "job_id", F.coalesce("completed", F.lit(0)).alias("completed"),
+        (F.coalesce("completed", F.lit(0)) / F.col("total_chunks")).alias("fraction"),
+    )
+
+
 # ---- log tail ----------------------------------------------------------------------------------
 
 
