@@ -38,7 +38,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 REGISTERS = 128
 BAND_ROWS = 4
-LEADER_ROUNDS = 1
+LEADER_ROUNDS = 2
 FINE_REGISTERS = 1024
 BLOCK = 1024
 BROADCAST_IDS = 1_000_000
@@ -184,6 +184,11 @@ def overlap(a: pa.Array, b: pa.Array) -> np.ndarray:
     return both / np.maximum(any_, 1)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """A settled table of narrow rows, broadcast if it has few; a larger one is joined by shuffling."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _floor(registers: int, similarity: float, chance: float = 0.0) -> float:
     """Five standard deviations below the expected number of equal registers: less than one link in a million is lost."""
     p = similarity + (1 - similarity) * chance
@@ -205,8 +210,7 @@ def _verified(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame
                     yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    info = info.join(ids, "rid", "left_semi")  # before the texts move
+    info = info.join(_few(ids), "rid", "left_semi")  # before the texts move
     side = lambda s: info.select(F.col("rid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
@@ -234,8 +238,7 @@ def _compared(rest: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
     fine = settle(_fine(info.join(rest.select("rid").distinct(), "rid", "left_semi")), "near-fine")
     # Only buckets of more than one block need their size, and there are few: the rows of a hot bucket are not brought together for it.
     large = settle(rest.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK), "near-large")
-    large = F.broadcast(large) if large.count() <= BROADCAST_IDS else large
-    sized = rest.join(large, "bucket", "left")
+    sized = rest.join(_few(large), "bucket", "left")
     blocks = F.ceil(F.coalesce(F.col("n"), F.lit(1)) / BLOCK)
     # A member goes to every pair of blocks that its own block is part of: once, in a bucket of one block.
     dealt = sized.withColumns({"block": F.pmod(F.xxhash64("rid", "bucket"), blocks), "blocks": blocks}).withColumn(
@@ -290,8 +293,13 @@ def _links(members: DataFrame, info: DataFrame, similarity: float, rounds: int)
             weight = settle(placed.groupBy("rid").agg(F.sum("n").alias("weight")), "near-weights")
             lead = F.max(F.struct("weight", F.xxhash64("rid", F.lit(step)).alias("h"), "rid", "c")).alias("lead")
             leaders = placed.join(weight, "rid").groupBy("bucket").agg(lead)
-            leaders = settle(leaders.select("bucket", F.col("lead.rid").alias("b"), F.col("lead.c").alias("cb")), "near-leaders")
+            leaders = settle(
+                leaders.select("bucket", F.col("lead.rid").alias("b"), F.col("lead.c").alias("cb"), F.col("lead.weight").alias("of"), F.col("lead.h").alias("h")),
+                "near-leaders",
+            )
             met = placed.withColumnRenamed("rid", "a").join(leaders, "bucket").where("c <> cb")
+            if step == 0:  # at first only the best connected leader of all its buckets: most copies are linked by that
+                met = met.groupBy("a").agg(F.max(F.struct("of", "h", "b")).alias("best")).select("a", "best.b")
             pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         else:
             pairs = _compared(placed.drop("n"), info, similarity)
@@ -319,11 +327,19 @@ def mark_near(
     and names the class. Texts with the same words in the same order are always one class, texts
     without words too. No rows give no rows.
     """
+    base, verdicts = _marked(docs, carry, text, order, similarity, rounds)
+    return base.select("rid", "row").join(verdicts, "rid").select("row", "class_id", "class_size", "kept")
+
+
+def _marked(
+    docs: DataFrame, carry: list[str], text: str, order: str, similarity: float = SIMILARITY, rounds: int = LEADER_ROUNDS
+) -> tuple[DataFrame, DataFrame]:
+    """Settled rows (rid, row) and verdicts (rid, class_id, class_size, kept)."""
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        return _marked(docs, carry, text, order, similarity, rounds)
+        return _classed(docs, carry, text, order, similarity, rounds)
 
 
-def _marked(docs: DataFrame, carry: list[str], text: str, order: str, similarity: float, rounds: int) -> DataFrame:
+def _classed(docs: DataFrame, carry: list[str], text: str, order: str, similarity: float, rounds: int) -> tuple[DataFrame, DataFrame]:
     before = written()
     kept_text = [] if text in carry else [docs[f"`{text}`"].cast("string").alias("text")]
     base = docs.select(row(docs, carry).alias("row"), docs[f"`{order}`"].alias("ord"), *kept_text)
@@ -337,8 +353,8 @@ def _marked(docs: DataFrame, carry: list[str], text: str, order: str, similarity
     members = settle(bands.join(shared, "bucket"), "near-buckets")
     discard(bands, shared)
     # Texts are needed only where some band is shared.
-    wanted = settle(members.select("rid").distinct(), "near-wanted")
-    info = texts.select("rid", "text").join(wanted, "rid", "left_semi").join(signatures.select("rid", "sig"), "rid")
+    wanted = _few(settle(members.select("rid").distinct(), "near-wanted"))
+    info = texts.select("rid", "text").join(wanted, "rid", "left_semi").join(signatures.select("rid", "sig").join(wanted, "rid", "left_semi"), "rid")
     info = settle(info.select("rid", "sig", "text"), "near-info")
     roots = _links(members, info, similarity, rounds)
     at = same.select("digest", "rep")
@@ -352,10 +368,11 @@ def _marked(docs: DataFrame, carry: list[str], text: str, order: str, similarity
     )
     verdicts = settle(verdicts, "near-verdicts")
     clear_scratch(docs.sparkSession, [p for p in written() if p not in {*before, base.scratch, verdicts.scratch}])
-    return base.select("rid", "row").join(verdicts, "rid").select("row", "class_id", "class_size", "kept")
+    return base, verdicts
 
 
 def near_dedup(docs: DataFrame, text: str = "text", order: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class; same columns."""
-    marked = mark_near(docs, docs.columns, text, order, **how)
-    return marked.where("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    """``docs`` with one row of each near-duplicate class; same columns. Where few rows go, only their numbers move."""
+    base, verdicts = _marked(docs, docs.columns, text, order, **how)
+    gone = _few(settle(verdicts.where("not kept").select("rid"), "near-gone"))
+    return base.join(gone, "rid", "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])
