@@ -148,6 +148,16 @@ _BLOCKS = "array<struct<start:int,stop:int,tag:string,nested:boolean,tail:string
 _PATCHES = "array<struct<pos:int,out:string>>"
 
 
+#: Tokens per chunk: about the square root of a large page's number of tokens.
+CHUNK = 128
+
+
+def chunked(items: Column) -> Column:
+    """An array as an array of chunks."""
+    starts = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.size(items) - 1, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda k: F.slice(items, k + 1, CHUNK))
+
+
 def _closers(entries: Column) -> Column:
     return F.array_join(
         F.transform(F.reverse(entries), lambda e: F.concat(F.lit("</"), e["name"], F.lit(">"))), ""
@@ -156,77 +166,103 @@ def _closers(entries: Column) -> Column:
 
 def _closed_blocks(popped: Column, pos: Column) -> Column:
     """Block records for the popped stack entries (bottom first)."""
-    records = F.transform(
-        popped,
-        lambda e, k: F.struct(
-            e["start"].alias("start"),
+    placed = F.filter(F.transform(popped, lambda e, k: F.struct(e.alias("e"), k.alias("k"))), lambda x: x["e"]["start"] >= 0)
+    return F.transform(
+        placed,
+        lambda x: F.struct(
+            x["e"]["start"].alias("start"),
             pos.cast("int").alias("stop"),
-            e["name"].alias("tag"),
-            e["nested"].alias("nested"),
-            _closers(F.slice(popped, k + 1, F.size(popped) - k)).alias("tail"),
+            x["e"]["name"].alias("tag"),
+            x["e"]["nested"].alias("nested"),
+            _closers(F.slice(popped, x["k"] + 1, F.size(popped) - x["k"])).alias("tail"),
         ),
     )
-    return F.filter(records, lambda r: r["start"] >= 0)
 
 
-def block_spans(html: Column) -> Column:
-    """All block elements of a page, nested ones flagged.
+def block_spans(html: Column, nested: bool = True) -> Column:
+    """All block elements of a page, nested ones flagged, or with ``nested=False`` those in no other block.
 
-    The fold keeps the stack of open tags, the closed blocks as token ranges and
-    the few end tags that do not close exactly one element ("patches"). HTML
-    strings are cut from the token list afterwards, so the work is linear in the
-    page. End-tag rule: an end tag that is not open is ignored, otherwise every
-    element above its match is closed with it.
+    A fold copies what it has gathered at every step, so none gathers more than one chunk of
+    tokens does. A first pass over the chunks keeps the stack of open tags before each of them
+    (and the number of open blocks in it); then every chunk is folded on its own, from its stack,
+    to its closed blocks as token ranges and the few end tags that do not close exactly one
+    element ("patches"). HTML strings are cut from the tokens afterwards. End-tag rule: an end tag
+    that is not open is ignored, otherwise every element above its match is closed with it.
     """
     is_block = lambda name: name.isin(*BLOCK_TAGS)
+    none = lambda kind: F.array().cast(kind)
 
-    def acc_struct(pos, stack, blocks, patches):
-        return F.struct(
-            pos.cast("int").alias("pos"), stack.alias("stack"), blocks.alias("blocks"), patches.alias("patches")
-        )
-
-    zero = acc_struct(
-        F.lit(0), F.array().cast(_STACK), F.array().cast(_BLOCKS), F.array().cast(_PATCHES)
-    )
+    def state(pos, stack, open_blocks):
+        return [pos.cast("int").alias("pos"), stack.alias("stack"), open_blocks.cast("int").alias("open")]
 
-    def on_open(acc: Column, t: Column) -> Column:
+    def opened(acc: Column, t: Column) -> list[Column]:
+        counts = is_block(t["name"]) if nested else is_block(t["name"]) & (acc["open"] == 0)
         entry = F.struct(
             t["name"].alias("name"),
-            F.when(is_block(t["name"]), acc["pos"]).otherwise(F.lit(-1)).alias("start"),
-            F.exists(acc["stack"], lambda e: e["start"] >= 0).alias("nested"),
+            F.when(counts, acc["pos"]).otherwise(F.lit(-1)).alias("start"),
+            (acc["open"] > 0).alias("nested"),
         )
-        return acc_struct(acc["pos"] + 1, F.concat(acc["stack"], F.array(entry)), acc["blocks"], acc["patches"])
+        return state(acc["pos"] + 1, F.concat(acc["stack"], F.array(entry)), acc["open"] + counts.cast("int"))
 
-    def on_close(acc: Column, t: Column) -> Column:
+    def match(acc: Column, t: Column) -> tuple[Column, Column, Column]:
+        """(number of elements that an end tag closes, these, blocks among them)."""
         stack = acc["stack"]
-        from_top = F.array_position(F.transform(F.reverse(stack), lambda e: e["name"]), t["name"]).cast("int")
-
-        def close(n: Column) -> Column:
-            popped = F.slice(stack, F.size(stack) - n + 1, n)
-            patch = F.when(n == 0, F.lit("")).otherwise(_closers(popped))
-            return acc_struct(
-                acc["pos"] + 1,
-                F.slice(stack, F.lit(1), F.size(stack) - n),
-                F.when(F.exists(popped, lambda e: e["start"] >= 0),
-                       F.concat(acc["blocks"], _closed_blocks(popped, acc["pos"]))).otherwise(acc["blocks"]),
-                F.when(n == 1, acc["patches"]).otherwise(
-                    F.concat(acc["patches"], F.array(F.struct(acc["pos"].alias("pos"), patch.alias("out"))))
-                ),
-            )
+        top = F.get(stack, F.size(stack) - 1)
+        own = F.coalesce(top["name"] == t["name"], F.lit(False))
+        n = F.when(own, F.lit(1)).otherwise(F.array_position(F.transform(F.reverse(stack), lambda e: e["name"]), t["name"]).cast("int"))
+        popped = F.when(own, F.array(top)).otherwise(F.slice(stack, F.size(stack) - n + 1, n))
+        return n, popped, F.size(F.filter(popped, lambda e: e["start"] >= 0))
 
-        return let(from_top, close)
+    def closed(acc: Column, t: Column) -> list[Column]:
+        n, _, blocks = match(acc, t)
+        return state(acc["pos"] + 1, F.slice(acc["stack"], F.lit(1), F.size(acc["stack"]) - n), acc["open"] - blocks)
 
-    def step(acc: Column, t: Column) -> Column:
+    def other(acc: Column) -> list[Column]:
+        return state(acc["pos"] + 1, acc["stack"], acc["open"])
+
+    def move(acc: Column, t: Column) -> Column:
         return (
-            F.when(t["kind"] == "o", on_open(acc, t))
-            .when(t["kind"] == "c", on_close(acc, t))
-            .otherwise(acc_struct(acc["pos"] + 1, acc["stack"], acc["blocks"], acc["patches"]))
-        )
+            F.when(t["kind"] == "o", F.struct(*opened(acc, t))).when(t["kind"] == "c", F.struct(*closed(acc, t)))
+            .otherwise(F.struct(*other(acc)))
+        )
+
+    def gather(acc: Column, t: Column) -> Column:
+        kept = [acc["blocks"].alias("blocks"), acc["patches"].alias("patches")]
+        n, popped, blocks = match(acc, t)
+        found = [
+            F.when(blocks > 0, F.concat(acc["blocks"], _closed_blocks(popped, acc["pos"]))).otherwise(acc["blocks"]).alias("blocks"),
+            F.when(n == 1, acc["patches"]).otherwise(
+                F.concat(acc["patches"], F.array(F.struct(acc["pos"].alias("pos"), F.when(n == 0, F.lit("")).otherwise(_closers(popped)).alias("out"))))
+            ).alias("patches"),
+        ]
+        return (
+            F.when(t["kind"] == "o", F.struct(*opened(acc, t), *kept)).when(t["kind"] == "c", F.struct(*closed(acc, t), *found))
+            .otherwise(F.struct(*other(acc), *kept))
+        )
+
+    def stacks(chunks: Column) -> Column:
+        """(before: the state in front of each chunk, now: the state at the end)."""
+        start = F.struct(*state(F.lit(0), none(_STACK), F.lit(0)))
+        zero = F.struct(none(f"array<struct<pos:int,stack:{_STACK},open:int>>").alias("before"), start.alias("now"))
+        return F.aggregate(
+            chunks, zero,
+            lambda acc, chunk: F.struct(
+                F.concat(acc["before"], F.array(acc["now"])).alias("before"), F.aggregate(chunk, acc["now"], move).alias("now")
+            ),
+        )
+
+    def folded(chunks: Column, states: Column) -> Column:
+        def one(chunk: Column, k: Column) -> Column:
+            at = F.get(states["before"], k)
+            zero = F.struct(*state(at["pos"], at["stack"], at["open"]), none(_BLOCKS).alias("blocks"), none(_PATCHES).alias("patches"))
+            return F.aggregate(chunk, zero, gather, lambda acc: F.struct(acc["blocks"].alias("blocks"), acc["patches"].alias("patches")))
 
-    def finish(acc: Column) -> Column:
-        return F.struct(
-            F.concat(acc["blocks"], _closed_blocks(acc["stack"], acc["pos"])).alias("blocks"),
-            acc["patches"].alias("patches"),
+        return let(
+            F.transform(chunks, one),
+            lambda xs: F.struct(
+                F.concat(F.flatten(F.transform(xs, lambda x: x["blocks"])), _closed_blocks(states["now"]["stack"], states["now"]["pos"])).alias("blocks"),
+                F.flatten(F.transform(xs, lambda x: x["patches"])).alias("patches"),
+            ),
         )
 
     def outputs(tokens: Column, patches: Column) -> Column:
@@ -242,29 +278,36 @@ def block_spans(html: Column) -> Column:
         )
         return F.transform(F.when(F.size(patches) == 0, plain).otherwise(merged), lambda x: x["out"])
 
+    def between(chunks: Column, start: Column, stop: Column) -> Column:
+        """Tokens ``start`` to ``stop``; a slice copies the array it is cut from, so it is cut from few chunks."""
+        first = F.floor(start / CHUNK).cast("int")
+        count = F.floor((stop - 1) / CHUNK).cast("int") - first + 1
+        return F.slice(F.flatten(F.slice(chunks, first + 1, count)), start - first * CHUNK + 1, stop - start)
+
     def cut(tokens: Column, folded: Column) -> Column:
         return let(
-            outputs(tokens, folded["patches"]),
-            lambda outs: F.transform(
+            let(outputs(tokens, folded["patches"]), chunked),
+            lambda chunks: F.transform(
                 F.array_sort(folded["blocks"]),
                 lambda b: F.struct(
                     b["tag"].alias("tag"),
                     b["nested"].alias("nested"),
-                    F.concat(
-                        F.array_join(F.slice(outs, b["start"] + 1, b["stop"] - b["start"]), ""), b["tail"]
-                    ).alias("html"),
+                    F.concat(F.array_join(between(chunks, b["start"], b["stop"]), ""), b["tail"]).alias("html"),
                 ),
             ),
         )
 
-    return let(_tokens(html), lambda tokens: let(F.aggregate(tokens, zero, step, finish), lambda f: cut(tokens, f)))
+    def spans(tokens: Column) -> Column:
+        parts = let(chunked(tokens), lambda chunks: let(stacks(chunks), lambda states: folded(chunks, states)))
+        return let(parts, lambda found: cut(tokens, found))
+
+    return let(_tokens(html), spans)
 
 
 def top_blocks(html: Column) -> Column:
     """Top-level blocks in document order: array of (block_idx, tag, html)."""
-    tops = F.filter(block_spans(html), lambda b: ~b["nested"])
     return F.transform(
-        tops, lambda b, i: F.struct(i.cast("int").alias("block_idx"), b["tag"].alias("tag"), b["html"].alias("html"))
+        block_spans(html, nested=False), lambda b, i: F.struct(i.cast("int").alias("block_idx"), b["tag"].alias("tag"), b["html"].alias("html"))
     )
 
 
