@@ -212,7 +212,8 @@ def _verified(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame
     ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-ids")
     info = info.join(_few(ids), "rid", "left_semi")  # before the texts move
     side = lambda s: info.select(F.col("rid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    met = side("a").join(_few(pairs), "a").join(side("b"), "b")
+    return met.select("a", "b", "sig_a", "text_a", "sig_b", "text_b").mapInArrow(run, "a long, b long")
 
 
 def _fine(info: DataFrame) -> DataFrame:
