@@ -46,12 +46,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 _LEFT: list[str] = []
+#: Long texts fill Arrow batches quickly; small ones keep the memory of all Python workers low from the first stage on.
+BATCH_BYTES = 4 << 20
 
 
 def _tidy(stage):
     """A stage that first deletes the scratch tables of the one before, whose result has been written and read again."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
         clear_scratch(spark, _LEFT)
         before = set(written())
         out = stage(spark, docs, sf_dir)
