@@ -13,6 +13,7 @@ import inspect
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,6 +46,14 @@ class FatalModelError(RuntimeError):
     """Raised by a model function when repeating the request cannot help."""
 
 
+class StatusError(RuntimeError):
+    """Raised by a model function for an answer with an error status; the status decides what happens next."""
+
+    def __init__(self, code: int, message: str = "") -> None:
+        super().__init__(message or f"status {code}")
+        self.code = code
+
+
 def output_budget(text: Column, provider: Column, model: Column) -> Column:
     """Completion-token budget of one request."""
     estimate = F.greatest(F.lit(1), F.floor(F.length(text) / 3))
@@ -146,6 +155,85 @@ def call_model(
 
 
 STOPPED = "not asked: the job's provider is down"
+MAX_LANES = 32
+
+
+def _ask_once(requests: DataFrame, model_fn: ModelFn, parallelism: int, attempt: int) -> DataFrame:
+    """One call for each request, lane by lane: adds answer, outcome, status_code, call_error and asked."""
+    columns = requests.columns
+    accepted = inspect.signature(model_fn).parameters
+    bounded = "budget" in columns and "max_tokens" in accepted
+    numbered = {"attempt": attempt} if "attempt" in accepted else {}
+
+    def ask(prompt: str, text: str, model: str, temperature: float, budget: int | None) -> tuple:
+        more = {"max_tokens": int(budget)} if bounded and budget is not None else {}
+        try:
+            answer = model_fn(prompt, text, model, temperature, **more, **numbered)
+        except ProviderDown as exc:
+            return None, "network", None, str(exc), True
+        except FatalModelError as exc:
+            return None, "status", 400, str(exc), True
+        except StatusError as exc:
+            return None, "status", exc.code, str(exc), True
+        except Exception as exc:  # user code: any failure becomes a column
+            return None, "other", None, str(exc), True
+        return (None, "other", None, "empty answer", True) if is_blank(answer) else (answer, "ok", None, None, True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        down: set = set()
+        for pdf in batches:
+            budgets = pdf["budget"] if bounded else [None] * len(pdf)
+            rows = []
+            for job, *request in zip(pdf["job_id"], pdf["prompt"], pdf["text"], pdf["model"], pdf["temperature"], budgets):
+                rows.append((None, "network", None, STOPPED, False) if job in down else ask(*request))
+                if rows[-1][1] == "network" or rows[-1][2] in DOWN_CODES:
+                    down.add(job)
+            names = ("answer", "outcome", "status_code", "call_error", "asked")
+            found = {n: pd.Series([x[k] for x in rows], index=pdf.index, dtype="Int64" if n == "status_code" else object) for k, n in enumerate(names)}
+            yield pdf[columns].assign(**found)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in requests.schema)
+    added = "answer string, outcome string, status_code long, call_error string, asked boolean"
+    # All requests of a lane meet in one task, which makes its calls one after the other.
+    return requests.repartition(parallelism, "job_id", "lane").mapInPandas(run, f"{fields}, {added}")
+
+
+def call_in_lanes(
+    requests: DataFrame, model_fn: ModelFn, parallelism: int, max_tries: int = FIRST_TRIES, wait: Callable[[float], None] = time.sleep
+) -> DataFrame:
+    """The same columns as ``call_model``, with at most ``concurrency`` calls of a job at a time, and (lane, waited).
+
+    The requests of a job (job_id, chunk_index, first_block, concurrency, ...) are dealt to as many lanes,
+    1 to 32. A try is a wave over all lanes; ``retry_disposition`` alone decides what happens to its
+    answers, and what is to be tried again waits for the next wave, so that no task sleeps on a slot. Of a job
+    whose provider is down nothing is asked in later waves. Every wave is written before the next begins.
+    A ``model_fn`` with a parameter ``attempt`` gets the number of the try.
+    """
+    width = F.greatest(F.lit(1), F.least(F.lit(MAX_LANES), F.coalesce(F.col("concurrency"), F.lit(1))))
+    columns = [*requests.columns, "lane"]
+    pending = requests.withColumn("lane", F.pmod(F.col("chunk_index") + F.col("first_block"), width).cast("int"))
+    pending = settle(pending.withColumns({"attempts": F.lit(0), "waited": F.lit(0.0)}), "lane-items")
+    finished = []
+    for attempt in range(1, max_tries + 1):
+        asked = _ask_once(pending, model_fn, parallelism, attempt).withColumn("attempt", F.lit(attempt))
+        asked = asked.withColumn("attempts", F.col("attempts") + F.col("asked").cast("int"))
+        judged = settle(retry_disposition(asked, max_tries), "lane-answers")
+        off = F.col("disposition") == "provider_down"
+        finished.append(judged.where("disposition <> 'retry'").withColumn("provider_down", off))
+        again = judged.where("disposition = 'retry'")
+        down = judged.where(off).select("job_id").distinct()
+        stopped = again.join(down, "job_id", "left_semi").withColumns({"call_error": F.lit(STOPPED), "provider_down": F.lit(True)})
+        finished.append(stopped.select(finished[0].columns))
+        again = again.join(down, "job_id", "left_anti").withColumn("waited", F.col("waited") + F.col("wait_seconds"))
+        pending = settle(again.select(*columns, "attempts", "waited"), "lane-items")
+        if pending.isEmpty():
+            break
+        wait(2.0 ** (attempt - 1))
+    out = reduce(DataFrame.unionByName, finished)
+    error = F.when(F.col("disposition") == "exhausted", F.concat(F.lit(f"failed after {max_tries} tries: "), "call_error")).otherwise(F.col("call_error"))
+    return out.select(*columns, "answer", error.alias("call_error"), "provider_down", "attempts", "waited")
+
+
 def _one_try(
     items: DataFrame, model_fn: ModelFn, parallelism: int, tries: int, prompt: str, label: str, waves: int = 1
 ) -> DataFrame:
@@ -177,7 +265,8 @@ def _one_try(
                     }
                 )
                 part = part.join(down, "job_id", "left_anti")
-        written = settle(call_model(part, model_fn, parallelism, tries).drop("prompt", "text"), label)
+        call = call_in_lanes if "concurrency" in keep else call_model
+        written = settle(call(part, model_fn, parallelism, tries).drop("prompt", "text", "lane", "waited"), label)
         answers = written if answers is None else answers.unionByName(written)
         if halted is not None:
             answers = answers.unionByName(halted)
@@ -207,6 +296,7 @@ def translate_segments(
 
     ``segments``: job_id, chunk_index, source_html, system_prompt, model, temperature, and
     optionally ``budget`` (completion tokens, see ``output_budget``).
+    With ``concurrency`` too, at most that many calls of a job are made at a time (see ``call_in_lanes``).
     Result: the key plus ``ok, reason, result_text, attempts, provider_down``. ``attempts``
     counts every call made for the segment, repairs and subgroups included.
 
@@ -218,7 +308,7 @@ def translate_segments(
     key = ["job_id", "chunk_index"]
     recover = F.lit(False) if recover is None else F.coalesce(recover, F.lit(False))
     items = segments.select(
-        *key, "source_html", "system_prompt", "model", "temperature", *[c for c in ("budget",) if c in segments.columns],
+        *key, "source_html", "system_prompt", "model", "temperature", *[c for c in ("budget", "concurrency") if c in segments.columns],
         recover.alias("recover"), F.lit(0).alias("first_block"), F.lit(0).alias("spent"),
     )
     finished, pending = [], items if waves == 1 else settle(items, "items")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.core import let, strip
@@ -11,9 +11,12 @@ from quire.functions.markdown import rendered_node
 from quire.functions.text import escape_text
 from quire.operators.state import unfinished
 from quire.params import ATTRIBUTE_TAGS, MEDIA_TYPES, PROOFREAD_TEMPERATURE
+from quire.session import settle
 
 # Nodes per assembled part: bounds the text one task concatenates.
 PART_NODES = 4096
+# Narrow rows that are broadcast at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def remap_blocks(segments: DataFrame, text: str = "translated_text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -152,14 +155,18 @@ def assemble_text(pieces: DataFrame, key: str = "doc_id", part_nodes: int = PART
             F.array_join(F.transform("ps", lambda p: F.concat(p["sep"], p["piece"])), "").alias("text"),
         )
     )
-    order = Window.partitionBy(key).orderBy("part")
-    return parts.withColumns(
-        {"first": F.lag("part").over(order).isNull(), "last": F.lead("part").over(order).isNull()}
-    ).select(
+    parts = settle(parts, "document-parts")
+    # Only documents of several parts need to know their first and last one: keys and numbers move, no text.
+    several = settle(
+        parts.groupBy(key).agg(F.min("part").alias("first"), F.max("part").alias("last")).where("first < last"), "document-bounds"
+    )
+    several = F.broadcast(several) if several.count() <= BROADCAST_KEYS else several
+    return parts.join(several, key, "left").select(
         key, "part",
         F.concat(
-            F.when(F.col("first"), F.substr(F.col("text"), F.length("sep") + 1)).otherwise(F.col("text")),
-            F.when(F.col("last"), "\n").otherwise(""),
+            F.when(F.coalesce(F.col("part") > F.col("first"), F.lit(False)), F.col("text"))
+            .otherwise(F.substr(F.col("text"), F.length("sep") + 1)),
+            F.when(F.coalesce(F.col("part") < F.col("last"), F.lit(False)), "").otherwise("\n"),
         ).alias("text"),
     )
 

@@ -13,6 +13,7 @@ from quire.functions.core import let, slices, strip
 from quire.functions.segment import fragments, oversize_limit, pack_nodes, pack_starts
 from quire.functions.text import estimate_tokens
 from quire.params import EXCERPT_LIMITS, FRONT_MATTER_TERMS, MAX_NODES_PER_SEGMENT, TARGET_TOKENS
+from quire.session import settle
 
 # Nodes per block of the two-level packing: the largest group one task ever holds.
 PACK_BLOCK_NODES = 1024
@@ -106,9 +107,12 @@ def pack_segments(
         F.floor(F.col("node_idx") / block_nodes).cast("int").alias("blk"),
     )
 
-    heads = units.groupBy(key, "blk").agg(
-        F.array_sort(F.collect_list(F.struct("node_idx", "frag_idx", "tokens"))).alias("u")
-    ).select(key, "blk", F.transform("u", lambda x: x["tokens"]).alias("tokens"))
+    # Grouped and written once; the token counts are a narrow column of the same rows.
+    texts = settle(
+        units.groupBy(key, "blk").agg(F.array_sort(F.collect_list(F.struct("node_idx", "frag_idx", "tokens", "html"))).alias("u")),
+        "pack-units",
+    )
+    heads = texts.select(key, "blk", F.col("u.tokens").alias("tokens"))
     # One row per block from here on, and only for documents longer than one block.
     ahead = Window.partitionBy(key).orderBy("blk").rowsBetween(1, max_nodes)
     per_doc = Window.partitionBy(key)
@@ -124,9 +128,6 @@ def pack_segments(
         .mapInPandas(_walk(key), f"{key} {key_type}, blk int, entry int, base int")
     )
 
-    texts = units.groupBy(key, "blk").agg(
-        F.array_sort(F.collect_list(F.struct("node_idx", "frag_idx", "tokens", "html"))).alias("u")
-    )
     placed = texts.join(entries, [key, "blk"], "left").withColumns(
         {"entry": F.coalesce("entry", F.lit(0)), "base": F.coalesce("base", F.lit(0))}
     )

@@ -425,6 +425,51 @@ def translate_segments(spark, sf):
     )
 
 
+def busy(inner):
+    """A model that is busy at the first try of some texts, fails at every try of others, and is down under one name."""
+
+    def model(prompt, text, name, temperature, attempt):
+        if name == "away":
+            raise E.StatusError(503)
+        last = len(text) % 10
+        if last == 3 and attempt == 1:
+            raise E.StatusError(429)
+        if last == 4:
+            raise E.StatusError(500, "broken")
+        if last == 5:
+            raise E.StatusError(404, "no such model")
+        return inner(prompt, text, name, temperature)
+
+    return model
+
+
+@register(
+    "translate_in_lanes",
+    Q.segments_with(200)
+    + f""", r AS (SELECT *, length(text) % 10 AS l, doc_id % 4 + 1 AS c, doc_id % 6 = 1 AS off FROM segs)
+    SELECT CAST(doc_id AS VARCHAR) AS job_id, chunk_index, CAST(chunk_index % c AS INTEGER) AS lane, off AS provider_down,
+      CASE WHEN off THEN NULL WHEN l = 3 THEN 2 WHEN l = 4 THEN 3 ELSE 1 END AS attempts,
+      CASE WHEN off THEN NULL WHEN l = 3 THEN 1.0::DOUBLE WHEN l = 4 THEN 3.0::DOUBLE ELSE 0.0::DOUBLE END AS waited,
+      CASE WHEN off THEN NULL WHEN l = 4 THEN 'failed after 3 tries: broken' WHEN l = 5 THEN 'no such model' END AS call_error,
+      CASE WHEN NOT off AND l NOT IN (4, 5) THEN replace(text, 'the', 'le') END AS answer FROM r""",
+)
+def translate_in_lanes(spark, sf):
+    """At most ``concurrency`` lanes a job, tries in waves; the waits are noted and not slept here."""
+    away = F.when(F.col("job_id").cast("long") % 6 == 1, "away").otherwise(F.col("model"))
+    asked = requests(spark, sf, 200).withColumns(
+        {
+            "model": away, "prompt": F.col("system_prompt"), "text": F.col("source_html"), "first_block": F.lit(0),
+            "concurrency": (F.col("job_id").cast("long") % 4 + 1).cast("int"),
+        }
+    )
+    out = E.call_in_lanes(asked, busy(E.word_map_model({"the": "le"})), spark.sparkContext.defaultParallelism, wait=lambda seconds: None)
+    down = F.col("provider_down")
+    return out.select(
+        "job_id", "chunk_index", "lane", "provider_down",
+        *[F.when(~down, F.col(c)).alias(c) for c in ("attempts", "waited", "call_error", "answer")],
+    )
+
+
 def dropping(limit):
     """A model that loses the last block when it is given more than ``limit``."""
     inner = E.word_map_model({"the": "le"})

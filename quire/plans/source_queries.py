@@ -15,9 +15,11 @@ from quire.operators import extract as X
 from quire.plans import sql as Q
 from quire.plans import tables as tb
 from quire.plans import text_queries as tq
-from quire.session import checkpoint_root
+from quire.session import checkpoint_root, settle
 from quire.sources import files as A
+from quire.sources import library as D
 from quire.sources import store as S
+from quire.sources.commits import SnapshotLog
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -207,3 +209,20 @@ def write_document(spark, sf):
     return spark.read.schema("value string, job_id long").text(path, wholetext=True).select(
         "job_id", F.col("value").alias("text")
     )
+
+
+@register(
+    "publish_documents",
+    f"""WITH {Q.LINES} SELECT CAST(doc_id AS VARCHAR) AS job_id, string_agg(block, chr(10) || chr(10) ORDER BY node_idx) || chr(10) AS text, TRUE AS few_files, 0 AS changed_again
+      FROM lines WHERE lang <> 'de' GROUP BY doc_id""",
+)
+def publish_documents(spark, sf):
+    """Half of the documents first, then all, then all again; partial jobs stay out and the last call writes nothing."""
+    log = SnapshotLog(spark, scratch(spark, "library"))
+    parts, incomplete = _published(spark, sf)
+    parts = settle(parts, "parts")
+    D.publish_documents(log, parts.where("job_id % 2 = 0"), incomplete)
+    D.publish_documents(log, parts, incomplete)
+    again = D.publish_documents(log, parts, incomplete)
+    files = D.document_index(log).agg(F.count_distinct("file")).first()[0]
+    return D.read_documents(log).withColumns({"few_files": F.lit(files <= 2 * D.FILES), "changed_again": F.lit(again)})

@@ -153,3 +153,35 @@ def test_rate_limit_over_batches(spark, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     key = lambda df: sorted((r["seq"], r["admitted"]) for r in df.collect())
     assert key(got) == key(whole)
+
+
+# ---- published documents ------------------------------------------------------------------------
+
+
+def test_library(spark, tmp_path):
+    """Few files, byte ranges of single documents, partial ones unpublished, re-runs idempotent, changes picked up."""
+    from quire.sources import library as D
+
+    log = SnapshotLog(spark, str(tmp_path))
+    text = lambda job, part: ("\n\n" if part else "") + f"é{job} part {part}\n\nmore" + ("\n" if part else "")
+    rows = [(str(j), p, text(j, p)) for j in range(300) for p in range(2)] + [("big", p, "x" * 50_000 + "\n") for p in range(20)] + [("none", 0, "")]
+    parts = spark.createDataFrame(rows, "job_id string, part int, text string")
+    open_ = spark.createDataFrame([("7",), ("7",), ("8",)], "job_id string")
+    assert D.publish_documents(log, parts, open_, files=6) == 299
+    data = [p for p in (tmp_path / "files").rglob("part-*") if not p.name.endswith(".crc")]
+    assert len(data) <= 6
+    whole = {r["job_id"]: r["text"] for r in D.read_documents(log).collect()}
+    assert set(whole) == {str(j) for j in range(300)} - {"7", "8"} | {"big"}
+    assert whole["big"] == ("x" * 50_000 + "\n") * 20
+    assert sum(p.stat().st_size for p in data) == sum(len(t.encode()) for t in whole.values())
+    for job in ("0", "299", "big"):
+        assert D.read_document(log, job) == whole[job]
+    assert whole["5"] == "é5 part 0\n\nmore\n\né5 part 1\n\nmore\n"
+    assert D.read_document(log, "7") is None
+    # Again: nothing is written and no version made.
+    assert D.publish_documents(log, parts, open_, files=6) == 0 and log.version() == 1
+    # One text changes, one job is open again, another is done.
+    changed = parts.withColumn("text", F.when((F.col("job_id") == "3") & (F.col("part") == 1), F.lit("new\n")).otherwise(F.col("text")))
+    assert D.publish_documents(log, changed, spark.createDataFrame([("8",), ("9",)], "job_id string"), files=6) == 2
+    assert D.read_document(log, "3").endswith("more\nnew\n") and D.read_document(log, "9") is None and D.read_document(log, "7")
+    assert D.read_document(log, "5") == whole["5"]
