@@ -329,9 +329,26 @@ def docx_nodes(spark, sf):
     return W.docx_nodes(runs(spark, sf)).select("doc_id", "kind", "node_idx", "tag", "html")
 
 
-@register("redistribute_runs")
+def _cut_sql(at: str, seen: str, first: bool) -> str:
+    """End of a run that starts at ``at``: the proportional one, or behind the last blank before it."""
+    ideal = f"(CASE WHEN total > 0 THEN CAST(round_even(length(t) * {seen} / total::DOUBLE, 0) AS INTEGER) ELSE {'length(t)' if first else at} END)"
+    window = f"substr(t, {at} + 1, greatest({ideal}, {at}) - {at} + 1)"
+    blank = f"({at} + length({window}) - instr(reverse({window}), ' '))"
+    return f"greatest({at}, CASE WHEN total > 0 AND instr({window}, ' ') > 0 AND {blank} > {at} THEN {blank} + 1 ELSE {ideal} END)"
+
+
+_CUT = f"""WITH {RUN_SQL}, src AS (SELECT *, CASE WHEN a <> '' THEN a || ' ' ELSE '' END AS r0, CASE WHEN b <> '' THEN b || ' ' ELSE '' END AS r1, c AS r2 FROM paras),
+   x AS (SELECT *, replace(r0 || r1 || r2, 'e', 'eh') AS t, length(r0 || r1 || r2) AS total FROM src),
+   x0 AS (SELECT *, {_cut_sql('0', 'length(r0)', True)} AS e0 FROM x),
+   x1 AS (SELECT *, {_cut_sql('e0', 'length(r0 || r1)', False)} AS e1 FROM x0),
+   ps AS (SELECT *, unnest([0, 1, 2]) AS run_idx, unnest([substr(t, 1, e0), substr(t, e0 + 1, e1 - e0), substr(t, e1 + 1)]) AS text FROM x1)
+   SELECT doc_id, CASE WHEN in_table THEN 'table_paragraph' ELSE 'paragraph' END AS kind, CASE WHEN in_table THEN 0 END AS table_idx,
+     CASE WHEN in_table THEN CAST(i // 6 AS INTEGER) END AS row_idx, CASE WHEN in_table THEN CAST(i // 3 % 2 AS INTEGER) END AS col_idx,
+     CAST(CASE WHEN in_table THEN 0 ELSE i END AS INTEGER) AS par_idx, run_idx, text FROM ps"""
+
+
+@register("redistribute_runs", _CUT)
 def redistribute_runs(spark, sf):
-    # No SQL side (a cursor with look-back); checked against plain Python in the tests.
     table = runs(spark, sf)
     whole = table.groupBy(*W.PARAGRAPH).agg(F.array_sort(F.collect_list(F.struct("run_idx", "text"))).alias("ts"))
     new = whole.select(*W.PARAGRAPH, F.replace(F.array_join(F.transform("ts", lambda x: x["text"]), ""), F.lit("e"), F.lit("eh")).alias("new_text"))
