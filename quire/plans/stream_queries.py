@@ -110,7 +110,8 @@ def job_totals(spark, sf):
 
 DELIVERIES = 4
 #: Number of the delivery that an event comes with: by its number, so that repeats of a chunk lie in all of them; or by its day.
-BY_NUMBER, BY_DAY = F.col("seq") % DELIVERIES, F.least(F.lit(DELIVERIES - 1), F.floor((F.dayofmonth("timestamp") - 1) / 8))
+BY_NUMBER = f"seq % {DELIVERIES}"
+BY_DAY = f"least({DELIVERIES - 1}, floor((dayofmonth(timestamp) - 1) / 8))"
 
 
 def deliveries(spark, sf, part, run):
@@ -118,7 +119,7 @@ def deliveries(spark, sf, part, run):
     path = scratch_folder(spark, "deliveries")
     events = as_events(tb.table(spark, sf, "events"))
     for k in range(DELIVERIES):
-        events.where(part == k).write.mode("append").parquet(path)
+        events.where(F.expr(part) == k).write.mode("append").parquet(path)
         run(spark.readStream.schema(events.schema).parquet(path), k)
 
 
