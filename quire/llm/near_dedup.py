@@ -209,7 +209,7 @@ def _verified(pairs: DataFrame, info: DataFrame, similarity: float) -> DataFrame
                     good = np.flatnonzero(overlap(part.column("text_a"), part.column("text_b")) >= similarity)
                     yield pa.RecordBatch.from_arrays([part.column(c).take(pa.array(good)) for c in ("a", "b")], ["a", "b"])
 
-    ids = settle(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), "near-ids")
+    ids = settle(pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).distinct(), "near-ids")
     info = info.join(_few(ids), "rid", "left_semi")  # before the texts move
     side = lambda s: info.select(F.col("rid").alias(s), F.col("sig").alias(f"sig_{s}"), F.col("text").alias(f"text_{s}"))
     met = side("a").join(_few(pairs), "a").join(side("b"), "b")
@@ -285,15 +285,15 @@ def _links(members: DataFrame, info: DataFrame, similarity: float, rounds: int)
         if roots is None:
             placed = members.withColumn("c", F.col("rid"))
         else:
-            placed = members.join(roots.withColumnRenamed("node", "rid"), "rid", "left").select(
+            placed = members.join(_few(roots.withColumnRenamed("node", "rid")), "rid", "left").select(
                 "bucket", "band", "rid", F.coalesce("root", "rid").alias("c")
             )
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("n")).where("c0 <> c1")
-        placed = settle(placed.join(settle(mixed.select("bucket", "n"), "near-mixed"), "bucket"), "near-placed")
+        placed = settle(placed.join(_few(settle(mixed.select("bucket", "n"), "near-mixed")), "bucket"), "near-placed")
         if step < rounds:
             weight = settle(placed.groupBy("rid").agg(F.sum("n").alias("weight")), "near-weights")
             lead = F.max(F.struct("weight", F.xxhash64("rid", F.lit(step)).alias("h"), "rid", "c")).alias("lead")
-            leaders = placed.join(weight, "rid").groupBy("bucket").agg(lead)
+            leaders = placed.join(_few(weight), "rid").groupBy("bucket").agg(lead)
             leaders = settle(
                 leaders.select("bucket", F.col("lead.rid").alias("b"), F.col("lead.c").alias("cb"), F.col("lead.weight").alias("of"), F.col("lead.h").alias("h")),
                 "near-leaders",
@@ -348,10 +348,10 @@ def _classed(docs: DataFrame, carry: list[str], text: str, order: str, similarit
     texts = base.select("rid", "ord", ("text" if kept_text else F.col("row")[text].cast("string").alias("text")))
     signatures = settle(signed(texts), "near-signed")
     same = settle(signatures.groupBy("digest").agg(F.min("rid").alias("rep"), F.count("*").alias("copies")), "near-texts")
-    reps = signatures.where("sig is not null").join(same.select(F.col("rep").alias("rid")), "rid", "left_semi")
+    reps = signatures.where("sig is not null").join(_few(same.select(F.col("rep").alias("rid"))), "rid", "left_semi")
     bands = settle(_bands(reps.select("rid", "sig")), "near-bands")
     shared = settle(bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "near-shared")
-    members = settle(bands.join(shared, "bucket"), "near-buckets")
+    members = settle(bands.join(_few(shared), "bucket"), "near-buckets")
     discard(bands, shared)
     # Texts are needed only where some band is shared.
     wanted = _few(settle(members.select("rid").distinct(), "near-wanted"))
@@ -361,10 +361,10 @@ def _classed(docs: DataFrame, carry: list[str], text: str, order: str, similarit
     at = same.select("digest", "rep")
     if roots is not None:
         at = at.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("root", "rep").alias("rep"))
-    placed = settle(signatures.select("rid", "ord", "digest").join(settle(at, "near-classes"), "digest").drop("digest"), "near-placed")
+    placed = settle(signatures.select("rid", "ord", "digest").join(_few(settle(at, "near-classes")), "digest").drop("digest"), "near-placed")
     first = F.min(F.struct(F.col("ord").isNull().alias("none"), "ord", "rid")).alias("first")
     classes = settle(placed.groupBy("rep").agg(first, F.count("*").alias("class_size")), "near-sizes")
-    verdicts = placed.join(classes, "rep").select(
+    verdicts = placed.join(_few(classes), "rep").select(
         "rid", F.col("first.ord").alias("class_id"), "class_size", (F.col("rid") == F.col("first.rid")).alias("kept")
     )
     verdicts = settle(verdicts, "near-verdicts")
