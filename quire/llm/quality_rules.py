@@ -4,9 +4,14 @@ A text is measured once (Arrow, numpy). The measures go into quantile sketches w
 logarithmic buckets: a sketch is a table (language, source, measure, bucket) -> count, so
 sketches merge by adding counts, in any order and with the same result, and a group's sketch
 is never larger than its few hundred buckets. Each (language, source) gets an upper fence per
-measure, ``q75 + spread * (q75 - q25)`` with a least distance; groups with few texts use the
-merged sketch of their language, and small languages that of the whole table. The few fences
-are joined back to the documents.
+measure, ``q75 + spread * (q75 - q25)``; groups with few texts use the merged sketch of their
+language, and small languages that of the whole table. The few fences are joined back to the
+documents.
+
+No fence has a fixed part. Most texts hold no symbol and no repeat, so plain shares would have
+quartiles of zero; the sketched share counts one more event (a symbol, a repeated line, a pair of
+repeated windows) than was found. Its quartiles tell how much a single event weighs in texts of
+the group's sizes. A text is held to the fence by its plain share, so one without events passes.
 """
 
 from __future__ import annotations
@@ -27,8 +32,12 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Measures with an adaptive upper fence, and the least distance of the fence above the upper quartile.
-MEASURES = {"symbols_per_100_words": 20.0, "dup_lines_per_100_lines": 45.0, "chars_per_word": 4.0, "repeats_per_100_words": 24.0}
+#: Measures with an adaptive upper fence, and the number of words or lines that one event of the measure holds.
+MEASURES = {"symbols_per_100_words": 1, "dup_lines_per_100_lines": 1, "chars_per_word": 0, "repeats_per_100_words": 2 * WINDOW}
+_SHARES = {
+    "symbols_per_100_words": ("n_symbols", "n_words"), "dup_lines_per_100_lines": ("n_dup_lines", "n_lines"),
+    "repeats_per_100_words": ("n_repeat_words", "n_words"),
+}
 SPREAD = 6.0
 MIN_GROUP = 50
 #: Buckets grow by this factor, so a quantile is known to about 2 %.
@@ -125,12 +134,21 @@ def bucket(value: Column) -> Column:
 
 
 def bucket_value(b: Column) -> Column:
+    """Upper edge of a bucket."""
     return F.when(b > 0, F.pow(F.lit(GROWTH), b - 1) / 100).otherwise(0.0)
 
 
+def sketched(measure: str) -> Column:
+    """The value of a measure that goes into the sketches: a share with one event more, or the measure itself."""
+    if measure not in _SHARES:
+        return F.col(measure)
+    part, whole = (F.col(c) + MEASURES[measure] for c in _SHARES[measure])
+    return part * 100.0 / whole
+
+
 def sketches(base: DataFrame) -> DataFrame:
     """Quantile sketches (lang, source, measure, bucket, n) of the texts that pass the base rules."""
-    entries = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(F.col(m)).cast("long").alias("bucket")) for m in MEASURES])
+    entries = F.array(*[F.struct(F.lit(m).alias("measure"), bucket(sketched(m)).cast("long").alias("bucket")) for m in MEASURES])
     return (
         base.where(~F.col("base_failed"))
         .select("lang", "source", F.inline(entries))
@@ -149,12 +167,12 @@ def fences(sketch: DataFrame, spread: float = SPREAD, min_group: int = MIN_GROUP
         counts = counts.withColumns(
             {"seen": F.sum("n").over(by.orderBy("bucket")), "total": F.sum("n").over(by)}
         )
-        at = lambda q: bucket_value(F.min(F.when(F.col("seen") >= F.col("total") * q, F.col("bucket"))))
-        least = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-        low, high = at(0.25), at(0.75)
+        at = lambda q: F.min(F.when(F.col("seen") >= F.col("total") * q, F.col("bucket")))
+        # From edge to edge: equal quartiles are one bucket apart, the least that a sketch can tell.
+        low, high = bucket_value(F.greatest(at(0.25) - 1, F.lit(0))), bucket_value(at(0.75))
         return (
             counts.groupBy(*keys, "measure").agg(low.alias("low"), high.alias("high"), F.max("total").alias(f"{name}_n"))
-            .withColumn(name, F.col("high") + F.greatest(least, F.lit(spread) * (F.col("high") - F.col("low"))))
+            .withColumn(name, F.col("high") + F.lit(spread) * (F.col("high") - F.col("low")))
             .drop("low", "high")
         )
 

@@ -143,8 +143,10 @@ ORACLES = {
                      CASE WHEN n_lines > 0 THEN n_dup_lines * 100.0::DOUBLE / n_lines ELSE 0 END AS x2,
                      CASE WHEN n_words > 0 THEN word_chars * 100.0::DOUBLE / n_words ELSE 0 END / 100 AS x3,
                      CASE WHEN n_words > 0 THEN n_repeat_words * 100.0::DOUBLE / n_words ELSE 0 END AS x4 FROM m),
-        e AS (SELECT lang, source, k, unnest([x1, x2, x3, x4]) AS x, unnest([1, 2, 3, 4]) AS k2
-              FROM (SELECT *, 0 AS k FROM b WHERE NOT base_failed)),
+        e AS (SELECT lang, source, unnest([(n_symbols + 1) * 100.0::DOUBLE / (n_words + 1),
+                                           (n_dup_lines + 1) * 100.0::DOUBLE / (n_lines + 1), x3,
+                                           (n_repeat_words + 16) * 100.0::DOUBLE / (n_words + 16)]) AS x,
+                     unnest([1, 2, 3, 4]) AS k2 FROM b WHERE NOT base_failed),
         q AS (SELECT lang, source, k2 AS k,
                      CASE WHEN x > 0 THEN greatest(1, ceil(ln(x * 100) / ln(1.04::DOUBLE)) + 1) ELSE 0 END AS bkt FROM e),
         s AS (SELECT lang, source, k, bkt, count(*) AS n, 0 AS lvl FROM q GROUP BY ALL
@@ -155,9 +157,9 @@ ORACLES = {
         v AS (SELECT lvl, lang, source, k, max(total) AS total,
                      min(CASE WHEN seen >= total * 0.25 THEN bkt END) AS lo,
                      min(CASE WHEN seen >= total * 0.75 THEN bkt END) AS hi FROM c GROUP BY ALL),
-        f AS (SELECT lvl, lang, source, k, total, h + greatest([20.0, 45.0, 4.0, 24.0][k], 6.0 * (h - l)) AS fence
+        f AS (SELECT lvl, lang, source, k, total, h + 6.0::DOUBLE * (h - l) AS fence
               FROM (SELECT *, CASE WHEN hi > 0 THEN pow(1.04::DOUBLE, hi - 1) / 100 ELSE 0 END AS h,
-                              CASE WHEN lo > 0 THEN pow(1.04::DOUBLE, lo - 1) / 100 ELSE 0 END AS l FROM v)),
+                              CASE WHEN lo > 1 THEN pow(1.04::DOUBLE, lo - 2) / 100 ELSE 0 END AS l FROM v)),
         g AS (SELECT o.lang, o.source, o.k,
                      CASE WHEN o.total >= 50 THEN o.fence WHEN w.total >= 50 THEN w.fence ELSE a.fence END AS fence
               FROM f o JOIN f w ON w.lvl = 1 AND w.k = o.k AND w.lang IS NOT DISTINCT FROM o.lang

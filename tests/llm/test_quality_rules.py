@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from quire.llm.quality_rules import apply_rules
+from quire.llm.quality_rules import apply_rules, measured, sketches
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept int, fence string"
 
@@ -54,5 +54,33 @@ def test_fences_adapt_to_the_source(spark):
     assert not kept[900]
 
 
+def test_fences_follow_the_sizes_of_the_texts(spark):
+    """Without any symbol or repeat in a group its fences come from what one event weighs; a symbol passes, many do not."""
+    rng = random.Random(2)
+    prose = lambda n, k: " ".join(f"w{rng.randrange(99999)}" + ("#" if i < k else "") for i in range(n))
+    rows = [(i, prose(rng.randrange(35, 45), 0), "en", "short", 0, "") for i in range(80)]
+    rows += [(100 + i, prose(rng.randrange(3500, 4500), 0), "en", "long", 0, "") for i in range(80)]
+    rows += [(900, prose(40, 10), "en", "short", 0, ""), (901, prose(4000, 1), "en", "long", 0, ""), (902, prose(4000, 200), "en", "long", 0, "")]
+    got = {r["row"]["doc_id"]: r for r in apply_rules(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    assert all(got[i]["kept"] for i in range(80)) and all(got[100 + i]["kept"] for i in range(80))
+    assert [got[i]["kept"] for i in (900, 901, 902)] == [False, True, False]
+    assert got[0]["max_symbols_per_100_words"] > 20 * got[100]["max_symbols_per_100_words"] > 0
+
+
+def test_equal_texts_have_fences_above_themselves(spark):
+    """All quartiles equal: the fence is still above every text of the group."""
+    rows = [(i, " ".join(f"w{k:02d}" for k in range(40)), "en", "s", 0, "") for i in range(60)]
+    assert all(r["kept"] for r in apply_rules(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect())
+
+
+def test_sketches_merge(spark):
+    """Sketches of parts, added up, are the sketch of the whole."""
+    rows = [(i, t, "en", "s", 0, "") for i, t in enumerate(texts())]
+    sketch = lambda r: sketches(measured(spark.createDataFrame(r, SCHEMA), ["doc_id"], "text", "lang", "source"))
+    counts = lambda df: {(r["measure"], r["bucket"]): r["n"] for r in df.collect()}
+    parts = Counter(counts(sketch(rows[:70]))) + Counter(counts(sketch(rows[70:])))
+    assert dict(parts) == counts(sketch(rows))
+
+
 def test_empty_table(spark):
     assert apply_rules(spark.createDataFrame([], SCHEMA), ["doc_id"]).count() == 0
