@@ -33,7 +33,6 @@ BLOCK_WORDS = 128
 MAX_PASSES = 3
 SHARD_SLOTS = 4096
 SEED = 17
-_EXACT_DRAWS = 500_000_000  # counts up to which the hypergeometric draw is exact
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, passes: int = MAX_PASSES) -> list[float]:
@@ -76,14 +75,21 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _split(counts: np.ndarray, share: int, node: tuple[int, int], seed: int) -> np.ndarray:
-    """Counts of the first ``share`` slots out of a node's slots."""
-    total = int(counts.sum())
-    if total <= _EXACT_DRAWS:
-        rng = np.random.Generator(np.random.Philox(key=_key(seed, *node)))
-        return rng.multivariate_hypergeometric(counts, share, method="marginals")
-    exact = counts * (share / total)  # far above, in proportion
-    taken = np.floor(exact).astype(np.int64)
-    taken[np.argsort(taken - exact, kind="stable")[: share - int(taken.sum())]] += 1
+    """Counts of ``share`` slots drawn without replacement out of a node's slots: exact at any size.
+
+    Every slot is drawn on its own with the chance ``share / total``, a binomial count per source. Given how
+    many came out, they are a uniform choice of that many slots, and stay one when the few too many are put back
+    or the few missing ones are added by a draw of the same kind. Each draw is short by about the root of the last.
+    """
+    rng = np.random.Generator(np.random.Philox(key=_key(seed, *node)))
+    taken, pool, wanted, sign = np.zeros_like(counts), counts, share, 1
+    while wanted:
+        drawn = rng.binomial(pool, wanted / int(pool.sum()))
+        taken = taken + sign * drawn
+        off = wanted - int(drawn.sum())
+        # Too few: more out of the rest of the pool. Too many: back out of those just drawn.
+        pool, sign = (pool - drawn, sign) if off > 0 else (drawn, -sign)
+        wanted = abs(off)
     return taken
 
 

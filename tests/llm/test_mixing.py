@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm.mixing import mix_plan, mixed_documents, permute, shard_counts, taken_words, targets
+from quire.llm.mixing import _split, mix_plan, mixed_documents, permute, shard_counts, taken_words, targets
 
 SCHEMA = "doc_id long, text string, source string, size string, s int, n_chars long"
 
@@ -29,6 +29,31 @@ def test_shards_share_out_all_slots():
     assert (total == counts).all()
 
 
+def test_split_is_a_hypergeometric_draw():
+    """Mean and covariance of many draws are those of the distribution."""
+    counts, share = np.array([50, 0, 7, 143, 1], np.int64), 60
+    draws = np.array([_split(counts, share, (0, k), 11) for k in range(20_000)])
+    assert (draws >= 0).all() and (draws <= counts).all() and (draws.sum(axis=1) == share).all()
+    n, p = int(counts.sum()), counts / counts.sum()
+    cov = share * (n - share) / (n - 1) * (np.diag(p) - np.outer(p, p))
+    assert np.abs(draws.mean(axis=0) - share * p).max() < 0.1
+    assert np.abs(np.cov(draws.T) - cov).max() < 0.3
+
+
+@pytest.mark.parametrize("total", [10**3, 10**9, 10**12, 10**15])
+def test_split_at_any_size(total):
+    """Far above half a billion slots draws still vary as they should, by the root of their number."""
+    counts = np.array([total // 3, 5, total - total // 3 - 5], np.int64)
+    share = total // 2
+    draws = np.array([_split(counts, share, (k, 9), 1) for k in range(300)])
+    assert (draws >= 0).all() and (draws <= counts).all() and (draws.sum(axis=1) == share).all()
+    spread = (total * 2 / 9 / 4) ** 0.5
+    assert 0.8 < draws[:, 0].std() / spread < 1.2 and abs(draws[:, 0].mean() - counts[0] / 2) < spread / 3
+    assert 0.8 < draws[:, 1].std() / (5 / 4) ** 0.5 < 1.2
+    assert (_split(counts, share, (0, 9), 1) == draws[0]).all()
+    assert (_split(counts, 0, (0, 9), 1) == 0).all() and (_split(counts, total, (0, 9), 1) == counts).all()
+
+
 def test_targets():
     assert targets([1000, 10, 1000]) == pytest.approx([1980 * 5 / 6, 30, 1980 / 6])
     assert sum(targets([5, 100, 7, 900])) == pytest.approx(1012)
@@ -81,6 +106,25 @@ def test_mixed_documents_match_the_plan(spark):
     assert {k: v for k, v in taken.items() if v} == words
 
 
+def test_taken_matches_a_plain_recomputation(spark):
+    """Blocks, slots and documents counted word by word in plain Python."""
+    docs = documents(spark, 700)
+    _, _, slots, sources = mix_plan(docs, ["doc_id"])
+    uses = Counter((r["s"], r["block"]) for r in slots.collect())
+    name = {r["source"]: r["s"] for r in sources.collect()}
+    rows = docs.withColumn("tie", F.xxhash64("text")).collect()
+    want, at = Counter(), Counter()
+    for r in sorted(rows, key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["tie"])):
+        s = name[r["source"]]
+        for _ in (r["text"] or "").split():
+            want[r["doc_id"]] += uses[s, at[s] // 128]
+            at[s] += 1
+    got = Counter()
+    for r in taken_words(docs, ["doc_id"]).collect():
+        got[r["row"]["doc_id"]] += r["taken"]
+    assert +got == +want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert taken_words(none, ["doc_id"]).count() == 0
