@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions.core import strip
 from quire.functions.text import escape_html, inline_html, paragraph_blocks
 from quire.operators.extract import text_nodes
 from quire.operators.segment import segment_documents
@@ -72,7 +73,8 @@ def md_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         return F.when(d % 4 == 0, fence).otherwise(prose)
 
-    lines = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != "")
+    # Not ``F.trim`` itself: ``transform`` hands a function of two parameters the index as the characters to trim.
+    lines = F.filter(F.transform(F.split("text", "\n"), strip), lambda x: x != "")
     return documents(spark, sf_dir).select(
         "doc_id", "lang", "source", F.array_join(F.transform(lines, dress), "\n\n").alias("text"),
         F.lit("md").alias("file_type"),
