@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import uuid
 import zipfile
@@ -94,8 +95,12 @@ def size_gate(spark, sf):
     return A.size_gate(rows, "length", 5000).select("doc_id", F.col("length").alias("bytes"))
 
 
-def _zip(doc_id: int, text: str) -> bytes:
-    """One small archive per document; the number of the document chooses its defect."""
+def _zip(doc_id: int, text: str | None) -> bytes:
+    """One small archive per document; the number of the document chooses its defect.
+
+    The text itself is never one: it is character data (no declaration in it) and stored as it is (any ratio is 1).
+    """
+    text = html.escape(text or "").replace("[", "&#91;")
     out = io.BytesIO()
     case = doc_id % 9
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
@@ -103,7 +108,7 @@ def _zip(doc_id: int, text: str) -> bytes:
         z.writestr("mimetype", mime, zipfile.ZIP_STORED)
         if doc_id % 2:
             z.writestr("[Content_Types].xml", "<Types/>")
-            z.writestr("word/document.xml" if case != 1 else "word/other.xml", f"<w>{text}</w>")
+            z.writestr("word/document.xml" if case != 1 else "word/other.xml", f"<w>{text}</w>", zipfile.ZIP_STORED)
         if case == 2:
             z.writestr("../escape.txt", "x")
         if case == 3:
@@ -117,7 +122,7 @@ def _zip(doc_id: int, text: str) -> bytes:
         if case == 6:
             z.writestr("same.txt", "1")
             z.writestr("same2.txt", "1")
-        z.writestr("chapter.xhtml", "<!DOCTYPE html><p>the currency system was</p>" + text)
+        z.writestr("chapter.xhtml", "<!DOCTYPE html><p>the currency system was</p>" + text, zipfile.ZIP_STORED)
     data = out.getvalue()
     if case == 6:
         data = data.replace(b"same2.txt", b"same.txt\0")
