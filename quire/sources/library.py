@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.core import let
 from quire.session import settle
 from quire.sources.commits import Reader, SnapshotLog
 
@@ -115,11 +116,23 @@ def read_document(log: SnapshotLog, job_id: str) -> str | None:
 
 
 def read_documents(log: SnapshotLog) -> DataFrame:
-    """(job_id, text) of all documents, cut from the files by the index; a file is one row and so at most ``FILE_BYTES`` or so."""
+    """(job_id, text) of all documents, cut from the files by the index; a file is one row and so at most ``FILE_BYTES`` or so.
+
+    A file meets the list of its documents once: joined to each of them it would be copied for each of them.
+    """
     files = log.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{log.root}/files")
     name = F.regexp_extract("path", r"(files/[^/]+/slot=\d+/[^/]+)$", 1)
     whole = files.select(name.alias("file"), "content")
-    piece = F.substr("content", (F.col("offset") + 1).cast("int"), F.col("length").cast("int"))
-    cut = document_index(log).join(whole, "file").select("job_id", "first", piece.alias("piece"))
-    pieces = F.array_sort(F.collect_list(F.struct("first", F.decode("piece", "UTF-8").alias("text"))))
-    return cut.groupBy("job_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
+    places = document_index(log).groupBy("file").agg(F.collect_list(F.struct("job_id", "first", "offset", "length")).alias("places"))
+
+    def cut(content: Column, places: Column) -> Column:
+        def piece(p: Column) -> Column:
+            found = F.substr(content, (p["offset"] + 1).cast("int"), p["length"].cast("int"))
+            return F.struct(p["job_id"].alias("job_id"), p["first"].alias("first"), F.decode(found, "UTF-8").alias("text"))
+
+        return F.transform(places, piece)
+
+    # ``let`` also keeps the bytes as one object; read from the row they would be copied for each piece.
+    cuts = places.join(whole, "file").select(F.explode(let(F.col("content"), lambda c: cut(c, F.col("places")))).alias("p")).select("p.*")
+    pieces = F.array_sort(F.collect_list(F.struct("first", "text")))
+    return cuts.groupBy("job_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "").alias("text"))
