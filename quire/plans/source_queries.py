@@ -211,9 +211,7 @@ def _published(spark, sf):
 def write_document(spark, sf):
     path = scratch(spark, "documents")
     S.write_document(*_published(spark, sf), path)
-    return spark.read.schema("value string, job_id long").text(path, wholetext=True).select(
-        "job_id", F.col("value").alias("text")
-    )
+    return S.read_written(spark, path, kind="long")
 
 
 @register(
