@@ -284,7 +284,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         .mapInArrow(_joined, "shard int, first long, doc_id long, ids binary")
     )
     return (
-        whole.unionByName(parts).join(base, "shard")
+        whole.unionByName(parts).join(F.broadcast(base), "shard")  # by estimates alone all ids would be shuffled to meet it
         .select("doc_id", (F.col("base") + F.col("first")).alias("start"), "ids")
     )
 

@@ -93,3 +93,15 @@ def test_many_nulls_and_one_id(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     write_tokens(spark.createDataFrame([], SCHEMA), str(tmp_path / "e"), PATH, 2)
     assert digests(read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_ids_are_not_shuffled_to_meet_the_places_of_their_shards(spark, tmp_path):
+    write_tokens(spark.createDataFrame([(i, "a b c", 1, "x") for i in range(50)], SCHEMA), str(tmp_path / "f"), PATH, 2, block=64)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, -1)  # as for a file too large for Spark's estimates
+    try:
+        plan = read_tokens(spark, str(tmp_path / "f"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
