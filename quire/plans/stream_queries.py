@@ -180,13 +180,19 @@ def on_batch(spark, sf):
     SELECT job_id, CASE WHEN status = 'PROCESSING' AND job_id IN (SELECT job_id FROM down) THEN 'PAUSED' ELSE status END AS status, coalesce(waiting, 0) AS waiting FROM jobs LEFT JOIN s USING (job_id)""",
 )
 def auto_pause_stream(spark, sf):
-    jobs, segs = tb.snapshot(spark, sf)
-    step = L.pause_step(lambda batch: batch.select("job_id", ((F.col("type") == "segment_failed") & (F.col("seq") % 3 == 0)).alias("provider_down")))
-    store = _ledgered(spark, sf, "auto_pause", {"jobs": jobs, "segments": segs}, step)
+    store = paused_store(spark, sf)
     waiting = store.read("segments").groupBy("job_id").agg(F.count_if(F.col("status") == "PENDING").alias("waiting"))
     return store.read("jobs").join(waiting, "job_id", "left").select("job_id", "status", F.coalesce("waiting", F.lit(0)).alias("waiting"))
 
 
+def paused_store(spark, sf):
+    """The store holds what a pause changes and its keys; the texts stay in the snapshot and are not written again per batch."""
+    jobs, segs = tb.snapshot(spark, sf)
+    segs = segs.select("job_id", "chunk_index", "status")
+    step = L.pause_step(lambda batch: batch.select("job_id", ((F.col("type") == "segment_failed") & (F.col("seq") % 3 == 0)).alias("provider_down")))
+    return _ledgered(spark, sf, "auto_pause", {"jobs": jobs, "segments": segs}, step)
+
+
 @register(
     "tail_log",
     f"""WITH {_EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rank FROM ev WHERE type IN ('segment_completed', 'segment_failed'))
