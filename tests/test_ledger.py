@@ -185,3 +185,15 @@ def test_library(spark, tmp_path):
     assert D.publish_documents(log, changed, spark.createDataFrame([("8",), ("9",)], "job_id string"), files=6) == 2
     assert D.read_document(log, "3").endswith("more\nnew\n") and D.read_document(log, "9") is None and D.read_document(log, "7")
     assert D.read_document(log, "5") == whole["5"]
+
+
+def test_a_published_file_is_read_once_for_all_its_documents(spark, tmp_path):
+    from quire.sources import library as D
+    from quire.sources.commits import SnapshotLog
+
+    log = SnapshotLog(spark, str(tmp_path / "library"))
+    parts = spark.createDataFrame([(str(i), 0, f"a {i}\n") for i in range(20)], "job_id string, part int, text string")
+    D.publish_documents(log, parts, parts.where("false").select("job_id"), files=2)
+    plan = D.read_documents(log)._jdf.queryExecution().optimizedPlan().toString()
+    places = plan[plan.index("Join") :]  # below the join: the index, one row for each file
+    assert "Aggregate [file" in places
