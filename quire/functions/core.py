@@ -50,6 +50,12 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def strip_part(text: Column) -> Column:
+    """``strip`` of a lambda's parameter. Trimming lays out all characters, so it is left to texts with a blank at an end."""
+    blank = lambda at: F.contains(F.lit(WHITESPACE), F.substring(text, at, 1))
+    return F.when(blank(1) | blank(-1), F.btrim(text, F.lit(WHITESPACE))).otherwise(text)
+
+
 def lstrip(text: Column) -> Column:
     return F.ltrim(text, F.lit(WHITESPACE))
 

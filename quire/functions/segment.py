@@ -81,9 +81,8 @@ def fragments(html: Column, limit: int) -> Column:
     after decoding, so ``&lt;`` in the source can never turn into a tag.
     """
 
-    def cut(text: Column) -> Column:
-        tag = node_tag(html)
-        pieces = let(
+    def pieces(text: Column, tag: Column) -> Column:
+        return let(
             _units(text, limit),
             lambda units: F.transform(
                 slices(units, _unit_starts(units, limit)),
@@ -94,9 +93,15 @@ def fragments(html: Column, limit: int) -> Column:
                 ),
             ),
         )
-        return F.when(text == "", F.array(html)).otherwise(pieces)
 
-    return F.when(estimate_tokens(html) > limit, let(node_text(html), cut)).otherwise(F.array(html))
+    def cut(node: Column) -> Column:
+        # The tag is bound: looked up per fragment, it would read the whole node for each of them.
+        return let(
+            node_text(node),
+            lambda text: F.when(text == "", F.array(node)).otherwise(let(node_tag(node), lambda tag: pieces(text, tag))),
+        )
+
+    return let(html, lambda node: F.when(estimate_tokens(node) > limit, cut(node)).otherwise(F.array(node)))
 
 
 def pack_starts(tokens: Column, target: int, max_nodes: int = MAX_NODES_PER_SEGMENT) -> Column:

@@ -8,7 +8,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.core import NON_WS, WS, let, replace_all, strip
+from quire.functions.core import NON_WS, WS, let, replace_all, strip_part
 from quire.params import CHARS_PER_TOKEN, FREQUENT_REFERENCES, TOKENS_PER_WORD
 
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
@@ -94,7 +94,7 @@ def legacy_inline_html(text: Column) -> Column:
 
 def paragraph_blocks(text: Column) -> Column:
     """Blank-line separated blocks, stripped, empties dropped."""
-    parts = F.transform(F.split(text, f"(?U)\n{WS}*\n"), strip)
+    parts = F.transform(F.split(text, f"(?U)\n{WS}*\n"), strip_part)
     return F.filter(parts, lambda b: b != "")
 
 
@@ -104,5 +104,5 @@ def split_lines(text: Column) -> Column:
 
 def sentence_parts(text: Column) -> Column:
     """Sentences for packing: white space after an end mark, or newlines, separates."""
-    parts = F.transform(F.split(text, f"(?U)(?<=[.!?…]){WS}+|\n+"), strip)
+    parts = F.transform(F.split(text, f"(?U)(?<=[.!?…]){WS}+|\n+"), strip_part)
     return F.filter(parts, lambda s: s != "")
