@@ -30,6 +30,10 @@ MARKUP = (
 )
 _BLOCK_ALT = "|".join(sorted(BLOCK_TAGS, key=len, reverse=True))
 BLOCK_NAME = rf"(?i)<({_BLOCK_ALT})(?=[\s/>])"
+# Blocks side by side, of text, line breaks and inline tags without attributes that hold text: what segments are made of.
+_INLINE_ALT = "|".join(sorted((t for t in INLINE_TAGS if t not in VOID_TAGS), key=len, reverse=True))
+FLAT_BLOCK = rf"<({_BLOCK_ALT})>(?:[^<]++|<br/>|<({_INLINE_ALT})>[^<]*+</\2>)*+</\1>"
+FLAT = rf"\A(?:[^<]++|{FLAT_BLOCK})*+\z"
 
 
 def drop_active_content(html: Column) -> Column:
@@ -311,9 +315,25 @@ def top_blocks(html: Column) -> Column:
     )
 
 
+def _flat_blocks(html: Column) -> Column:
+    """``top_blocks`` of a text that is ``FLAT``: its blocks stand in it as they are."""
+    return F.transform(
+        F.regexp_extract_all(html, F.lit(FLAT_BLOCK), F.lit(0)),
+        lambda b, i: F.struct(
+            i.cast("int").alias("block_idx"), F.substring_index(F.substr(b, F.lit(2)), ">", 1).alias("tag"), b.alias("html")
+        ),
+    )
+
+
 def checked_blocks(html: Column) -> Column:
-    """Top-level blocks after dropping active content: what a model answer is compared on."""
-    return top_blocks(drop_active_content(F.coalesce(html, F.lit(""))))
+    """Top-level blocks after dropping active content: what a model answer is compared on.
+
+    Most segments are flat and need no stack of open tags; any other text is folded.
+    """
+    return let(
+        F.coalesce(html, F.lit("")),
+        lambda h: F.when(F.rlike(h, F.lit(FLAT)), _flat_blocks(h)).otherwise(top_blocks(drop_active_content(h))),
+    )
 
 
 def sanitize_block(html: Column) -> Column:
