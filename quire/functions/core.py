@@ -64,6 +64,14 @@ def rstrip(text: Column) -> Column:
     return F.rtrim(text, F.lit(WHITESPACE))
 
 
+def lstrip_part(text: Column) -> Column:
+    return F.when(F.contains(F.lit(WHITESPACE), F.substring(text, 1, 1)), lstrip(text)).otherwise(text)
+
+
+def rstrip_part(text: Column) -> Column:
+    return F.when(F.contains(F.lit(WHITESPACE), F.substring(text, -1, 1)), rstrip(text)).otherwise(text)
+
+
 # Regex classes equal to Unicode white space; Java needs (?U) for \s to be Unicode-aware.
 WS = r"[\s\x1c-\x1f]"
 NON_WS = r"[^\s\x1c-\x1f]"
@@ -78,6 +86,16 @@ def squeeze(text: Column) -> Column:
     return strip(F.regexp_replace(text, f"(?U){WS}+", " "))
 
 
+# What may need ``squeeze``: all but printable Latin-1. Single characters are looked up in a table, ranges one by one.
+UNEVEN = "[^ " + "".join(f"\\x{c:02x}" for c in [*range(0x21, 0x7F), *range(0xA1, 0x100)]) + "]"
+
+
+def squeeze_part(text: Column) -> Column:
+    """``squeeze`` of a lambda's parameter. Replacing copies a text word by word, so it is left to texts that may need it."""
+    uneven = F.contains(text, F.lit("  ")) | F.rlike(text, F.lit(UNEVEN))
+    return F.when(uneven, squeeze(text)).otherwise(strip_part(text))
+
+
 def slices(items: Column, starts: Column) -> Column:
     """Cut ``items`` at the 0-based ``starts`` (the output of a fold) into sub-arrays."""
     return let(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.core import let, lstrip, rstrip, slices, squeeze, strip
+from quire.functions.core import let, lstrip_part, rstrip_part, slices, squeeze, squeeze_part, strip, strip_part
 from quire.functions.html import inner_html
 from quire.functions.prefix import running_sum
 from quire.functions.text import escape_text
@@ -38,12 +38,18 @@ def _block_rows(spans: DataFrame) -> DataFrame:
     )
 
 
-def _is_bold(span: Column) -> Column:
-    return (span["flags"].bitwiseAND(BOLD_FLAG) > 0) | F.rlike(F.lower(span["font"]), F.lit("bold|semibold|black"))
+def _has_style(span: Column, flag: int, font: Column, *names: str) -> Column:
+    """By the flag, or by a word in the font's name (in lower case)."""
+    named = F.contains(font, F.lit(names[0])) | F.contains(font, F.lit(names[1]))
+    return (span["flags"].bitwiseAND(flag) > 0) | named
 
 
-def _is_italic(span: Column) -> Column:
-    return (span["flags"].bitwiseAND(ITALIC_FLAG) > 0) | F.rlike(F.lower(span["font"]), F.lit("italic|oblique"))
+def _is_bold(span: Column, font: Column) -> Column:
+    return _has_style(span, BOLD_FLAG, font, "bold", "black")
+
+
+def _is_italic(span: Column, font: Column) -> Column:
+    return _has_style(span, ITALIC_FLAG, font, "italic", "oblique")
 
 
 def _size_weights(spans: Column) -> Column:
@@ -74,14 +80,14 @@ def _lines(spans: Column) -> Column:
         n = F.size(parts)
 
         def trimmed(p: Column, i: Column) -> Column:
-            left = F.when(i == 0, lstrip(p["text"])).otherwise(p["text"])
+            left = let(p["text"], lambda text: F.when(i == 0, lstrip_part(text)).otherwise(text))
             return F.struct(
-                F.when(i == n - 1, rstrip(left)).otherwise(left).alias("text"),
+                let(left, lambda text: F.when(i == n - 1, rstrip_part(text)).otherwise(text)).alias("text"),
                 p["bold"].alias("bold"), p["italic"].alias("italic"),
             )
 
         return F.struct(
-            strip(F.array_join(F.transform(parts, lambda p: p["text"]), "")).alias("plain"),
+            let(F.array_join(F.transform(parts, lambda p: p["text"]), ""), strip_part).alias("plain"),
             F.transform(parts, trimmed).alias("parts"),
         )
 
@@ -132,10 +138,13 @@ def _inner(parts: Column) -> Column:
 
         def styled(group: Column) -> Column:
             text = escape_text(F.array_join(F.transform(group, lambda p: p["text"]), ""))
-            em = F.when(group[0]["italic"], F.concat(F.lit("<em>"), text, F.lit("</em>"))).otherwise(text)
-            return F.when(group[0]["bold"], F.concat(F.lit("<strong>"), em, F.lit("</strong>"))).otherwise(em)
+            em = F.when(F.get(group, F.lit(0))["italic"], F.concat(F.lit("<em>"), text, F.lit("</em>"))).otherwise(text)
+            return F.when(F.get(group, F.lit(0))["bold"], F.concat(F.lit("<strong>"), em, F.lit("</strong>"))).otherwise(em)
 
-        return F.array_join(F.transform(slices(ps, starts), styled), "")
+        first = F.get(ps, F.lit(0))
+        alike = F.forall(ps, lambda p: (p["bold"] == first["bold"]) & (p["italic"] == first["italic"]))
+        # Most blocks are of one style and need no cutting.
+        return F.when(alike, styled(ps)).otherwise(F.array_join(F.transform(slices(ps, starts), styled), ""))
 
     return let(F.filter(parts, lambda p: p["text"] != ""), merged)
 
@@ -151,14 +160,14 @@ def pdf_candidates(spans: DataFrame) -> DataFrame:
         cleaned = F.transform(
             ss,
             lambda s: let(
-                F.replace(s["text"], F.lit("\xa0"), F.lit(" ")),
-                lambda text: F.struct(
+                F.struct(F.replace(s["text"], F.lit("\xa0"), F.lit(" ")).alias("text"), F.lower(s["font"]).alias("font")),
+                lambda v: F.struct(
                     s["line_idx"].alias("line_idx"),
-                    text.alias("text"),
-                    (F.bround(s["size"] * 2) / 2).alias("size"),
-                    F.greatest(F.lit(1), F.length(strip(text))).alias("weight"),
-                    _is_bold(s).alias("bold"),
-                    _is_italic(s).alias("italic"),
+                    v["text"].alias("text"),
+                    (F.rint(s["size"] * 2) / 2).alias("size"),
+                    F.greatest(F.lit(1), F.length(strip_part(v["text"]))).alias("weight"),
+                    _is_bold(s, v["font"]).alias("bold"),
+                    _is_italic(s, v["font"]).alias("italic"),
                 ),
             ),
         )
@@ -183,7 +192,7 @@ def pdf_candidates(spans: DataFrame) -> DataFrame:
             lambda f: F.struct(
                 plain.alias("plain_text"),
                 _inner(joined["parts"]).alias("inner_html"),
-                squeeze(F.lower(plain)).alias("signature"),
+                F.lower(plain).alias("signature"),
                 f["sizes"].alias("size_weights"),
                 _heaviest(f["sizes"]).alias("font_size"),
                 ((f["w"]["total"] > 0) & (f["w"]["bold"] >= f["w"]["total"] * 0.55)).alias("mostly_bold"),
@@ -196,7 +205,7 @@ def pdf_candidates(spans: DataFrame) -> DataFrame:
         lambda us: let(
             _joined(_lines(us)),
             lambda joined: let(
-                squeeze(joined["plain"]),
+                let(joined["plain"], squeeze_part),
                 lambda plain: F.when(plain != "", F.array(described(us, joined, plain))),
             ),
         ),
@@ -247,25 +256,42 @@ def pdf_page_profile(pages: DataFrame, candidates: DataFrame, images: DataFrame)
     """
     page = ["doc_id", "page_num"]
     clip = lambda lo, hi, size: F.greatest(F.lit(0.0), F.least(F.col(hi), F.col(size)) - F.greatest(F.col(lo), F.lit(0.0)))
-    area = images.join(pages, page).groupBy(*page).agg(
-        F.sum(clip("x0", "x1", "page_w") * clip("y0", "y1", "page_h")).alias("image_area")
+    # Both tables are read once. ``clip`` of a page without images would be the whole page.
+    area = pages.join(images.withColumn("image", F.lit(True)), page, "left").groupBy(*page, "page_w", "page_h").agg(
+        F.sum(F.when(F.col("image"), clip("x0", "x1", "page_w") * clip("y0", "y1", "page_h"))).alias("image_area")
     )
     with_text = candidates.select(*page).distinct().withColumn("has_text", F.lit(True))
     image_area = F.coalesce("image_area", F.lit(0.0))
     ratio = F.least(F.lit(1.0), image_area / F.greatest(F.lit(1.0), F.col("page_w") * F.col("page_h")))
     has_text = F.coalesce("has_text", F.lit(False))
-    return pages.join(with_text, page, "left").join(area, page, "left").select(
+    return area.join(with_text, page, "left").select(
         *page, has_text.alias("has_text"), (image_area > 0).alias("has_images"), ratio.alias("image_ratio"),
         ((~has_text & (image_area > 0)) | (ratio >= PASSTHROUGH_RATIO)).alias("passthrough"),
     )
 
 
-def pdf_roles(candidates: DataFrame) -> DataFrame:
+def block_facts(candidates: DataFrame) -> DataFrame:
+    """What roles, margins and numbers are told by, in place of the plain text.
+
+    A signature longer than its digest is known by the digest, so that texts need not move to be compared.
+    """
+    long_one = F.concat(F.lit("\n"), F.sha2("signature", 256))
+    return candidates.select(
+        *BLOCK, "y0", "y1", "page_h", "centered", "size_weights", "font_size", "mostly_bold", "inner_html",
+        F.when(F.length("signature") > 64, long_one).otherwise(F.col("signature")).alias("signature"),
+        *[fact.alias(name) for name, fact in _role_facts().items()],
+        is_page_number(F.col("plain_text")).alias("page_number"),
+    )
+
+
+def _role_facts() -> dict[str, Column]:
+    return {"short": F.length("plain_text") <= 180, "chapter": F.rlike("plain_text", F.lit(CHAPTER_WORD))}
+
+
+def roles_of(facts: DataFrame) -> DataFrame:
     """Add ``tag`` and ``role`` by size ratio to the document body size."""
-    sized = candidates.join(pdf_body_size(candidates), "doc_id")
-    size, body = F.col("font_size"), F.col("body_size")
-    short = F.length("plain_text") <= 180
-    chapter = F.rlike("plain_text", F.lit(CHAPTER_WORD))
+    sized = facts.join(pdf_body_size(facts), "doc_id")
+    size, body, short, chapter = F.col("font_size"), F.col("body_size"), F.col("short"), F.col("chapter")
     top = (
         (size >= body * 1.45) | (chapter & (size >= body * 1.30)) | (F.col("mostly_bold") & (size >= body * 1.20) & short)
     )
@@ -278,13 +304,21 @@ def pdf_roles(candidates: DataFrame) -> DataFrame:
     )
 
 
+def pdf_roles(candidates: DataFrame) -> DataFrame:
+    """Candidates with ``body_size``, ``tag`` and ``role``."""
+    return roles_of(candidates.withColumns(_role_facts())).drop("short", "chapter")
+
+
 def pdf_nodes(spans: DataFrame, pages: DataFrame, images: DataFrame) -> DataFrame:
     """Spans and images -> ordered nodes: numbers, running heads and passthrough pages left out."""
     # Four facts are taken from the blocks; they are built once and read back column by column.
-    candidates = settle(pdf_candidates(spans), "candidates")
-    skipped = pdf_page_profile(pages, candidates, images).where("passthrough").select("doc_id", "page_num")
-    kept = pdf_margin_repeats(pdf_page_numbers(pdf_roles(candidates))).join(skipped, ["doc_id", "page_num"], "left_anti")
-    return _with_node_index(kept).select(
+    blocks = settle(block_facts(pdf_candidates(spans)), "candidates")
+    # All that is told by the facts is told without the texts, which meet what is left of their blocks at the end.
+    facts = blocks.drop("inner_html")
+    skipped = pdf_page_profile(pages, facts, images).where("passthrough").select("doc_id", "page_num")
+    left = pdf_margin_repeats(roles_of(facts).where(~F.col("page_number"))).join(skipped, ["doc_id", "page_num"], "left_anti")
+    kept = settle(left.select(*BLOCK, "tag", "role"), "kept-blocks")
+    return _with_node_index(kept).join(blocks.select(*BLOCK, "inner_html"), BLOCK).select(
         *BLOCK, "node_idx", "tag", "role",
         F.concat(F.lit("<"), "tag", F.lit(">"), "inner_html", F.lit("</"), "tag", F.lit(">")).alias("html"),
     )
@@ -335,7 +369,7 @@ def pdf_nodes_legacy(spans: DataFrame) -> DataFrame:
     )
     return out.select(
         *BLOCK, "font_size", "color", "align",
-        F.exists("us", legacy_bold).alias("is_bold"), F.exists("us", _is_italic).alias("is_italic"), "tag",
+        F.exists("us", legacy_bold).alias("is_bold"), F.exists("us", lambda s: _is_italic(s, F.lower(s["font"]))).alias("is_italic"), "tag",
         F.concat(F.lit("<"), "tag", F.lit(">"), escape_text(F.col("text")), F.lit("</"), "tag", F.lit(">")).alias("html"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions.text import paragraph_blocks
-from quire.functions.core import words_of
+from quire.functions.core import let, words_of
 from quire.operators import infer as E
 from quire.operators import layout as L
 from quire.operators import rebuild as R
@@ -100,8 +100,10 @@ def spans(spark, sf):
 
 
 def page_table(spark, sf):
-    return span_lines(spark, sf).where("i % 12 = 0").select(
-        "doc_id", "page_num", F.lit(500.0).alias("page_w"), F.lit(700.0).alias("page_h")
+    n = F.size(paragraph_blocks(F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    numbers = F.explode(let(F.ceil(n / 12).cast("int"), lambda k: F.when(k > 0, F.sequence(F.lit(1), k))))
+    return tb.documents(spark, sf).select(
+        "doc_id", numbers.alias("page_num"), F.lit(500.0).alias("page_w"), F.lit(700.0).alias("page_h")
     )
 
 
