@@ -269,7 +269,8 @@ def export_loss_check(spark, sf):
         ELSE '<p>' || inner_html || '</p>' END AS html FROM roled""",
 )
 def role_markup(spark, sf):
-    roled = L.pdf_roles(candidates(spark, sf))
+    facts = L.block_facts(L.pdf_candidates(spans(spark, sf))).drop("signature", "page_number")
+    roled = L.roles_of(settle(facts, "candidates"))
     html = F.concat(F.lit('<p id="x">'), "inner_html", F.lit("</p>"))
     return roled.select("doc_id", "page_num", "block_idx", L.role_markup(html, F.col("role")).alias("html"))
 

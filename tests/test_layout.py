@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.core import squeeze, squeeze_part
 from quire.operators import layout as L
+from quire.plans import layout_queries as Q
 
 SPANS = (
     "doc_id long, page_num int, block_idx int, line_idx int, span_idx int, text string, size double, font string, flags int, "
@@ -72,6 +73,7 @@ def stored(monkeypatch):
         return tables[-1]
 
     monkeypatch.setattr(L, "settle", kept)
+    monkeypatch.setattr(Q, "settle", kept)
     return tables
 
 
@@ -81,3 +83,10 @@ def test_nodes_store_each_text_once(spark, stored):
     longest = {name: t.select(F.max(F.length(name))).head()[0] for t, name in texts}
     assert longest.pop("inner_html") > 100
     assert max(longest.values()) <= 65, longest
+
+
+def test_role_markup_stores_each_text_once(spark, stored, monkeypatch):
+    monkeypatch.setattr(Q, "spans", lambda *_: document(spark)[0])
+    rows = Q.role_markup(spark, "").collect()
+    assert len(rows) == 13
+    assert [f.name for t in stored for f in t.schema if f.dataType.simpleString() == "string"] == ["inner_html"]
