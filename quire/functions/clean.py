@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quire.functions.core import WS, let, squeeze, strip
+from quire.functions.core import WS, let, squeeze, strip, strip_part
 from quire.functions.html import checked_blocks, inline_tags, sanitize_block
 
 # Answer patterns.
@@ -16,6 +19,7 @@ _BLOCK_ELEMENT = (
 _FENCED = r"(?is)^```(?:html|xml|markdown)?\s*\n?(.*?)\n?```\z"
 _STUTTER = rf"(?Ui)\b([a-zA-Z]{{3,15}})\b{WS}+\1\b{WS}+\1\b"
 SIGNIFICANT_CHARS = 6
+_REASONING_MARKS = ("<think>", "<thought>", "[thinking]")
 
 
 def unclosed_think(text: Column) -> Column:
@@ -38,14 +42,17 @@ def strip_reasoning(text: Column) -> Column:
 
 
 def clean_response(text: Column) -> Column:
-    """Drop reasoning regions, unwrap one code fence, strip."""
+    """Drop reasoning regions, unwrap one code fence, strip. Most answers have neither, and are searched for the marks only."""
 
     def unwrap(t: Column) -> Column:
         inner = F.when(F.rlike(t, F.lit(_FENCED)), F.regexp_extract(t, _FENCED, 1)).otherwise(t)
         opened = F.regexp_replace(strip(inner), "^```(?:html|xml)?", "")
         return strip(F.regexp_replace(strip(opened), r"```\z", ""))
 
-    return let(strip(unclosed_think(strip_reasoning(F.coalesce(text, F.lit(""))))), unwrap)
+    text = F.coalesce(text, F.lit(""))
+    thoughts = let(F.lower(text), lambda low: reduce(or_, [F.contains(low, F.lit(mark)) for mark in _REASONING_MARKS]))
+    answer = F.when(thoughts, strip(unclosed_think(strip_reasoning(text)))).otherwise(strip_part(text))
+    return let(answer, lambda t: F.when(F.startswith(t, F.lit("```")) | F.endswith(t, F.lit("```")), unwrap(t)).otherwise(t))
 
 
 def collapse_stutter(text: Column) -> Column:
@@ -185,15 +192,13 @@ def verify_structure(source: Column, answer: Column) -> Column:
 
     def check(cleaned: Column) -> Column:
         plain_source = ~F.contains(source, F.lit("<")) & ~F.contains(source, F.lit(">"))
+        # Bound side by side: the analyzer needs some passes for every level of bindings, and has a limit of 100.
         blocks = let(
-            checked_blocks(source),
-            lambda s: let(
-                checked_blocks(cleaned),
-                lambda a: F.when(
-                    F.size(s) != F.size(a),
-                    fail(F.concat(F.lit("blocks: "), F.size(s), F.lit(" expected, "), F.size(a), F.lit(" received"))),
-                ).otherwise(compare(s, a)),
-            ),
+            F.struct(checked_blocks(source).alias("s"), checked_blocks(cleaned).alias("a")),
+            lambda p: F.when(
+                F.size(p["s"]) != F.size(p["a"]),
+                fail(F.concat(F.lit("blocks: "), F.size(p["s"]), F.lit(" expected, "), F.size(p["a"]), F.lit(" received"))),
+            ).otherwise(compare(p["s"], p["a"])),
         )
         return (
             F.when(cleaned == "", fail(F.lit("empty")))

@@ -87,19 +87,40 @@ def settle(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return settled
 
 
+def discard_folder(settled: DataFrame, by: str, value: str) -> None:
+    """Delete the rows of one value of ``by``, which no later step reads, from a table settled in folders."""
+    spark = settled.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{settled.scratch}/{by}={value}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
-def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
-    """Arrow batches of at most about ``size`` bytes for what is written inside: Python workers then hold little of long rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, str(size))
+def configured(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """``settings`` hold for what is run inside."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
+def arrow_batches(spark: SparkSession, size: int):
+    """Arrow batches of at most about ``size`` bytes for what is written inside: Python workers then hold little of long rows."""
+    return configured(spark, {"spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
+def single_use(spark: SparkSession):
+    """For tables that are settled inside: files of their shuffles go as soon as a table is written, and a table in folders
+    (``by``) is written without a sort, as one open file for each folder and task."""
+    return configured(
+        spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.maxConcurrentOutputFileWriters": "8"}
+    )
 
 
 def written() -> list[str]:
